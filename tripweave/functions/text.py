@@ -45,12 +45,13 @@ def contains_pattern(term: Column) -> Column:
 def grams(text: Column, longest: int = 3) -> Column:
     """The empty string and every distinct substring of 1..longest characters."""
     low = F.lower(text)
-    parts = [
-        F.when(F.length(low) >= n, F.transform(
-            F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i, n=n: low.substr(i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in range(1, longest + 1)
-    ]
+
+    def of_length(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(low) - (n - 1))
+        return F.when(F.length(low) >= n, F.transform(starts, lambda i: low.substr(i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    parts = [of_length(n) for n in range(1, longest + 1)]
     return F.array_distinct(F.concat(F.array(F.lit("")), *parts))
 
 

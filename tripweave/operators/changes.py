@@ -117,7 +117,7 @@ def _missing(what: str, key: str) -> Column:
 def delete_users(users: DataFrame, trips: DataFrame, trip_children: dict[str, DataFrame],
                  doomed: DataFrame) -> dict[str, DataFrame]:
     """Users with everything that hangs on them: trips, and the trips' own rows."""
-    small = is_small(doomed.select("user_id"))
+    small = is_small(doomed)
     remaining, removed, _ = merge.delete_rows(users, doomed, "user_id", small)
     owners = removed.select("user_id")
     gone_trips = trips.join(F.broadcast(owners) if small else owners, "user_id", "left_semi")
@@ -131,7 +131,7 @@ def delete_activities(activities: DataFrame, documents: DataFrame, items: DataFr
                       doomed: DataFrame) -> dict[str, DataFrame]:
     """Activities with their documents. One that an itinerary still uses is not deleted."""
     wanted = doomed.select("activity_id").distinct()
-    small = is_small(wanted)
+    small = is_small(doomed)
     side = F.broadcast(wanted) if small else wanted
     blocked = items.select("activity_id").join(side, "activity_id", "left_semi").distinct()
     free = wanted.join(blocked, "activity_id", "left_anti")

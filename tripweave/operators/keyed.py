@@ -14,7 +14,7 @@ INDEX_CHUNK = 100_000
 
 
 def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether there are at most max_rows rows. Counts no further than that per partition."""
+    """Whether there are at most max_rows rows. Each task stops counting there."""
     return rows.limit(max_rows + 1).count() <= max_rows
 
 
@@ -23,6 +23,15 @@ def hint_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if is_small(rows, max_rows) else rows
 
 
+def spread_small_input(rows: DataFrame, row_id: str) -> DataFrame:
+    """Rows spread over all cores before costly per-row work, when the input has few splits.
+
+    A large input has more splits than cores and is left where it lies.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, row_id) if rows.rdd.getNumPartitions() < 2 * cores else rows
+
+
 def top_per_key(rows: DataFrame, keys: list, order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first k rows of each key with their rank.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.operators.keyed import is_small, last_change, unknown_keys, with_new_ids
+from tripweave.operators.keyed import first_per_key, is_small, last_change, unknown_keys, with_new_ids
 
 CHANGE = "change"
 
@@ -62,7 +62,7 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], seq: str,
     not carry. New ids follow the highest stored one.
     """
     latest = last_change(changes, keys, seq)
-    small = is_small(latest.select(*keys))
+    small = is_small(changes)
     known = apply_updates(target, latest, keys, set_columns, small)
     fresh = unknown_keys(latest, target, keys, small)
     if id_col:
@@ -74,8 +74,8 @@ def append_absent(target: DataFrame, rows: DataFrame, keys: list[str], seq: str,
                   insert_values: dict[str, Column | str] | None = None,
                   id_col: str | None = None) -> DataFrame:
     """Append rows whose key is new; stored rows stay untouched. The first row of a key wins."""
-    first = last_change(rows.withColumn("_back", -F.col(seq)), keys, "_back").drop("_back")
-    fresh = unknown_keys(first, target, keys)
+    first = first_per_key(rows, keys, [F.col(seq).asc()])
+    fresh = unknown_keys(first, target, keys, is_small(rows))
     if id_col:
         fresh = with_new_ids(fresh, target, id_col, keys)
     kept = target.withColumn(CHANGE, F.lit("kept"))
@@ -86,7 +86,7 @@ def update_rows(target: DataFrame, changes: DataFrame, key: str, seq: str,
                 set_columns: dict[str, Column | str]) -> tuple[DataFrame, DataFrame]:
     """Change rows by id. Returns the new table and the changes whose id is not stored."""
     latest = last_change(changes, [key], seq)
-    small = is_small(latest.select(key))
+    small = is_small(changes)
     known = apply_updates(target, latest, [key], set_columns, small)
     return known, unknown_keys(latest, target, [key], small)
 
@@ -95,7 +95,7 @@ def delete_rows(target: DataFrame, doomed: DataFrame, key: str,
                 small: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hard delete by id. Returns the new table, the removed rows and the unknown ids."""
     ids = doomed.select(key).distinct()
-    small = is_small(ids) if small is None else small
+    small = is_small(doomed) if small is None else small
     side = F.broadcast(ids) if small else ids
     remaining = target.join(side, key, "left_anti")
     removed = target.join(side, key, "left_semi")

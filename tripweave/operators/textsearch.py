@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
-from tripweave.operators.keyed import hint_small, top_per_key
+from tripweave.operators.keyed import spread_small_input, top_per_key
 
 RESULTS = 6
 COVER_WEIGHT = 0.1
 RANK_DECIMALS = 6
+QUERY_CHARS = 4_000_000
 PIECE_PATTERN = r'-?"[^"]*"?|[^\s"]+'
 ANY_DOCUMENT = ""
 
@@ -34,94 +35,122 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
     and `needed` the group's number of plain items. A group of minus items only gets a plain
     item for the empty word, which every document has.
     """
-    by_query = Window.partitionBy(query_id).orderBy("item")
     pieces = queries.select(
         query_id,
         F.posexplode(F.regexp_extract_all(F.col(query), F.lit(PIECE_PATTERN), F.lit(0))).alias("item", "piece"),
     ).withColumn("_or", (F.lower("piece") == "or").cast("int")).withColumn(
-        "grp", F.sum("_or").over(by_query)).filter("_or = 0")
+        "grp", F.sum("_or").over(Window.partitionBy(query_id).orderBy("item"))).filter("_or = 0")
     item = Window.partitionBy(query_id, "item")
     words = pieces.select(
         query_id, "grp", "item", F.col("piece").startswith("-").alias("minus"),
         F.posexplode(tokens(F.col("piece"))).alias("_place", "term"),
     ).filter(~is_stop_word(F.col("term"))).withColumns({
-        "off": F.col("_place") - F.min("_place").over(item), "words": F.count("*").over(item)})
-    group = Window.partitionBy(query_id, "grp")
-    plain = F.count_if(~F.col("minus") & (F.col("off") == 0)).over(group)
-    words = words.select(query_id, "grp", "item", "minus", "off", "term", "words",
-                         plain.cast("int").alias("needed"))
-    minus_only = words.filter("needed = 0").select(query_id, "grp").distinct().select(
-        query_id, "grp", F.lit(-1).alias("item"), F.lit(False).alias("minus"), F.lit(0).alias("off"),
-        F.lit(ANY_DOCUMENT).alias("term"), F.lit(1).cast("bigint").alias("words"),
-        F.lit(1).alias("needed"))
-    return words.withColumn("needed", F.greatest("needed", F.lit(1))).unionByName(minus_only)
-
+        "off": F.col("_place") - F.min("_place").over(item), "words": F.count("*").over(item).cast("int")})
 
-def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str,
+    group = Window.partitionBy(query_id, "grp")
+    plain = F.count_if(~F.col("minus") & (F.col("off") == 0)).over(group).cast("int")
+    leads = F.row_number().over(group.orderBy("item", "off")) == 1
+    own = ["item", "minus", "off", "term", "words"]
+    anywhere = F.struct(F.lit(-1).alias("item"), F.lit(False).alias("minus"), F.lit(0).alias("off"),
+                        F.lit(ANY_DOCUMENT).alias("term"), F.lit(1).alias("words"))
+    grouped = words.withColumns({"needed": plain, "_leads": leads}).withColumn(
+        "_rows", F.when((F.col("needed") == 0) & F.col("_leads"), F.array(F.struct(*own), anywhere))
+        .otherwise(F.array(F.struct(*own))))
+    every = grouped.select(
+        query_id, "grp", F.greatest("needed", F.lit(1)).alias("needed"), F.inline("_rows"))
+
+    whole = Window.partitionBy(query_id)
+    uses = F.row_number().over(Window.partitionBy(query_id, "minus", "term").orderBy("grp", "item"))
+    return every.withColumns({
+        "simple": (F.max("words").over(whole) == 1) & (F.max("needed").over(whole) == 1),
+        "counted": uses == 1})
+
+
+def few_queries(queries: DataFrame, query: str = "q", max_chars: int = QUERY_CHARS) -> bool:
+    """Whether all query texts together are short enough to broadcast what is made of them."""
+    return (queries.agg(F.sum(F.length(query))).first()[0] or 0) <= max_chars
+
+
+def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, few: bool,
               query_id: str = "query_id") -> DataFrame:
-    """Places of the queries' words in the whole texts.
+    """Places of the queries' words in the whole texts, read in one pass.
 
-    The texts are split where they lie. With a broadcast term list only the hits are
-    shuffled, keyed by query and document, so a frequent word spreads over its documents.
+    The texts are split where they lie, and with a broadcast term list only the hits go on.
+    In a simple query every place of a word is a cover of its own and only their number
+    counts, so its hits are added up in each task and leave it as one row per document and
+    word, under a place made up from the item.
     """
     words = F.concat(tokens(F.col(text)), F.array(F.lit(ANY_DOCUMENT)))
-    posted = documents.select(doc_id, F.posexplode(words).alias("pos", "term"))
-    hits = posted.join(hint_small(terms), "term")
-    return hits.repartition(query_id, doc_id)
+    texts = spread_small_input(documents.select(doc_id, text), doc_id)
+    posted = texts.select(doc_id, F.posexplode(words).alias("_pos", "term"))
+    hits = posted.join(F.broadcast(terms) if few else terms, "term")
+    place = F.when(F.col("simple"), -2 - F.col("item")).otherwise(F.col("_pos")).alias("pos")
+    first_use = F.col("counted") | ~F.col("simple")
+    ranked = (~F.col("minus") & (F.col("term") != ANY_DOCUMENT) & first_use).alias("ranked")
+    return hits.groupBy(
+        query_id, doc_id, "grp", "item", "minus", "off", "words", "needed", ranked, place
+    ).agg(F.count("*").alias("times"))
 
 
 def cover_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
     """Match flag and relevance per (query, document), for documents that have all plain
     items of some group. Minus items decide the match but not the relevance.
 
-    All steps are keyed by query and document or finer, so the one shuffle of the hits
-    serves them all, and no group is larger than one document.
+    All steps are keyed by query and document or finer, so one shuffle of the hits serves
+    them all, and no group is larger than one document.
     """
     pair = [query_id, doc_id]
     group = [*pair, "grp"]
-    ranked_word = ~F.col("minus") & (F.col("term") != ANY_DOCUMENT)
-    numbered = hits.withColumn("_ranked", ranked_word).withColumn(
-        "_index", F.dense_rank().over(Window.partitionBy(*pair, "_ranked").orderBy("pos")))
+    numbered = hits.repartition(query_id, doc_id).withColumn(
+        "nth", F.dense_rank().over(Window.partitionBy(*pair, "ranked").orderBy("pos")))
 
-    # A phrase occurs where all of its words stand at their distance from one start.
-    place = F.struct("pos", "_index")
+    # A phrase occurs where all of its words stand at their distance from one start. Places
+    # and their numbers grow together, so each is reduced on its own.
     occurrences = numbered.groupBy(
-        *group, "item", "minus", "words", "needed", "_ranked", (F.col("pos") - F.col("off")).alias("_from")
-    ).agg(F.count("*").alias("_seen"), F.min(place).alias("start"), F.max(place).alias("end")).filter(
-        "_seen = words")
+        *group, "item", "minus", "words", "needed", "ranked", (F.col("pos") - F.col("off")).alias("_from")
+    ).agg(
+        F.count("*").alias("_seen"), F.min("times").alias("times"),
+        F.min("pos").alias("first"), F.min("nth").alias("first_nth"),
+        F.max("pos").alias("last"), F.max("nth").alias("last_nth"),
+    ).filter("_seen = words")
 
     whole = Window.partitionBy(*group)
-    held = F.size(F.collect_set(F.when(~F.col("minus"), F.col("item"))).over(whole))
-    complete = occurrences.withColumns({
-        "_held": held, "matched": F.count_if("minus").over(whole) == 0,
+    complete = occurrences.withColumn(
+        "_no", F.dense_rank().over(Window.partitionBy(*group).orderBy("minus", "item"))
+    ).withColumns({
+        "_held": F.max(F.when(~F.col("minus"), F.col("_no"))).over(whole),
+        "matched": ~F.max("minus").over(whole),
     }).filter(~F.col("minus") & (F.col("_held") == F.col("needed")))
 
     # For each end, the latest start of every item up to it; the earliest of those opens
     # the shortest interval with all items that ends there.
-    item_no = F.dense_rank().over(Window.partitionBy(*group).orderBy("item"))
-    wanted = complete.withColumn("_no", item_no).withColumn(
-        "_want", F.explode(F.sequence(F.lit(1), F.col("needed"))))
-    until = Window.partitionBy(*group, "_want").orderBy("end")
-    opened = wanted.withColumn("_open", F.max(
-        F.when(F.col("_want") == F.col("_no"), F.col("start"))).over(until))
-    closing = opened.groupBy(*group, "end", "_ranked", "matched").agg(
-        F.min("_open").alias("start"), F.count_if(F.col("_open").isNull()).alias("_open_items"),
-    ).filter("_open_items = 0")
+    wanted = complete.withColumn("_want", F.explode(F.sequence(F.lit(1), F.col("needed"))))
+    until = Window.partitionBy(*group, "_want").orderBy("last")
+    own = F.col("_want") == F.col("_no")
+    opened = wanted.withColumns({
+        "_open": F.max(F.when(own, F.col("first"))).over(until),
+        "_open_nth": F.max(F.when(own, F.col("first_nth"))).over(until)})
+    closing = opened.groupBy(*group, "last", "last_nth", "ranked", "matched").agg(
+        F.min("_open").alias("first"), F.min("_open_nth").alias("first_nth"),
+        F.max("times").alias("times"), F.count_if(F.col("_open").isNull()).alias("_missing"),
+    ).filter("_missing = 0")
 
     # Minimal covers: the nearest end of each start, without another cover inside.
-    covers = closing.groupBy(*pair, "start").agg(
-        F.min("end").alias("end"), F.max("matched").alias("matched"), F.max("_ranked").alias("_ranked"))
-    later = Window.partitionBy(*pair).orderBy(F.col("start").desc()).rowsBetween(
+    covers = closing.groupBy(*pair, "first", "first_nth").agg(
+        F.min("last").alias("last"), F.min("last_nth").alias("last_nth"),
+        F.max("matched").alias("matched"), F.max("ranked").alias("ranked"), F.max("times").alias("times"))
+    later = Window.partitionBy(*pair).orderBy(F.col("first").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.min("end").over(later) <= F.col("end"), F.lit(False))
-    noise = (F.col("end.pos") - F.col("start.pos")) - (F.col("end._index") - F.col("start._index"))
-    score = F.when(F.col("_ranked") & ~F.col("_inner"), COVER_WEIGHT / (1 + noise)).otherwise(0.0)
+    inner = F.coalesce(F.min("last").over(later) <= F.col("last"), F.lit(False))
+    noise = (F.col("last") - F.col("first")) - (F.col("last_nth") - F.col("first_nth"))
+    score = F.when(F.col("ranked") & ~F.col("_inner"),
+                   F.col("times") * COVER_WEIGHT / (1 + noise)).otherwise(0.0)
     return covers.withColumn("_inner", inner).groupBy(*pair).agg(
         F.round(F.sum(score), RANK_DECIMALS).alias("relevance"), F.max("matched").alias("matched"))
 
 
 def substring_matches(activities: DataFrame, queries: DataFrame, doc_id: str, columns: list[str],
-                      query_id: str = "query_id", query: str = "q") -> DataFrame:
+                      few: bool, query_id: str = "query_id", query: str = "q") -> DataFrame:
     """(query, activity) pairs where a column contains the query, letter case ignored.
 
     Queries and values meet by a short substring that every match must share, and only
@@ -131,7 +160,7 @@ def substring_matches(activities: DataFrame, queries: DataFrame, doc_id: str, co
     offered = values.withColumn("_gram", F.explode(grams(F.col("_value"))))
     asked = queries.select(query_id, contains_pattern(F.col(query)).alias("_pattern"),
                            probe_gram(F.col(query)).alias("_gram"))
-    return offered.join(hint_small(asked), "_gram").filter(
+    return offered.join(F.broadcast(asked) if few else asked, "_gram").filter(
         F.ilike(F.col("_value"), F.col("_pattern"))).select(query_id, doc_id).distinct()
 
 
@@ -142,9 +171,10 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     """The best activities with a document for every query: full-text match, or a name or
     category that contains the query; by relevance, then name."""
     asked = usable_queries(queries, query)
-    hits = word_hits(documents, search_terms(asked, query_id, query), doc_id, text, query_id)
+    few = few_queries(asked, query)
+    hits = word_hits(documents, search_terms(asked, query_id, query), doc_id, text, few, query_id)
     ranked = cover_rank(hits, doc_id, query_id)
-    named = substring_matches(activities, asked, doc_id, [name, category], query_id, query).join(
+    named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
         documents.select(doc_id), doc_id, "left_semi").withColumn("_named", F.lit(True))
     found = ranked.join(named, [query_id, doc_id], "full").filter(
         F.coalesce("matched", F.lit(False)) | F.coalesce("_named", F.lit(False))

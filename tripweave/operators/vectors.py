@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions.numbers import clamp, text_bucket
 from tripweave.functions.text import is_stop_word, tokens
-from tripweave.operators.keyed import hint_small, top_per_key
+from tripweave.operators.keyed import hint_small, spread_small_input, top_per_key
 from tripweave.schemas import EMBEDDING_DIM
 
 DEFAULT_LIMIT = 5
@@ -43,6 +43,7 @@ def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
     """
     vector = T.StructField(out, T.ArrayType(T.FloatType()))
     schema = T.StructType([*rows.select(*keep).schema.fields, vector])
+    rows = spread_small_input(rows, keep[0])
     source = feature_buckets(F.col(text), dim) if encode is None else F.col(text)
 
     def count_words(buckets: pd.Series) -> np.ndarray:
