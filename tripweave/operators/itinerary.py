@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripweave import schemas
 from tripweave.functions.labels import preference_order
 from tripweave.functions.times import SLOT_HOURS, at_hour, hours, iso_time, slot_time
-from tripweave.operators.keyed import first_per_key, running_index, top_per_key, with_new_ids
+from tripweave.operators.keyed import first_per_key, running_index, settle, top_per_key, with_new_ids
 
 SLOTS_PER_TRIP = 6
 GAP_HOURS = 3
@@ -69,6 +69,7 @@ def add_auto(requests: DataFrame, trips: DataFrame, activities: DataFrame, items
         .join(active_pairs(items), ["trip_id", "activity_id"], "left_anti")
         .select(request_id, "trip_id", "activity_id", "start_date")
     )
+    fitting = settle(fitting)
     last = items.groupBy("trip_id").agg(F.max("scheduled_at").alias("_last"))
     start = F.coalesce(F.col("_last") + hours(GAP_HOURS), at_hour(F.col("start_date"), SLOT_HOURS[0]))
     return running_index(fitting, ["trip_id"], request_id, "_n").join(last, "trip_id", "left").select(

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tripweave.functions.numbers import hash_lane
+from tripweave.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 ID_LANES = 1024
 INDEX_CHUNK = 100_000
 
@@ -18,16 +20,20 @@ def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return rows.limit(max_rows + 1).count() <= max_rows
 
 
-def hint_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side of checked size; beyond it the join shuffles as usual."""
-    return F.broadcast(rows) if is_small(rows, max_rows) else rows
+def few_bytes(rows: DataFrame, column: str, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of a text or binary column take at most max_bytes together."""
+    return (rows.agg(F.sum(F.octet_length(column))).first()[0] or 0) <= max_bytes
 
 
-def spread_small_input(rows: DataFrame, row_id: str) -> DataFrame:
-    """Rows spread over all cores before costly per-row work, when the input has few splits.
+def settle(rows: DataFrame) -> DataFrame:
+    """Rows written to the shared checkpoint folder, for results that are read more than once."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    return rows.checkpoint(eager=True)
 
-    A large input has more splits than cores and is left where it lies.
-    """
+
+def spread_small_input(rows: DataFrame, row_id: str) -> DataFrame:
+    """Rows of a table scan spread over all cores before costly per-row work, when the
+    scan has few splits. A large table has more splits than cores and stays where it lies."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores, row_id) if rows.rdd.getNumPartitions() < 2 * cores else rows
 
@@ -103,7 +109,7 @@ def running_index(rows: DataFrame, keys: list[str], order: str, index: str,
 
     The numbers are cut into chunks. Rows are numbered inside (key, chunk), which holds at
     most `chunk` rows, and the counts of earlier chunks of the key are added: no window
-    sees all rows of a hot key.
+    sees all rows of a hot key. The rows are read twice, so they should be settled.
     """
     part = rows.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("bigint"))
     counts = part.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
-from tripweave.operators.keyed import spread_small_input, top_per_key
+from tripweave.operators.keyed import few_bytes, top_per_key
 
 RESULTS = 6
 COVER_WEIGHT = 0.1
 RANK_DECIMALS = 6
-QUERY_CHARS = 4_000_000
+QUERY_BYTES = 4_000_000
 PIECE_PATTERN = r'-?"[^"]*"?|[^\s"]+'
 ANY_DOCUMENT = ""
 
@@ -66,11 +66,6 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
         "counted": uses == 1})
 
 
-def few_queries(queries: DataFrame, query: str = "q", max_chars: int = QUERY_CHARS) -> bool:
-    """Whether all query texts together are short enough to broadcast what is made of them."""
-    return (queries.agg(F.sum(F.length(query))).first()[0] or 0) <= max_chars
-
-
 def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, few: bool,
               query_id: str = "query_id") -> DataFrame:
     """Places of the queries' words in the whole texts, read in one pass.
@@ -81,8 +76,7 @@ def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, fe
     word, under a place made up from the item.
     """
     words = F.concat(tokens(F.col(text)), F.array(F.lit(ANY_DOCUMENT)))
-    texts = spread_small_input(documents.select(doc_id, text), doc_id)
-    posted = texts.select(doc_id, F.posexplode(words).alias("_pos", "term"))
+    posted = documents.select(doc_id, F.posexplode(words).alias("_pos", "term"))
     hits = posted.join(F.broadcast(terms) if few else terms, "term")
     place = F.when(F.col("simple"), -2 - F.col("item")).otherwise(F.col("_pos")).alias("pos")
     first_use = F.col("counted") | ~F.col("simple")
@@ -171,7 +165,7 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     """The best activities with a document for every query: full-text match, or a name or
     category that contains the query; by relevance, then name."""
     asked = usable_queries(queries, query)
-    few = few_queries(asked, query)
+    few = few_bytes(asked, query, QUERY_BYTES)
     hits = word_hits(documents, search_terms(asked, query_id, query), doc_id, text, few, query_id)
     ranked = cover_rank(hits, doc_id, query_id)
     named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(

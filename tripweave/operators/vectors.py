@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions.numbers import clamp, text_bucket
 from tripweave.functions.text import is_stop_word, tokens
-from tripweave.operators.keyed import hint_small, spread_small_input, top_per_key
+from tripweave.operators.keyed import few_bytes, top_per_key
 from tripweave.schemas import EMBEDDING_DIM
 
 DEFAULT_LIMIT = 5
@@ -43,7 +43,6 @@ def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
     """
     vector = T.StructField(out, T.ArrayType(T.FloatType()))
     schema = T.StructType([*rows.select(*keep).schema.fields, vector])
-    rows = spread_small_input(rows, keep[0])
     source = feature_buckets(F.col(text), dim) if encode is None else F.col(text)
 
     def count_words(buckets: pd.Series) -> np.ndarray:
@@ -125,12 +124,11 @@ def _score_blocks(pairs: DataFrame, doc_id: str, query_id: str, k: int) -> DataF
 
 def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_id: str = "doc_id",
                  query_id: str = "query_id", doc_vector: str = "embedding",
-                 query_vector: str = "embedding", limit: str | None = None,
-                 query_keys: DataFrame | None = None) -> DataFrame:
+                 query_vector: str = "embedding", limit: str | None = None) -> DataFrame:
     """The nearest documents of every query among those with the same keys.
 
     Documents are packed into blocks where they lie; query blocks are broadcast when their
-    number is small, else both sides are shuffled by key. Only the best rows of each block
+    size allows it, else both sides are shuffled by key. Only the best rows of each block
     pair go on, and again only the best per task are shuffled to the final rank. Scores
     that agree to nine decimals count as equal and are ordered by id. `limit` names a
     column of the queries, clamped to 1..10; without it, five documents are given.
@@ -138,8 +136,9 @@ def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_
     present = documents.filter(F.col(doc_vector).isNotNull())
     doc_blocks = _pack(present, keys, doc_id, doc_vector, "d")
     asked = queries.filter(F.col(query_vector).isNotNull())
-    query_blocks = hint_small(
-        _pack(asked, keys, query_id, query_vector, "q", QUERY_BLOCK), max_rows=64)
+    query_blocks = _pack(asked, keys, query_id, query_vector, "q", QUERY_BLOCK)
+    if few_bytes(query_blocks, "q_vectors"):
+        query_blocks = F.broadcast(query_blocks)
     candidates = _score_blocks(doc_blocks.join(query_blocks, keys), doc_id, query_id, MAX_LIMIT)
     ranked = top_per_key(
         candidates, [query_id], [F.col("_score").desc(), F.col(doc_id).asc()], MAX_LIMIT, "rank")

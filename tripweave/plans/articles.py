@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.operators import matching, silver as silver_ops, views
+from tripweave.operators.keyed import spread_small_input
 from tripweave.plans.mapping import Tables, with_tables
 from tripweave.sources import payloads
 
@@ -58,15 +59,17 @@ def article_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_extract(spark: SparkSession, folder: str) -> DataFrame:
-    pages = payloads.html_articles(Tables(spark, folder).raw("pages"), "page_id", "url", "html")
+    landed = spread_small_input(Tables(spark, folder).raw("pages"), "page_id")
+    pages = payloads.html_articles(landed, "page_id", "url", "html").withColumns({
+        "text_length": F.length("text"), "text_md5": F.md5("text")})
     return silver_ops.distinct_articles(pages, "page_id").select(
-        "page_id", "title", F.length("text").alias("text_length"), F.md5("text").alias("text_md5"), "source_url")
+        "page_id", "title", "text_length", "text_md5", "source_url")
 
 
 def doc_dedupe(spark: SparkSession, folder: str) -> DataFrame:
-    documents = Tables(spark, folder).raw("documents")
+    documents = Tables(spark, folder).raw("documents").withColumn("text_length", F.length("text"))
     return silver_ops.distinct_articles(documents, "doc_id", title="text").select(
-        "doc_id", "lang", "source", F.length("text").alias("text_length"))
+        "doc_id", "lang", "source", "text_length")
 
 
 def _articles(t: Tables) -> DataFrame:

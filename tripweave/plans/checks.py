@@ -17,7 +17,7 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report([
         quality.unique("lineitem", line, ["l_orderkey", "l_linenumber"]),
         quality.unique("orders", orders, ["o_orderkey"]),
-        quality.unique("documents", documents, ["text"]),
+        quality.unique("documents", documents, ["doc_id"]),
         quality.unique("part", t.raw("part"), ["p_name"]),
         quality.foreign_key("lineitem", line, "l_orderkey", orders, "o_orderkey"),
         quality.foreign_key("orders", orders, "o_custkey", customers, "c_custkey"),
@@ -68,7 +68,7 @@ ORACLE = {
         _unique("lineitem", ["l_orderkey", "l_linenumber"],
                 "CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)"),
         _unique("orders", ["o_orderkey"], "CAST(o_orderkey AS VARCHAR)"),
-        _unique("documents", ["text"], "text"),
+        _unique("documents", ["doc_id"], "CAST(doc_id AS VARCHAR)"),
         _unique("part", ["p_name"], "p_name"),
         _parent("lineitem", "l_orderkey", "orders", "o_orderkey"),
         _parent("orders", "o_custkey", "customer", "c_custkey"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.functions.text import STOP_WORDS, is_stop_word, tokens
 from tripweave.operators import textsearch, vectors
-from tripweave.operators.keyed import first_per_key
+from tripweave.operators.keyed import spread_small_input
 from tripweave.plans.mapping import Tables
 from tripweave.schemas import EMBEDDING_DIM
 
@@ -14,9 +14,14 @@ VECTOR_DIM = 64
 LANGUAGES = ("de", "en", "es", "fr")
 
 
+def _texts(t: Tables) -> DataFrame:
+    return spread_small_input(t.raw("documents").select("doc_id", "text"), "doc_id")
+
+
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Properties of the hashed vector of every document."""
-    rows = vectors.embed(Tables(spark, folder).raw("documents"), "text", ["doc_id"])
+    rows = vectors.embed(_texts(Tables(spark, folder)), "text", ["doc_id"])
+
     def square_sum(a):
         return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return rows.select(
@@ -42,7 +47,7 @@ def semantic_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
     """All benchmark texts searched in the documents of one language each, both embedded
     here; the wished number of results runs from 0 to 12."""
     t = Tables(spark, folder)
-    documents = vectors.embed(t.raw("documents"), "text", ["doc_id"]).withColumnRenamed("doc_id", "activity_id")
+    documents = vectors.embed(_texts(t), "text", ["doc_id"]).withColumnRenamed("doc_id", "activity_id")
     about = t.raw("documents").select(
         F.col("doc_id").alias("activity_id"), F.col("lang").alias("destination_name"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"),
@@ -87,7 +92,8 @@ def _keyword_queries(t: Tables) -> DataFrame:
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    found = textsearch.keyword_search(t.activities(), t.documents(), _keyword_queries(t))
+    documents = _texts(t).select(F.col("doc_id").alias("activity_id"), F.col("text").alias("document_text"))
+    found = textsearch.keyword_search(t.activities(), documents, _keyword_queries(t))
     return found.select("query_id", "rank", "activity_id", "name", "category", "indoor", "relevance")
 
 

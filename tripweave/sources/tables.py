@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tripweave.session import ensure_checkpoint_dir
+from tripweave.operators.keyed import settle
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,15 +38,20 @@ def overwrite_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] =
     writer.parquet(path)
 
 
+def touched_partitions(table: DataFrame, changes: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
+    """The part of the table that the changes fall into. A key has to stay in its partition.
+    The changes are reduced to partition values, of which a table has few."""
+    values = changes.select(*partition_by).distinct()
+    return table.join(F.broadcast(values), list(partition_by), "left_semi")
+
+
 def overwrite_touched(rows: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
     """Replace only the partitions the rows fall into.
 
     The rows may come from the same table: they are checkpointed to the shared folder
     first, so no file is read after it has been replaced.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    settled = rows.checkpoint(eager=True)
-    (settled.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (settle(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
 
 
