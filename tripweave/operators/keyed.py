@@ -62,7 +62,7 @@ def first_per_text(rows: DataFrame, text: Column, row_id: str) -> DataFrame:
     """
     digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("v"), text), F.lit("")), 256))
     survivors = rows.groupBy(digest.alias("_digest")).agg(F.min(row_id).alias(row_id)).select(row_id)
-    return rows.join(survivors, row_id, "left_semi")
+    return rows.join(survivors, row_id, "left_semi").select(*rows.columns)
 
 
 def last_change(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -82,7 +82,7 @@ def unknown_keys(changes: DataFrame, target: DataFrame, keys: list[str],
         found = target.select(*keys).join(F.broadcast(wanted), keys, "left_semi").distinct()
     else:
         found = target.select(*keys)
-    return changes.join(found, keys, "left_anti")
+    return changes.join(found, keys, "left_anti").select(*changes.columns)
 
 
 def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, natural_key: list[str],

@@ -33,4 +33,4 @@ def unmatched_articles(articles: DataFrame, activities: DataFrame, destination:
     """Articles whose activity does not exist. The text is not needed, so it is not read."""
     return _keyed(articles, destination, name).join(
         _by_name(activities).select("_place", "_name"), ["_place", "_name"], "left_anti"
-    ).drop("_place", "_name")
+    ).select(*articles.columns)

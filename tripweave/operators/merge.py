@@ -97,8 +97,8 @@ def delete_rows(target: DataFrame, doomed: DataFrame, key: str,
     ids = doomed.select(key).distinct()
     small = is_small(doomed) if small is None else small
     side = F.broadcast(ids) if small else ids
-    remaining = target.join(side, key, "left_anti")
-    removed = target.join(side, key, "left_semi")
+    remaining = target.join(side, key, "left_anti").select(*target.columns)
+    removed = target.join(side, key, "left_semi").select(*target.columns)
     return remaining, removed, unknown_keys(ids, target, [key], small)
 
 
@@ -106,7 +106,7 @@ def delete_children(children: DataFrame, removed_parents: DataFrame, key: str,
                     small: bool = False) -> DataFrame:
     """Rows left after their parents are gone. `small` says the parents' number was checked."""
     gone = removed_parents.select(key)
-    return children.join(F.broadcast(gone) if small else gone, key, "left_anti")
+    return children.join(F.broadcast(gone) if small else gone, key, "left_anti").select(*children.columns)
 
 
 def settled(rows: DataFrame) -> DataFrame:

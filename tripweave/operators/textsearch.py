@@ -75,7 +75,7 @@ def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, fe
     counts, so its hits are added up in each task and leave it as one row per document and
     word, under a place made up from the item.
     """
-    words = F.concat(tokens(F.col(text)), F.array(F.lit(ANY_DOCUMENT)))
+    words = F.concat(tokens(F.coalesce(text, F.lit(""))), F.array(F.lit(ANY_DOCUMENT)))
     posted = documents.select(doc_id, F.posexplode(words).alias("_pos", "term"))
     hits = posted.join(F.broadcast(terms) if few else terms, "term")
     place = F.when(F.col("simple"), -2 - F.col("item")).otherwise(F.col("_pos")).alias("pos")

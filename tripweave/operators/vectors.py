@@ -43,7 +43,8 @@ def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
     """
     vector = T.StructField(out, T.ArrayType(T.FloatType()))
     schema = T.StructType([*rows.select(*keep).schema.fields, vector])
-    source = feature_buckets(F.col(text), dim) if encode is None else F.col(text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    source = feature_buckets(whole, dim) if encode is None else whole
 
     def count_words(buckets: pd.Series) -> np.ndarray:
         sizes = np.array([len(b) for b in buckets], dtype=np.int64)

@@ -42,7 +42,7 @@ def touched_partitions(table: DataFrame, changes: DataFrame, partition_by: tuple
     """The part of the table that the changes fall into. A key has to stay in its partition.
     The changes are reduced to partition values, of which a table has few."""
     values = changes.select(*partition_by).distinct()
-    return table.join(F.broadcast(values), list(partition_by), "left_semi")
+    return table.join(F.broadcast(values), list(partition_by), "left_semi").select(*table.columns)
 
 
 def overwrite_touched(rows: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
