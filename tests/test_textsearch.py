@@ -70,7 +70,7 @@ def test_match_and_rank(spark, texts, few):
     documents = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     queries = spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_id long, q string")
     terms = textsearch.search_terms(queries)
-    got = {(r["query_id"], r["id"]): (r["matched"], r["relevance"]) for r in textsearch.cover_rank(
+    got = {(r["query_id"], r["id"]): (r["matched"], r["relevance"]) for r in textsearch.rank(
         textsearch.word_hits(documents, terms, "id", "text", few), "id").collect()}
     for (q, query), (d, text) in itertools.product(enumerate(QUERY_TEXTS), enumerate(texts)):
         matched, score = evaluate(query, text)

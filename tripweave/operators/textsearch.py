@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
-from tripweave.operators.keyed import few_bytes, top_per_key
+from tripweave.operators.keyed import few_bytes, settle, top_per_key
 
 RESULTS = 6
 COVER_WEIGHT = 0.1
@@ -73,22 +73,33 @@ def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, fe
     The texts are split where they lie, and with a broadcast term list only the hits go on.
     In a simple query every place of a word is a cover of its own and only their number
     counts, so its hits are added up in each task and leave it as one row per document and
-    word, under a place made up from the item.
+    word, without a place.
     """
     words = F.concat(tokens(F.coalesce(text, F.lit(""))), F.array(F.lit(ANY_DOCUMENT)))
     posted = documents.select(doc_id, F.posexplode(words).alias("_pos", "term"))
     hits = posted.join(F.broadcast(terms) if few else terms, "term")
-    place = F.when(F.col("simple"), -2 - F.col("item")).otherwise(F.col("_pos")).alias("pos")
+    place = F.when(~F.col("simple"), F.col("_pos")).alias("pos")
     first_use = F.col("counted") | ~F.col("simple")
     ranked = (~F.col("minus") & (F.col("term") != ANY_DOCUMENT) & first_use).alias("ranked")
     return hits.groupBy(
-        query_id, doc_id, "grp", "item", "minus", "off", "words", "needed", ranked, place
+        query_id, doc_id, "grp", "item", "minus", "off", "words", "needed", "simple", ranked, place
     ).agg(F.count("*").alias("times"))
 
 
+def count_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
+    """Match flag and relevance for the hits of simple queries."""
+    groups = hits.groupBy(query_id, doc_id, "grp").agg(
+        F.sum(F.when(F.col("ranked"), F.col("times")).otherwise(0)).alias("_covers"),
+        F.count_if(~F.col("minus")).alias("_plain"), F.count_if("minus").alias("_minus"))
+    return groups.filter("_plain > 0").groupBy(query_id, doc_id).agg(
+        F.round(F.sum("_covers") * COVER_WEIGHT, RANK_DECIMALS).alias("relevance"),
+        F.max(F.col("_minus") == 0).alias("matched"))
+
+
 def cover_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
-    """Match flag and relevance per (query, document), for documents that have all plain
-    items of some group. Minus items decide the match but not the relevance.
+    """Match flag and relevance per (query, document) for the hits of all other queries, for
+    documents that have all plain items of some group. Minus items decide the match but not
+    the relevance.
 
     All steps are keyed by query and document or finer, so one shuffle of the hits serves
     them all, and no group is larger than one document.
@@ -103,7 +114,7 @@ def cover_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> Data
     occurrences = numbered.groupBy(
         *group, "item", "minus", "words", "needed", "ranked", (F.col("pos") - F.col("off")).alias("_from")
     ).agg(
-        F.count("*").alias("_seen"), F.min("times").alias("times"),
+        F.count("*").alias("_seen"),
         F.min("pos").alias("first"), F.min("nth").alias("first_nth"),
         F.max("pos").alias("last"), F.max("nth").alias("last_nth"),
     ).filter("_seen = words")
@@ -126,23 +137,30 @@ def cover_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> Data
         "_open_nth": F.max(F.when(own, F.col("first_nth"))).over(until)})
     closing = opened.groupBy(*group, "last", "last_nth", "ranked", "matched").agg(
         F.min("_open").alias("first"), F.min("_open_nth").alias("first_nth"),
-        F.max("times").alias("times"), F.count_if(F.col("_open").isNull()).alias("_missing"),
+        F.count_if(F.col("_open").isNull()).alias("_missing"),
     ).filter("_missing = 0")
 
     # Minimal covers: the nearest end of each start, without another cover inside.
     covers = closing.groupBy(*pair, "first", "first_nth").agg(
         F.min("last").alias("last"), F.min("last_nth").alias("last_nth"),
-        F.max("matched").alias("matched"), F.max("ranked").alias("ranked"), F.max("times").alias("times"))
+        F.max("matched").alias("matched"), F.max("ranked").alias("ranked"))
     later = Window.partitionBy(*pair).orderBy(F.col("first").desc()).rowsBetween(
         Window.unboundedPreceding, -1)
     inner = F.coalesce(F.min("last").over(later) <= F.col("last"), F.lit(False))
     noise = (F.col("last") - F.col("first")) - (F.col("last_nth") - F.col("first_nth"))
-    score = F.when(F.col("ranked") & ~F.col("_inner"),
-                   F.col("times") * COVER_WEIGHT / (1 + noise)).otherwise(0.0)
+    score = F.when(F.col("ranked") & ~F.col("_inner"), COVER_WEIGHT / (1 + noise)).otherwise(0.0)
     return covers.withColumn("_inner", inner).groupBy(*pair).agg(
         F.round(F.sum(score), RANK_DECIMALS).alias("relevance"), F.max("matched").alias("matched"))
 
 
+def rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
+    """Match flag and relevance per (query, document). The hits are settled, so that the
+    texts are read once for both kinds of query."""
+    stored = settle(hits)
+    return count_rank(stored.filter("simple"), doc_id, query_id).unionByName(
+        cover_rank(stored.filter("not simple"), doc_id, query_id))
+
+
 def substring_matches(activities: DataFrame, queries: DataFrame, doc_id: str, columns: list[str],
                       few: bool, query_id: str = "query_id", query: str = "q") -> DataFrame:
     """(query, activity) pairs where a column contains the query, letter case ignored.
@@ -167,7 +185,7 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     asked = usable_queries(queries, query)
     few = few_bytes(asked, query, QUERY_BYTES)
     hits = word_hits(documents, search_terms(asked, query_id, query), doc_id, text, few, query_id)
-    ranked = cover_rank(hits, doc_id, query_id)
+    ranked = rank(hits, doc_id, query_id)
     named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
         documents.select(doc_id), doc_id, "left_semi").withColumn("_named", F.lit(True))
     found = ranked.join(named, [query_id, doc_id], "full").filter(
