@@ -11,14 +11,14 @@ from tripweave.operators.keyed import is_small
 
 
 def upsert_weather(snapshots: DataFrame, forecast: DataFrame, seq: str, now: Column,
-                   source: str = schemas.WEATHER_SOURCE) -> DataFrame:
+                   source: str = schemas.WEATHER_SOURCE, whole_table: DataFrame | None = None) -> DataFrame:
     """Forecast rows by (trip, time): measures, source and fetch time are replaced."""
     measures = ["temperature_c", "precipitation_probability", "weather_code"]
     return merge.upsert(
         snapshots, forecast, ["trip_id", "forecast_time"], seq,
         set_columns={**{m: m for m in measures}, "source": F.lit(source), "fetched_at": now},
         insert_values={"source": F.lit(source), "fetched_at": now},
-        id_col="weather_snapshot_id",
+        id_col="weather_snapshot_id", whole_table=whole_table,
     )
 
 

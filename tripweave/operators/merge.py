@@ -54,19 +54,20 @@ def _as_target(rows: DataFrame, target: DataFrame, values: dict[str, Column | st
 
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], seq: str,
            set_columns: dict[str, Column | str], insert_values: dict[str, Column | str],
-           id_col: str | None = None) -> DataFrame:
+           id_col: str | None = None, whole_table: DataFrame | None = None) -> DataFrame:
     """Insert new keys, update the listed columns of known ones.
 
     The last change per key (highest seq) wins. Columns that are not in set_columns keep
     their stored value; insert_values gives the columns of new rows that the changes do
-    not carry. New ids follow the highest stored one.
+    not carry. New ids follow the highest stored one; when the target is only the touched
+    part of a table, whole_table is where the highest id is looked up.
     """
     latest = last_change(changes, keys, seq)
     small = is_small(changes)
     known = apply_updates(target, latest, keys, set_columns, small)
     fresh = unknown_keys(latest, target, keys, small)
     if id_col:
-        fresh = with_new_ids(fresh, target, id_col, keys)
+        fresh = with_new_ids(fresh, target if whole_table is None else whole_table, id_col, keys)
     return known.unionByName(_as_target(fresh, target, insert_values))
 
 

@@ -44,8 +44,9 @@ def _zip_to_shortest(arrays: dict[str, Column]) -> Column:
     return F.arrays_zip(*[F.slice(a, F.lit(1), length).alias(n) for n, a in arrays.items()])
 
 
-def hourly_rows(payloads: DataFrame, payload: str) -> DataFrame:
-    """Bronze rows of hourly payloads: the four parallel arrays, cut to the shortest."""
+def hourly_rows(payloads: DataFrame, payload: str, position: str | None = None) -> DataFrame:
+    """Bronze rows of hourly payloads: the four parallel arrays, cut to the shortest.
+    `position` names a column for a row's place in its payload."""
     kept = [c for c in payloads.columns if c != payload]
     hourly = F.from_json(payload, schemas.HOURLY_PAYLOAD)["hourly"]
     parsed = payloads.select(*kept, hourly.alias("_hourly"))
@@ -55,8 +56,9 @@ def hourly_rows(payloads: DataFrame, payload: str) -> DataFrame:
         "precipitation_probability": F.col("_hourly.precipitation_probability"),
         "weather_code": F.col("_hourly.weather_code"),
     })
-    return parsed.withColumn("_row", F.explode(zipped)).select(
-        *kept, "_row.forecast_time_raw", "_row.temperature_c",
+    return parsed.select(*kept, F.posexplode(zipped).alias("_place", "_row")).select(
+        *kept, *([F.col("_place").alias(position)] if position else []),
+        "_row.forecast_time_raw", "_row.temperature_c",
         "_row.precipitation_probability", "_row.weather_code",
     )
 

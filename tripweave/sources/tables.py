@@ -38,6 +38,13 @@ def overwrite_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] =
     writer.parquet(path)
 
 
+def overwrite_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """Replace a catalog table that is hashed and sorted by key. Tables with the same key
+    and number of buckets join without a shuffle."""
+    (rows.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+
+
 def touched_partitions(table: DataFrame, changes: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
     """The part of the table that the changes fall into. A key has to stay in its partition.
     The changes are reduced to partition values, of which a table has few."""
