@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tripweave import schemas
-from tripweave.operators import itinerary, matching, packing, quality, views
+from tripweave.operators import itinerary, keyed, matching, packing, quality, views
 
 D = dt.date(2026, 8, 10)
 ITEMS = "itinerary_item_id long, trip_id long, activity_id long, scheduled_at timestamp_ntz, " \
@@ -69,6 +69,15 @@ def test_add_auto(spark, rows):
     assert rows(itinerary.not_added(asked, got), "request_id") == [(1,), (3,), (5,), (7,), (8,), (9,)]
 
 
+def test_ids_have_to_be_integers(spark, rows):
+    asked = spark.createDataFrame([(1, "7", "8"), (2, "x", "8"), (3, "7", None), (4, " 7 ", "8")],
+                                  "request_id long, trip_id string, activity_id string")
+    valid, rejects = keyed.integer_columns(asked, ["trip_id", "activity_id"])
+    assert rows(valid) == [(1, 7, 8), (4, 7, 8)]
+    assert rows(rejects, "request_id", "reject_reason") == [
+        (2, "trip_id must be an integer"), (3, "activity_id must be an integer")]
+
+
 @pytest.mark.parametrize("duration,reason", [
     (0, "duration_minutes must be between 1 and 1440"), (1, None), (1440, None),
     (1441, "duration_minutes must be between 1 and 1440"), (None, None)])

@@ -7,17 +7,18 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tripweave.functions.stemming import stem_word
 from tripweave.functions.text import STOP_WORDS, grams, probe_gram
 from tripweave.operators import textsearch
 
-WORDS = ["castle", "river", "museum", "tour", "the", "food", "and", "old"]
+WORDS = ["castle", "river", "museum", "tour", "the", "food", "and", "old", "castles", "tours"]
 
 
 def split(text):
     return re.findall(r"[^\W_]+", text.lower())
 
 
-def parse(query):
+def parse(query, stems=str):
     groups = [[]]
     for piece in re.findall(r'-?"[^"]*"?|[^\s"]+', query):
         if piece.lower() == "or":
@@ -25,13 +26,13 @@ def parse(query):
             continue
         words = [(i, w) for i, w in enumerate(split(piece)) if w not in STOP_WORDS]
         if words:
-            groups[-1].append((piece.startswith("-"), [(i - words[0][0], w) for i, w in words]))
+            groups[-1].append((piece.startswith("-"), [(i - words[0][0], stems(w)) for i, w in words]))
     return [g for g in groups if g]
 
 
-def evaluate(query, text):
+def evaluate(query, text, stems=str):
     """(matches, relevance) by looking at every interval of the text."""
-    words, groups = split(text), parse(query)
+    words, groups = [stems(w) for w in split(text)], parse(query, stems)
 
     def places(item):
         return [s for s in range(len(words)) if all(
@@ -54,7 +55,7 @@ QUERY_TEXTS = [
     "castle", "castle river", '"castle river"', "castle or museum", "castle -river", "-castle", "the",
     "the -food", '"castle the river"', '-"castle river" tour', "castle or river food", "castle castle",
     "castle or castle", "Castle-River", "old -castle or food", 'museum"food tour"', "or castle or", "nowhere",
-    "-castle or river", '"old old"', "castle river tour", '"river castle" or "castle river"', "CASTLE",
+    "-castle or river", '"old old"', "castle or castles", '"castles river"', "castling -towers or touring", "castle river tour", '"river castle" or "castle river"', "CASTLE",
 ]
 
 
@@ -65,15 +66,17 @@ def texts():
     return made + ["", "x " * 3000 + "castle"]
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_match_and_rank(spark, texts, few):
+@pytest.mark.parametrize("few,stemmed", [(True, False), (False, False), (True, True), (False, True)])
+def test_match_and_rank(spark, texts, few, stemmed):
     documents = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
     queries = spark.createDataFrame(list(enumerate(QUERY_TEXTS)), "query_id long, q string")
-    terms = textsearch.search_terms(queries)
+    terms = textsearch.search_terms(queries, stemmed=stemmed)
+    if stemmed:
+        terms = textsearch.with_forms(terms, documents, "text", few)
     got = {(r["query_id"], r["id"]): (r["matched"], r["relevance"]) for r in textsearch.rank(
         textsearch.word_hits(documents, terms, "id", "text", few), "id").collect()}
     for (q, query), (d, text) in itertools.product(enumerate(QUERY_TEXTS), enumerate(texts)):
-        matched, score = evaluate(query, text)
+        matched, score = evaluate(query, text, stem_word if stemmed else str)
         assert got.get((q, d), (False, 0.0)) == (matched, pytest.approx(score, abs=2e-6)), (query, text)
 
 
@@ -118,5 +121,8 @@ def test_search_orders_and_cuts(spark, rows):
     assert rows(got.filter("query_id = 1"), "rank", "activity_id", "relevance") == [
         (1, 2, 0.2), (2, 5, 0.2), (3, 8, 0.2), (4, 1, 0.1), (5, 4, 0.1), (6, 7, 0.1)]
     assert rows(got.filter("query_id = 3"), "activity_id", "relevance") == [(8, 0.0)]
+    plural = spark.createDataFrame([(5, "castles")], "query_id long, q string")
+    assert textsearch.keyword_search(activities, documents, plural).count() == 6
+    assert textsearch.keyword_search(activities, documents, plural, stemmed=False).count() == 0
     assert rows(got.filter("query_id = 4"), "rank", "activity_id") == [(i + 1, i) for i in range(6)]
     assert got.filter("query_id = 2").count() == 0

@@ -122,5 +122,15 @@ def running_index(rows: DataFrame, keys: list[str], order: str, index: str,
             .drop("_chunk", "_before", "_inside"))
 
 
+def integer_columns(requests: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Requests with the columns as whole numbers, and rejects naming the first that is none."""
+    parsed = {c: F.col(c).try_cast("bigint") for c in columns}
+    reason = F.coalesce(*[
+        F.when(number.isNull(), F.lit(f"{c} must be an integer")) for c, number in parsed.items()])
+    checked = requests.withColumn("reject_reason", reason)
+    valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    return valid.withColumns(parsed), checked.filter(F.col("reject_reason").isNotNull())
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right), parts)

@@ -1,7 +1,7 @@
 """Keyword search: word, phrase, `or` and minus queries, substring matches, cover rank.
 
 Words are lower-case letter and digit runs; English stop words are skipped but keep their
-positions. There is no stemming. The rank adds up, over the minimal covers of a query in a
+positions. Words with the same English stem count as equal. The rank adds up, over the minimal covers of a query in a
 document, 0.1 / (1 + number of other words inside the cover), after the cover-density
 ranking of Clarke, Cormack and Tudhope (2000).
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tripweave.functions.stemming import stem
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
 from tripweave.operators.keyed import few_bytes, settle, top_per_key
 
@@ -26,14 +27,17 @@ def usable_queries(queries: DataFrame, query: str = "q") -> DataFrame:
     return queries.withColumn(query, F.trim(query)).filter(F.col(query) != "")
 
 
-def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q") -> DataFrame:
+def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q",
+                 stemmed: bool = False) -> DataFrame:
     """One row per word of each query.
 
     A query is a list of groups joined by `or`; a document matches a group when it has all
     of its plain items and none of its minus items. An item is a word or a phrase: `item`
     tells items apart, `off` is a word's place in its item, `words` the item's word count
     and `needed` the group's number of plain items. A group of minus items only gets a plain
-    item for the empty word, which every document has.
+    item for the empty word, which every document has. `simple` marks queries in which one
+    word is enough, `counted` the first use of a word in its query. With `stemmed` the terms
+    are stems.
     """
     pieces = queries.select(
         query_id,
@@ -46,6 +50,8 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
         F.posexplode(tokens(F.col("piece"))).alias("_place", "term"),
     ).filter(~is_stop_word(F.col("term"))).withColumns({
         "off": F.col("_place") - F.min("_place").over(item), "words": F.count("*").over(item).cast("int")})
+    if stemmed:
+        words = words.withColumn("term", stem(F.col("term")))
 
     group = Window.partitionBy(query_id, "grp")
     plain = F.count_if(~F.col("minus") & (F.col("off") == 0)).over(group).cast("int")
@@ -66,6 +72,19 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
         "counted": uses == 1})
 
 
+def with_forms(terms: DataFrame, documents: DataFrame, text: str, few: bool) -> DataFrame:
+    """Stemmed terms replaced by all words of the texts that have the same stem.
+
+    Only distinct words are stemmed; the words of a text are made distinct in each task
+    before they are shuffled.
+    """
+    every = F.concat(
+        F.array_distinct(tokens(F.coalesce(text, F.lit("")))), F.array(F.lit(ANY_DOCUMENT)))
+    vocabulary = documents.select(F.explode(every).alias("_form")).distinct()
+    forms = vocabulary.withColumn("term", stem(F.col("_form")))
+    return forms.join(F.broadcast(terms) if few else terms, "term").drop("term").withColumnRenamed("_form", "term")
+
+
 def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, few: bool,
               query_id: str = "query_id") -> DataFrame:
     """Places of the queries' words in the whole texts, read in one pass.
@@ -179,18 +198,25 @@ def substring_matches(activities: DataFrame, queries: DataFrame, doc_id: str, co
 def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFrame,
                    doc_id: str = "activity_id", text: str = "document_text", name: str = "name",
                    category: str = "category", query_id: str = "query_id", query: str = "q",
-                   results: int = RESULTS) -> DataFrame:
+                   results: int = RESULTS, stemmed: bool = True) -> DataFrame:
     """The best activities with a document for every query: full-text match, or a name or
-    category that contains the query; by relevance, then name."""
+    category that contains the query; by relevance, then name. `embedded` tells whether the
+    document has a vector, which is looked up for the results only."""
     asked = usable_queries(queries, query)
     few = few_bytes(asked, query, QUERY_BYTES)
-    hits = word_hits(documents, search_terms(asked, query_id, query), doc_id, text, few, query_id)
+    terms = search_terms(asked, query_id, query, stemmed)
+    if stemmed:
+        terms = settle(with_forms(terms, documents, text, few))
+    few_terms = few_bytes(terms, "term") if stemmed else few
+    hits = word_hits(documents, terms, doc_id, text, few_terms, query_id)
     ranked = rank(hits, doc_id, query_id)
     named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
         documents.select(doc_id), doc_id, "left_semi").withColumn("_named", F.lit(True))
     found = ranked.join(named, [query_id, doc_id], "full").filter(
         F.coalesce("matched", F.lit(False)) | F.coalesce("_named", F.lit(False))
     ).select(query_id, doc_id, F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
-    return top_per_key(
+    top = top_per_key(
         found.join(activities, doc_id), [query_id],
         [F.col("relevance").desc(), F.col(name).asc(), F.col(doc_id).asc()], results, "rank")
+    vectors = documents.select(doc_id, F.col("embedding").isNotNull().alias("embedded"))
+    return (F.broadcast(top) if few else top).join(vectors, doc_id)

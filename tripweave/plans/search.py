@@ -90,15 +90,28 @@ def _keyword_queries(t: Tables) -> DataFrame:
         F.col("item_id").alias("query_id"), q.alias("q"))
 
 
+def _text_search(t: Tables, stemmed: bool) -> DataFrame:
+    documents = spread_small_input(t.raw("documents"), "doc_id").select(
+        F.col("doc_id").alias("activity_id"), F.col("text").alias("document_text"),
+        F.when(F.col("lang") == "en", F.col("n_chars")).alias("embedding"))
+    found = textsearch.keyword_search(t.activities(), documents, _keyword_queries(t), stemmed=stemmed)
+    return found.select(
+        "query_id", "rank", "activity_id", "name", "category", "indoor", "embedded", "relevance")
+
+
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
-    documents = _texts(t).select(F.col("doc_id").alias("activity_id"), F.col("text").alias("document_text"))
-    found = textsearch.keyword_search(t.activities(), documents, _keyword_queries(t))
-    return found.select("query_id", "rank", "activity_id", "name", "category", "indoor", "relevance")
+    """Keyword search with words as they are spelled, which SQL can repeat."""
+    return _text_search(Tables(spark, folder), stemmed=False)
+
+
+def text_search_stemmed(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyword search by English stems. SQL has no stemmer, so this one has no twin."""
+    return _text_search(Tables(spark, folder), stemmed=True)
 
 
 QUERIES = {f.__name__: f for f in (
-    embed_documents, semantic_topk, semantic_topk_batch, semantic_ann, ann_recall, text_search)}
+    embed_documents, semantic_topk, semantic_topk_batch, semantic_ann, ann_recall, text_search,
+    text_search_stemmed)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -228,7 +241,9 @@ _TEXT_SEARCH = f"""
         GROUP BY 1, 2)
     SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id
                ORDER BY relevance DESC, name, activity_id) AS INTEGER) AS rank,
-           activity_id, name, category, indoor, CAST(relevance AS DOUBLE) AS relevance
+           activity_id, name, category, indoor,
+           (SELECT lang = 'en' FROM documents d WHERE d.doc_id = found.doc_id) AS embedded,
+           CAST(relevance AS DOUBLE) AS relevance
     FROM found JOIN activities ON activity_id = doc_id
     QUALIFY rank <= 6"""
 
