@@ -197,7 +197,10 @@ def test_running_index_over_chunks_of_a_hot_key(spark):
 
 
 def test_size_checks(spark):
-    assert keyed.is_small(spark.range(10), 10) and not keyed.is_small(spark.range(11), 10)
-    text = spark.createDataFrame([("abc",), (None,), ("é",)], "q string")
-    assert keyed.few_bytes(text, "q", 5) and not keyed.few_bytes(text, "q", 4)
-    assert keyed.few_bytes(text.filter("false"), "q", 0)
+    assert keyed.is_small(spark.range(10), 160) and not keyed.is_small(spark.range(10), 159)
+    text = spark.createDataFrame([("abc", [1.5]), (None, None), ("é", [])], "q string, v array<double>")
+    assert keyed.is_small(text.select("q"), 29) and not keyed.is_small(text.select("q"), 28)
+    assert not keyed.is_small(text, 40)
+    assert keyed.is_small(text.filter("false"), 0)
+    long = spark.createDataFrame([("x" * 1000,)], "q string")
+    assert not keyed.is_small(long, 1000)

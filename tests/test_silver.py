@@ -12,6 +12,7 @@ from tripweave.functions.labels import weather_label
 from tripweave.functions.numbers import clamp, percent_half_even
 from tripweave.functions.times import iso_text, iso_time, slot_time
 from tripweave.operators import silver
+from tripweave.session import shuffle_partitions
 from tripweave.sources import export, tables
 
 def now():
@@ -108,6 +109,11 @@ def test_only_touched_partitions_are_rewritten(spark, tmp_path, rows):
     assert sorted(p.name for p in (tmp_path / "t" / "part=a").iterdir()) == untouched
 
 
+def test_shuffle_partitions_follow_the_input():
+    assert shuffle_partitions(1, 8) == 16
+    assert shuffle_partitions(100 * 2**40, 4000) == 819_200
+
+
 def test_defaults_fill_missing_values(spark, rows):
     frame = spark.createDataFrame([(1, None), (2, "done")], "id int, status string")
     assert rows(tables.with_defaults(frame, {"status": "planned", "duration": 120})) == [

@@ -35,7 +35,7 @@ def sample():
 
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_exact_search_is_brute_force(spark, rows, sample, monkeypatch, broadcast):
-    monkeypatch.setattr(vectors, "few_bytes", lambda *_: broadcast)
+    monkeypatch.setattr(vectors, "is_small", lambda *_: broadcast)
     docs, queries = sample
     d, q = spark.createDataFrame(docs, DOCS).repartition(5), spark.createDataFrame(queries, QUERIES)
     got = vectors.cosine_top_k(d, q, ["place"])

@@ -4,25 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tripweave.functions.numbers import hash_lane
 from tripweave.session import ensure_checkpoint_dir
 
-BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 ID_LANES = 1024
 INDEX_CHUNK = 100_000
 
 
-def is_small(rows: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether there are at most max_rows rows. Each task stops counting there."""
-    return rows.limit(max_rows + 1).count() <= max_rows
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, roughly: the length of texts and arrays, a flat size for the rest."""
+    column = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) + 8
+    return F.lit(16)
 
 
-def few_bytes(rows: DataFrame, column: str, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether the values of a text or binary column take at most max_bytes together."""
-    return (rows.agg(F.sum(F.octet_length(column))).first()[0] or 0) <= max_bytes
+def is_small(rows: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows together are small enough to broadcast. One distributed sum; columns
+    of fixed size are not read for it."""
+    width = reduce(lambda a, b: a + b, [_width(f) for f in rows.schema.fields])
+    return (rows.agg(F.sum(width.cast("bigint"))).first()[0] or 0) <= max_bytes
 
 
 def settle(rows: DataFrame) -> DataFrame:

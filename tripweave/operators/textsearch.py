@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave.functions.stemming import stem
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
-from tripweave.operators.keyed import few_bytes, settle, top_per_key
+from tripweave.operators.keyed import is_small, settle, top_per_key
 
 RESULTS = 6
 COVER_WEIGHT = 0.1
@@ -203,11 +203,11 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     category that contains the query; by relevance, then name. `embedded` tells whether the
     document has a vector, which is looked up for the results only."""
     asked = usable_queries(queries, query)
-    few = few_bytes(asked, query, QUERY_BYTES)
+    few = is_small(asked.select(query), QUERY_BYTES)
     terms = search_terms(asked, query_id, query, stemmed)
     if stemmed:
         terms = settle(with_forms(terms, documents, text, few))
-    few_terms = few_bytes(terms, "term") if stemmed else few
+    few_terms = is_small(terms) if stemmed else few
     hits = word_hits(documents, terms, doc_id, text, few_terms, query_id)
     ranked = rank(hits, doc_id, query_id)
     named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions.numbers import clamp, text_bucket
 from tripweave.functions.text import is_stop_word, tokens
-from tripweave.operators.keyed import few_bytes, top_per_key
+from tripweave.operators.keyed import is_small, top_per_key
 from tripweave.schemas import EMBEDDING_DIM
 
 DEFAULT_LIMIT = 5
@@ -138,7 +138,7 @@ def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_
     doc_blocks = _pack(present, keys, doc_id, doc_vector, "d")
     asked = queries.filter(F.col(query_vector).isNotNull())
     query_blocks = _pack(asked, keys, query_id, query_vector, "q", QUERY_BLOCK)
-    if few_bytes(query_blocks, "q_vectors"):
+    if is_small(query_blocks):
         query_blocks = F.broadcast(query_blocks)
     candidates = _score_blocks(doc_blocks.join(query_blocks, keys), doc_id, query_id, MAX_LIMIT)
     ranked = top_per_key(

@@ -7,11 +7,21 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int, cores: int) -> int:
+    """Partitions of about 128 MB for the given input, and at least two per core."""
+    return max(2 * cores, -(-input_bytes // PARTITION_BYTES))
+
+
 def build_session(app: str = "tripweave", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are designed for.
 
     Wall-clock times are kept as they come, so the session zone is UTC.
     Skewed joins are split even where the split costs one more exchange.
+    For large inputs pass `shuffle_partitions` of their size as
+    spark.sql.shuffle.partitions; adaptive execution merges what turns out too small.
     """
     builder = (
         SparkSession.builder.appName(app)
