@@ -74,13 +74,17 @@ def doc_dedupe(spark: SparkSession, folder: str) -> DataFrame:
 
 def _articles(t: Tables) -> DataFrame:
     """Documents as articles about the part of the same key, in other letter case. Every
-    third one names a neighbouring destination, where the activity may not exist."""
+    third one names a neighbouring destination, where the activity may not exist, and German
+    ones name the brand, which is no activity."""
     nations = F.broadcast(t.raw("nation").select(
         F.col("n_nationkey").alias("_nation"), F.col("n_name").alias("destination_name")))
-    names = t.raw("part").select(F.col("p_partkey").alias("doc_id"), F.upper("p_name").alias("activity_name"))
+    names = t.raw("part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_brand")
+    named = F.when(F.col("lang") == "de", F.col("p_brand")).otherwise(F.upper("p_name"))
     shift = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
-    return t.raw("documents").select("doc_id", "text").join(names, "doc_id").withColumn(
-        "_nation", ((F.col("doc_id") + shift) % 25).cast("int")).join(nations, "_nation").drop("_nation")
+    return t.raw("documents").join(names, "doc_id").select(
+        "doc_id", "text", named.alias("activity_name"),
+        ((F.col("doc_id") + shift) % 25).cast("int").alias("_nation"),
+    ).join(nations, "_nation").drop("_nation")
 
 
 def match_enrich(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +109,8 @@ _PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(
 
 _MATCH = """
     articles AS (
-        SELECT d.doc_id, text, upper(p_name) AS activity_name, n_name AS destination_name
+        SELECT d.doc_id, text, CASE WHEN lang = 'de' THEN p_brand ELSE upper(p_name) END AS activity_name,
+               n_name AS destination_name
         FROM documents d JOIN part ON p_partkey = d.doc_id
         JOIN nation ON n_nationkey = (d.doc_id + CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END) % 25),
     found AS (

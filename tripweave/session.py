@@ -40,13 +40,13 @@ def build_session(app: str = "tripweave", master: str | None = None, **conf: str
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a private one only for local sessions that name none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="run-")
+    active = spark.sparkContext.getCheckpointDir()
+    if active:
+        return active
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
