@@ -76,12 +76,14 @@ def with_forms(terms: DataFrame, documents: DataFrame, text: str, few: bool) ->
     """Stemmed terms replaced by all words of the texts that have the same stem.
 
     Only distinct words are stemmed; the words of a text are made distinct in each task
-    before they are shuffled.
+    before they are shuffled. They are few bytes but costly to stem, so they are spread over
+    all cores again.
     """
     every = F.concat(
         F.array_distinct(tokens(F.coalesce(text, F.lit("")))), F.array(F.lit(ANY_DOCUMENT)))
     vocabulary = documents.select(F.explode(every).alias("_form")).distinct()
-    forms = vocabulary.withColumn("term", stem(F.col("_form")))
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    forms = vocabulary.repartition(cores, "_form").withColumn("term", stem(F.col("_form")))
     return forms.join(F.broadcast(terms) if few else terms, "term").drop("term").withColumnRenamed("_form", "term")
 
 
