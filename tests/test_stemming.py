@@ -35,3 +35,9 @@ def test_known_stems(word, expected):
 def test_stem_column(spark):
     frame = spark.createDataFrame([("museums",), (None,), ("été",)], "w string")
     assert [r[0] for r in frame.select(stem(F.col("w"))).collect()] == ["museum", None, "été"]
+
+
+def test_task_functions_do_not_need_the_package():
+    from pyspark import cloudpickle
+    sent = cloudpickle.dumps(stem_word)
+    assert b"IRREGULAR" in sent and b"skies" in sent

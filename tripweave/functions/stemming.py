@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -54,7 +53,6 @@ def _past_and_gerund(word: str, r1: int) -> str:
     return base + "e" if len(base) <= r1 and _SHORT_END.match(base) else base
 
 
-@lru_cache(maxsize=100_000)
 def stem_word(word: str) -> str:
     if len(word) <= 2 or word in UNCHANGED:
         return word
