@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripweave.llm import tokencount
+from tripweave.llm import bytebpe, language, mixing, quality, simhash, tokencount, tokenfiles, urlrules
+from tripweave.llm.common import shared_path
 from tripweave.sources.tables import read_table
 
 
@@ -14,5 +15,41 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         read_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op1_token_counts": op1_token_counts}
-ORACLE: dict[str, str] = {}
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return language.predict_documents(docs, language.fit(language.learning_part(docs)))
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs, vocabulary = read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    path = shared_path(docs, "tokens")
+    tokenfiles.write_tokens(docs, path, lambda: tokenfiles.ChunkEncoder(vocabulary).encode)
+    return tokenfiles.read_tokens(spark, path)
+
+
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return quality.judge_documents(docs, quality.fit(docs, read_table(spark, folder, "labels")))
+
+
+def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return urlrules.judge_urls(read_table(spark, folder, "pages"))
+
+
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bytebpe.round_trip(read_table(spark, folder, "documents"),
+                              public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_counts(read_table(spark, folder, "documents"))
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, folder, "documents"))
+
+
+QUERIES = {query.__name__: query for query in (
+    op1_token_counts, op2_language_id, op3_token_files, op4_quality_rules, op5_url_filters, op6_byte_bpe,
+    op7_source_mix, op8_simhash)}
+ORACLE = {"op5_url_filters": urlrules.sql(), "op7_source_mix": mixing.SQL}
