@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tripweave.llm import bytebpe, chat, embedgroups, language, mixing, quality, simhash, tokencount, tokenfiles, urlrules
 from tripweave.llm.common import shared_path
 from tripweave.sources.tables import read_table
@@ -57,7 +58,7 @@ def op10_embedding_groups(spark: SparkSession, folder: str) -> DataFrame:
     return embedgroups.near_vectors(read_table(spark, folder, "embeddings"))
 
 
-QUERIES = {query.__name__: query for query in (
+QUERIES = {"pipeline": corpus_pipeline.run} | {query.__name__: query for query in (
     op1_token_counts, op2_language_id, op3_token_files, op4_quality_rules, op5_url_filters, op6_byte_bpe,
     op7_source_mix, op8_simhash, op9_chat_format, op10_embedding_groups)}
 ORACLE = {"op5_url_filters": urlrules.sql(), "op7_source_mix": mixing.SQL}
