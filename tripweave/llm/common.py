@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tripweave.session import ensure_checkpoint_dir
 
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 2 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 Work = Callable[[list], list]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Limits the bytes of an Arrow batch for the session, so that a task holds little of its
+    texts at a time however long they are. A lower limit stays."""
+    now, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(BATCH_SETTING).lower()).groups()
+    if not 0 < int(now) * 1024 ** " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """A batch in pieces of about `limit` bytes of text; one row may be longer than that."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
@@ -36,6 +47,7 @@ def text_columns(rows: DataFrame, make: Callable[[], Work], outputs: list[T.Stru
     `make` runs once per task; what it returns takes a list of texts (null: None) and gives
     one sequence per output. Only the named columns are read, whatever else the rows hold.
     """
+    bound_batches(rows.sparkSession)
     schema = T.StructType([rows.schema[name] for name in keep] + outputs)
     kinds = [to_arrow_type(field.dataType) for field in outputs]
     names = schema.names
@@ -57,7 +69,9 @@ def text_columns(rows: DataFrame, make: Callable[[], Work], outputs: list[T.Stru
 
 def filter_texts(rows: DataFrame, make: Callable[[], Work], text: str = "text") -> DataFrame:
     """The rows whose text the work of a task keeps, with all their columns."""
-    at = rows.columns.index(text)
+    bound_batches(rows.sparkSession)
+    names = rows.columns
+    at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -67,7 +81,7 @@ def filter_texts(rows: DataFrame, make: Callable[[], Work], text: str = "text")
                 work = work or make()
                 kept = work(piece.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    piece.filter(pa.array(kept, pa.bool_())).columns, names=rows.columns)
+                    piece.filter(pa.array(kept, pa.bool_())).columns, names=names)
 
     return rows.mapInArrow(run, rows.schema)
 

@@ -12,46 +12,86 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.llm import simple8b
-from tripweave.llm.common import slices
+from tripweave.llm.common import bound_batches, slices
 from tripweave.operators.keyed import is_small
 
 END_ID = 1
 SEGMENT_IDS = 1 << 20
-CHUNK_LIMIT = 300_000
+CHUNK_LIMIT = 200_000
 SEGMENT_SCHEMA = "part int, segment int, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, ids binary"
 
 
+# Fixed value: how the vocabulary's tokenizer parts lower-case text; letters up to y with diaeresis.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
+LATIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
+CONTROLS = re.compile("[\x1c-\x1f]").search
+
+
 class ChunkEncoder:
-    """Ids of texts, encoded with the tokenizers library chunk by chunk.
+    """Ids of texts, encoded with the tokenizers library piece by piece.
 
     For tokenizers that drop white space and never join what it parts, the ids of a text are
     those of its chunks between white space, in order. Distinct chunks are encoded once and
-    kept, at most `CHUNK_LIMIT` at a time. Python parts texts at four control characters that
-    are no white space to the library; texts with one of them are encoded as they are.
+    kept, at most `CHUNK_LIMIT` at a time. Texts of ASCII and the common Latin letters, without
+    special tokens, are lower-cased and split as the tokenizer does, so that their chunks share
+    words; the library's model merges each distinct word. All other chunks go through the whole
+    tokenizer. Python parts texts at four control characters that are no white space to the
+    library; texts with one of them are encoded as they are.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole = re.compile("[\x1c-\x1f]").search
-        self.known: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        with open(path, encoding="utf-8") as file:
+            self.special = [token["content"] for token in json.load(file)["added_tokens"]]
+        as_symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.symbols = {code: as_symbols(chr(code))[0][0] for code in range(256)}
+        self.raw: dict[str, bytes] = {}
+        self.lowered: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
+    def _encode_lowered(self, chunk: str) -> bytes:
+        words, found = self.words, WORDS.findall(chunk)
+        for word in found:
+            if word not in words:
+                tokens = self.merge(word if word.isascii() and word.isprintable() else word.translate(self.symbols))
+                words[word] = np.array([token.id for token in tokens], "<u4").tobytes()
+        return words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
+
+    def _is_plain(self, text: str) -> bool:
+        return not ((not text.isascii() and LATIN(text)) or any(token in text for token in self.special) or CONTROLS(text))
+
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        known = self.known
-        if len(known) > CHUNK_LIMIT:
-            known.clear()
-        cut = [[text] if self.whole(text) else text.split() for text in (t or "" for t in texts)]
-        missing = list({chunk for chunks in cut for chunk in set(chunks).difference(known)})
-        for start in range(0, len(missing), 4096):
-            part = missing[start:start + 4096]
-            known.update(zip(part, self._encode(part)))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+        for kept in (self.raw, self.lowered, self.words):
+            if len(kept) > CHUNK_LIMIT:
+                kept.clear()
+        cut, missing, new = [], set(), set()
+        for text in texts:
+            text = text or ""
+            if self._is_plain(text):
+                chunks, known, wanted = text.lower().split(), self.lowered, new
+            else:
+                chunks, known, wanted = [text] if CONTROLS(text) else text.split(), self.raw, missing
+            wanted.update(set(chunks).difference(known))
+            cut.append((known, chunks))
+        for chunk in new:
+            self.lowered[chunk] = self._encode_lowered(chunk)
+        order = list(missing)
+        for start in range(0, len(order), 4096):
+            part = order[start:start + 4096]
+            self.raw.update(zip(part, self._encode(part)))
+        return [b"".join(map(known.__getitem__, chunks)) for known, chunks in cut]
 
 
 def _segment(part: int, number: int, keys: list, tokens: list[bytes]) -> dict:
@@ -75,6 +115,7 @@ def write_tokens(docs: DataFrame, path: str, make_encoder: Callable[[], Callable
     Spark commits a part's file once its task is done, so a lost executor leaves no half file.
     A null text gives the end id alone, and an empty table files without rows.
     """
+    bound_batches(docs.sparkSession)
     schema = docs.sparkSession.createDataFrame([], SEGMENT_SCHEMA).schema
     end = np.array([end_id], "<u4").tobytes()
 
