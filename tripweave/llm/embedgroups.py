@@ -80,13 +80,10 @@ def _pair_links(left: dict, right: dict | None, least: float) -> Iterator[tuple]
     stands for its group in these shards. Each shard is searched for all vectors of the other,
     and a link found from either side counts for both."""
     one = hnsw.Graph.from_bytes(left["graph"])
-    two = one if right is None else hnsw.Graph.from_bytes(right["graph"])
-    near = hnsw.near_matrix(two, one.vectors, least)[0]
+    two = None if right is None else hnsw.Graph.from_bytes(right["graph"])
+    near = hnsw.near_matrix(one, two, least)[0]
     if right is None:
         np.fill_diagonal(near, False)
-        near |= near.T
-    else:
-        near |= hnsw.near_matrix(one, two.vectors, least)[0].T
     ids = [np.frombuffer(side["ids"], np.int64) for side in (left, right or left)]
     copies = [np.frombuffer(side["copies"], np.int64) for side in (left, right or left)]
     shift = 0 if right is None else len(ids[0])

@@ -18,8 +18,9 @@ BLOCK = 256
 FIRST = 64
 CELLS = 500_000
 AUDIT_QUERIES = 64
-AUDIT_RECALL = 0.99
+AUDIT_RECALL = 0.995
 BEAM = 32
+WALK = 2048
 
 
 class Graph(NamedTuple):
@@ -220,42 +221,67 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np
     return beam_search(graph.vectors, graph.links[0], queries, entries, beam)
 
 
-def _fill_links(graph: Graph, queries: np.ndarray, least: float, beam: int, out: np.ndarray) -> None:
-    """Marks the nodes found with at least the given cosine. A query whose whole beam is that
-    near may have more, so its beam is doubled until it isn't, or holds all nodes."""
-    rows = np.arange(len(queries))
-    while len(rows):
-        wider = []
-        block = max(1, min(BLOCK, 4_000_000 // (beam + 1)))
-        for start in range(0, len(rows), block):
-            part = rows[start:start + block]
-            ids, sims = search(graph, queries[part], min(beam, len(graph.vectors)))
-            near = (sims >= least) & (ids >= 0)
-            hit = np.nonzero(near)
-            out[part[hit[0]], ids[hit]] = True
-            if beam < len(graph.vectors):
-                wider.append(part[near.all(axis=1)])
-        rows = np.concatenate(wider) if wider else rows[:0]
-        beam *= 2
-
+def _widen(graph: Graph, queries: np.ndarray, least: float, found: np.ndarray) -> None:
+    """Goes on from the near nodes found of each query to all near nodes that links reach, a
+    bounded number of expansions at a time: a beam as wide as the query's group."""
+    seen = np.concatenate([found, np.zeros((len(found), 1), bool)], axis=1)
+    todo = found.copy()
+    while True:
+        query, node = np.nonzero(todo)
+        if not len(query):
+            return
+        query, node = query[:WALK], node[:WALK]
+        todo[query, node] = False
+        near = graph.links[0][node]
+        query, near = np.repeat(query, near.shape[1]), near.ravel()
+        fresh = (near >= 0) & ~seen[query, near]
+        query, near = query[fresh], near[fresh]
+        seen[query, near] = True
+        hit = np.einsum("md,md->m", graph.vectors[near], queries[query]) >= least
+        found[query[hit], near[hit]] = True
+        todo[query[hit], near[hit]] = True
 
-def near_matrix(graph: Graph, queries: np.ndarray, least: float) -> tuple[np.ndarray, float]:
-    """Which nodes are found within `least` of each query, and the recall of the last audit.
 
-    Some queries, evenly spaced, are compared with every node. While too few of their true
-    links are found, the beam of all queries is doubled; a beam as wide as the graph
-    gives way to comparing all, block by block.
+def _fill_links(graph: Graph, queries: np.ndarray, least: float, beam: int, out: np.ndarray) -> None:
+    """Marks the nodes found with at least the given cosine. A query whose whole beam is that
+    near may have more, so it goes on through near nodes."""
+    for start in range(0, len(queries), BLOCK):
+        part = slice(start, start + BLOCK)
+        ids, sims = search(graph, queries[part], beam)
+        near = (sims >= least) & (ids >= 0)
+        hit = np.nonzero(near)
+        out[start + hit[0], ids[hit]] = True
+        full = start + np.flatnonzero(near.all(axis=1))
+        if len(full):
+            found = out[full]
+            _widen(graph, queries[full], least, found)
+            out[full] = found
+
+
+def near_matrix(one: Graph, two: Graph | None, least: float) -> tuple[np.ndarray, float]:
+    """Which nodes of two graphs (or of one with itself) are found within `least` of each
+    other, and the recall of the last audit.
+
+    Each graph is searched for all vectors of the other; a pair found from either side
+    counts. Some vectors, evenly spaced, are compared with every node. While too few of their
+    true links are found, all beams are doubled; beyond a sixteenth of the graph, all pairs are
+    compared, block by block.
     """
-    out = np.zeros((len(queries), len(graph.vectors)), bool)
-    audit = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT_QUERIES, len(queries))).astype(np.int64))
-    truth = queries[audit] @ graph.vectors.T >= least
+    other = two or one
+    out = np.zeros((len(one.vectors), len(other.vectors)), bool)
+    back = np.zeros((len(other.vectors), len(one.vectors)), bool) if two else None
+    audit = np.unique(np.linspace(0, len(out) - 1, min(AUDIT_QUERIES, len(out))).astype(np.int64))
+    truth = one.vectors[audit] @ other.vectors.T >= least
     beam = BEAM
-    while beam < len(graph.vectors):
-        _fill_links(graph, queries, least, beam, out)
-        recall = (out[audit] & truth).sum() / max(1, truth.sum())
+    while 16 * beam < len(other.vectors):
+        _fill_links(other, one.vectors, least, beam, out)
+        if two:
+            _fill_links(one, two.vectors, least, beam, back)
+        out |= back.T if two else out.T.copy()
+        recall = float((out[audit] & truth).sum() / max(1, truth.sum()))
         if recall >= AUDIT_RECALL or not truth.any():
-            return out, float(recall) if truth.any() else 1.0
+            return out, recall if truth.any() else 1.0
         beam *= 2
-    for start in range(0, len(queries), BLOCK):
-        out[start:start + BLOCK] = queries[start:start + BLOCK] @ graph.vectors.T >= least
+    for start in range(0, len(out), BLOCK):
+        out[start:start + BLOCK] = one.vectors[start:start + BLOCK] @ other.vectors.T >= least
     return out, 1.0
