@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tripweave import jobs, schemas
 from tripweave.operators import views
-from tripweave.sources import tables
 
 RUN = "2026-08-09 06:00:00"
 
@@ -42,7 +41,8 @@ def load(spark, warehouse, *weather):
         [(n, *w) for n, w in enumerate(weather)], "payload_id int, destination_name string, payload string"), now)
     landed = spark.createDataFrame(
         [(1, "lisbon", "A", article("Alfama", "long " * 30)), (2, "Lisbon", "B", article("Alfama", "long " * 40)),
-         (3, "Lisbon", "C", article("Short", "x")), (4, "Lisbon", "D", article("Gone", "words " * 30))],
+         (3, "Lisbon", "C", article("Short", "x")), (4, "Lisbon", "D", article("Gone", "words " * 30)),
+         (5, "Lisbon", "E", article("Unasked", "words " * 30)), (6, "Lisbon", "A", "{")],
         "article_id long, destination_name string, requested_title string, payload string")
     titles = spark.createDataFrame(
         [("A", "OLD TOWN"), ("B", "Old Town"), ("C", "Museum"), ("D", "Nowhere")], schemas.TITLE_LOOKUP)
@@ -50,7 +50,10 @@ def load(spark, warehouse, *weather):
 
 
 def test_daily_load(spark, warehouse, rows):
-    got = load(spark, warehouse, ("Lisbon", hourly("08-10", 0, 2, 60)), ("Atlantis", hourly("08-10", 1)))
+    got = load(spark, warehouse, ("Lisbon", hourly("08-10", 0, 2, 60)), ("Atlantis", hourly("08-10", 1)), ("Lisbon", "{"))
+    assert rows(got["unusable_payloads"], "payload_id") == [(2,)]
+    assert rows(got["unusable_articles"], "article_id") == [(6,)]
+    assert rows(got["unmapped"]) == [(5, "E")]
     assert rows(got["summary"], "weather_label", "hours") == [("clear", 1), ("cloudy", 2), ("rain", 1)]
     assert rows(got["without_trip"]) == [("Atlantis",)]
     assert rows(got["unmatched"], "article_id") == [(4,)]
@@ -75,23 +78,6 @@ def test_second_load_changes_values_and_keeps_ids(spark, warehouse, rows):
     assert rows(warehouse.read("activity_documents")) == documents
 
 
-def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
-    items = spark.range(1000).select(F.col("id").alias("item"), (F.col("id") % 50).alias("activity_id"))
-    offers = spark.range(50).select(F.col("id").alias("activity_id"), F.lit("x").alias("name"))
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        tables.overwrite_bucketed(items, "bucketed_items", str(tmp_path / "i"), "activity_id", 4)
-        tables.overwrite_bucketed(offers, "bucketed_offers", str(tmp_path / "o"), "activity_id", 4)
-        joined = spark.table("bucketed_items").join(spark.table("bucketed_offers"), "activity_id")
-        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
-        assert joined.count() == 1000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-        spark.sql("DROP TABLE IF EXISTS bucketed_items")
-        spark.sql("DROP TABLE IF EXISTS bucketed_offers")
-
-
 def test_dashboard_opens_on_an_empty_warehouse(spark, warehouse):
     summary = views.dashboard_summary(*[warehouse.read(n) for n in (
         "trips", "weather_snapshots", "itinerary_items", "activities", "activity_documents", "packing_items")])

@@ -1,4 +1,4 @@
-"""Payload parsing: golden rows, unequal arrays, missing parts."""
+"""Payload parsing: golden rows (fixed values), unequal arrays, missing parts."""
 
 import datetime as dt
 import json
@@ -50,8 +50,18 @@ def test_daily_payload_is_led_by_time(spark, rows):
 def test_hourly_arrays_stop_at_the_shortest(spark, rows):
     hourly = {"time": ["t1", "t2", "t3"], "temperature_2m": [1.5, None, 3.5],
               "precipitation_probability": [10, 20], "weather_code": [0, 1, 2]}
-    got = payloads.hourly_rows(landed(spark, a={"hourly": hourly}, b={"hourly": {"time": ["x"]}}), "payload")
+    got, rejects = payloads.hourly_rows(landed(spark, a={"hourly": hourly}), "payload")
     assert rows(got) == [("a", "t1", 1.5, 10, 0), ("a", "t2", None, 20, 1)]
+    assert rows(rejects) == []
+
+
+def test_unusable_hourly_payloads_are_rejected(spark, rows):
+    full = {"time": [], "temperature_2m": [], "precipitation_probability": [], "weather_code": []}
+    frame = landed(spark, missing={}, short={"hourly": {"time": ["x"]}}, none={"hourly": full}).union(
+        spark.createDataFrame([("broken", '{"hourly": {"time": ['), ("null", None)], "key string, payload string"))
+    got, rejects = payloads.hourly_rows(frame, "payload")
+    assert rows(got) == []
+    assert rows(rejects) == [(k, schemas.INCOMPLETE_HOURLY) for k in ("broken", "missing", "null", "short")]
 
 
 def test_trip_forecast_uses_stored_place_and_dates(spark, rows):
@@ -61,28 +71,24 @@ def test_trip_forecast_uses_stored_place_and_dates(spark, rows):
     daily = {"time": ["2026-08-10"], "weather_code": [0], "temperature_2m_max": [1.0],
              "temperature_2m_min": [0.0], "precipitation_probability_max": [0]}
     frame = spark.createDataFrame([(1, json.dumps({"daily": daily}))], "trip_id long, payload string")
-    requests = spark.createDataFrame([(1,), (9,)], "trip_id long")
+    trips = trips.union(trips.withColumn("trip_id", F.lit(2)))
+    requests = spark.createDataFrame([(1,), (2,), (9,)], "trip_id long")
     got, rejects = payloads.trip_forecast(requests, trips, frame, "payload")
     assert rows(got, "trip_id", "latitude", "longitude", "start_date", "end_date", "date") == [
         (1, 38.72, -9.14, dt.date(2026, 8, 10), dt.date(2026, 8, 12), "2026-08-10")]
-    assert rows(rejects) == [(9, "Trip 9 does not exist")]
+    assert rows(rejects) == [(2, "Trip 2 has no forecast payload"), (9, "Trip 9 does not exist")]
 
 
 def test_article_payload_fallbacks(spark, rows):
     pages = lambda p: {"query": {"pages": {"17": p, "18": {"title": "second"}}}}
     frame = landed(spark, asked=pages({}), other=pages({"title": "T", "extract": "text", "fullurl": "u"}))
-    got = payloads.article_rows(frame, "key", "payload")
+    frame = frame.union(spark.createDataFrame([("broken", "{"), ("null", None), ("bare", '{"query": {"pages": {}}}')], frame.schema))
+    got, rejects = payloads.article_rows(frame, "key", "payload")
+    assert rows(rejects) == [(k, schemas.INCOMPLETE_ARTICLE) for k in ("bare", "broken", "null")]
     assert rows(got, "key", "title", "text", "source_url") == [
         ("asked", "asked", "", None), ("other", "T", "text", "u")]
 
 
-def test_payload_files_are_read_with_a_schema(spark, tmp_path, rows):
-    (tmp_path / "p.json").write_text(json.dumps({"hourly": {"time": ["t"], "weather_code": [3]}}, indent=1))
-    frame = payloads.read_payloads(spark, str(tmp_path), schemas.HOURLY_PAYLOAD)
-    assert frame.schema["hourly"].dataType == schemas.HOURLY_PAYLOAD["hourly"].dataType
-    assert rows(frame.select(F.col("hourly.time")[0], F.col("hourly.weather_code")[0])) == [("t", 3)]
-
-
 def test_html_pages(spark, rows):
     html = "<html><title>A &amp; B</title><body><nav>x</nav><article><h1>Hi</h1>\n<p>there</p></article></body>"
     frame = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")

@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tripweave.functions.stemming import stem_word
+from plain_stems import stem_word
 from tripweave.functions.text import STOP_WORDS, grams, probe_gram
 from tripweave.operators import textsearch
 

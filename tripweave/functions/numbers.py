@@ -14,12 +14,6 @@ def clamp(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(value, F.lit(high)))
 
 
-def hash_lane(keys: list[str], lanes: int) -> Column:
-    """A lane in 0..lanes-1 from the text of the key columns, the same in every run."""
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-    return text_bucket(text, lanes)
-
-
 def text_bucket(text: Column, buckets: int) -> Column:
     """First eight hex digits of the MD5 digest, modulo the number of buckets."""
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % buckets).cast("int")

@@ -2,7 +2,7 @@
 
 Nothing passes through the driver between source and table. Tables are Parquet folders under
 one warehouse folder; snapshots are partitioned by forecast month, so a load rewrites only
-the months it brings.
+the months it brings; documents in buckets, of which it rewrites those it changes.
 """
 
 from __future__ import annotations
@@ -14,18 +14,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tripweave import schemas
 from tripweave.operators import changes, matching, quality, silver as silver_ops, vectors, views
-from tripweave.operators.keyed import settle
+from tripweave.operators.keyed import is_small, settle
 from tripweave.operators.merge import settled
 from tripweave.sources import payloads, tables
 
 MONTH = "forecast_month"
+BUCKET = "document_bucket"
+BUCKETS = 64
+PARTITIONS = {"weather_snapshots": T.StructField(MONTH, T.StringType()),
+              "activity_documents": T.StructField(BUCKET, T.IntegerType())}
 
 
 def _stored_schema(name: str) -> T.StructType:
-    schema = schemas.TABLES[name]
-    if name != "weather_snapshots":
-        return schema
-    return T.StructType([*schema.fields, T.StructField(MONTH, T.StringType())])
+    extra = [PARTITIONS[name]] if name in PARTITIONS else []
+    return T.StructType([*schemas.TABLES[name].fields, *extra])
+
+
+def _bucket() -> Column:
+    return F.pmod(F.hash("activity_id"), F.lit(BUCKETS)).alias(BUCKET)
 
 
 class Warehouse:
@@ -46,7 +52,7 @@ class Warehouse:
     def create(self) -> None:
         """All tables, empty where there are none yet."""
         for name in schemas.TABLES:
-            partition_by = (MONTH,) if name == "weather_snapshots" else ()
+            partition_by = (PARTITIONS[name].name,) if name in PARTITIONS else ()
             tables.create_if_absent(self.spark, self.path(name), _stored_schema(name), partition_by)
 
     def replace(self, name: str, rows: DataFrame) -> None:
@@ -58,10 +64,10 @@ def load_weather(warehouse: Warehouse, landed: DataFrame, now: Column) -> dict[s
     """Hourly payloads (payload_id, destination_name, payload) to Bronze, Silver and snapshots.
 
     A destination's forecast goes to its first trip; of two rows for one hour the later one
-    counts, by payload id and place in the payload. Returns the label summary, rows with an
-    unreadable time and destinations without a trip.
+    counts, by payload id and place in the payload. Returns the label summary, payloads that
+    cannot be used, rows with an unreadable time and destinations without a trip.
     """
-    raw = payloads.hourly_rows(landed, "payload", position="position")
+    raw, unusable = payloads.hourly_rows(landed, "payload", position="position")
     tables.overwrite_table(silver_ops.bronze(raw, now), warehouse.path("bronze_weather"))
     stored = warehouse.read("bronze_weather")
     tables.overwrite_table(
@@ -83,6 +89,7 @@ def load_weather(warehouse: Warehouse, landed: DataFrame, now: Column) -> dict[s
         warehouse.path("weather_snapshots"), (MONTH,))
     return {
         "summary": silver_ops.label_summary(silver),
+        "unusable_payloads": unusable,
         "unreadable": silver_ops.unreadable_times(stored),
         "without_trip": place.select("place", "destination_name").distinct().join(
             trips, "place", "left_anti").select("destination_name"),
@@ -91,21 +98,32 @@ def load_weather(warehouse: Warehouse, landed: DataFrame, now: Column) -> dict[s
 
 def load_articles(warehouse: Warehouse, landed: DataFrame, titles: DataFrame, now: Column,
                   encode: Callable[[list[str]], np.ndarray] | None = None,
-                  model: str = schemas.EMBEDDING_MODEL) -> dict[str, DataFrame]:
+                  model: str | None = None) -> dict[str, DataFrame]:
     """Article payloads (article_id, destination_name, requested_title, payload) to embedded
-    documents. `titles` maps requested titles to activity names. Returns articles whose
-    activity does not exist."""
-    articles = payloads.article_rows(landed, "requested_title", "payload")
-    named = articles.join(
-        titles.select(F.col("title").alias("requested_title"), "activity_name"), "requested_title")
+    documents. `titles` maps requested titles to activity names. Returns payloads that cannot
+    be used, articles whose title is not mapped and articles whose activity does not exist.
+
+    `model` names the model that `encode` is; vectors without one are stored as hashed words.
+    Documents lie in buckets by activity, and only the buckets of this load are read and written.
+    """
+    if (encode is None) != (model is None):
+        raise ValueError("a model and its name come together")
+    articles, unusable = payloads.article_rows(landed, "requested_title", "payload")
+    known = titles.select(F.col("title").alias("requested_title"), "activity_name").withColumn("_mapped", F.lit(True))
+    asked = articles.join(F.broadcast(known) if is_small(known) else known, "requested_title", "left")
+    named = asked.filter("_mapped").drop("_mapped")
     distinct = silver_ops.distinct_articles(named, "article_id")
     activities = warehouse.read("activities")
     matched = matching.match_articles(distinct, activities)
     embedded = settle(vectors.embed(matched, "document_text", ["article_id", "activity_id", "document_text"], encode=encode))
-    merged = changes.upsert_documents(
-        warehouse.read("activity_documents"), embedded, "article_id", now, model)
-    warehouse.replace("activity_documents", settled(merged))
-    return {"unmatched": matching.unmatched_articles(distinct.drop("text"), activities)}
+    whole = warehouse.read("activity_documents")
+    touched = tables.touched_partitions(whole, embedded.select(_bucket()), (BUCKET,))
+    merged = settled(changes.upsert_documents(
+        touched, embedded, "article_id", now, model or schemas.HASHED_MODEL, whole_table=whole))
+    tables.overwrite_touched(
+        merged.withColumn(BUCKET, _bucket()), warehouse.path("activity_documents"), (BUCKET,))
+    return {"unusable_articles": unusable, "unmapped": asked.filter("_mapped IS NULL").select("article_id", "requested_title"),
+            "unmatched": matching.unmatched_articles(distinct.drop("text"), activities)}
 
 
 def check_load(warehouse: Warehouse) -> DataFrame:

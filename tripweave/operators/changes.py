@@ -23,13 +23,13 @@ def upsert_weather(snapshots: DataFrame, forecast: DataFrame, seq: str, now: Col
 
 
 def upsert_documents(documents: DataFrame, embedded: DataFrame, seq: str, now: Column,
-                     model: str = schemas.EMBEDDING_MODEL) -> DataFrame:
+                     model: str, whole_table: DataFrame | None = None) -> DataFrame:
     """Documents by activity: text, vector and time are replaced, the model name is not."""
     return merge.upsert(
         documents, embedded, ["activity_id"], seq,
         set_columns={"document_text": "document_text", "embedding": "embedding", "updated_at": now},
         insert_values={"embedding_model": F.lit(model), "updated_at": now},
-        id_col="document_id",
+        id_col="document_id", whole_table=whole_table,
     )
 
 
@@ -99,19 +99,20 @@ def remove_items(items: DataFrame, requests: DataFrame, key: str) -> tuple[DataF
 
 def set_packed(packing: DataFrame, requests: DataFrame, key: str, seq: str,
                packed: str = "packed") -> tuple[DataFrame, DataFrame]:
-    """Tick or untick items. Requests whose value is neither true nor false are rejected."""
-    flag = F.when(F.col(packed).cast("string").isin("true", "false"), F.col(packed).cast("string") == "true")
-    parsed = requests.withColumn("_flag", flag)
+    """Tick or untick items. The value is a boolean, or JSON text; text that is not the JSON
+    value true or false (a quoted word included) and NULL are rejected."""
+    value = F.col(packed).cast("string")
+    parsed = requests.withColumn("_flag", F.when(value.isin("true", "false"), value == "true"))
     done, unknown = merge.update_rows(
         packing, parsed.filter(F.col("_flag").isNotNull()), key, seq, {"packed": "_flag"})
     invalid = parsed.filter(F.col("_flag").isNull()).select(
-        key, seq, F.lit("packed must be true or false").alias("reject_reason"))
-    missing = unknown.select(key, seq, F.lit("Packing item not found").alias("reject_reason"))
+        key, seq, F.lit(schemas.INVALID_TICK).alias("reject_reason"))
+    missing = unknown.select(key, seq, F.lit(schemas.NO_PACKING_ITEM).alias("reject_reason"))
     return done, invalid.unionByName(missing)
 
 
 def _missing(what: str, key: str) -> Column:
-    return F.concat(F.lit(f"{what} "), F.col(key).cast("string"), F.lit(" does not exist")).alias("reject_reason")
+    return F.format_string(schemas.NO_SUCH_ROW, F.lit(what), F.col(key).cast("string")).alias("reject_reason")
 
 
 def delete_users(users: DataFrame, trips: DataFrame, trip_children: dict[str, DataFrame],

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tripweave import schemas
 from tripweave.functions.labels import preference_order
 from tripweave.functions.times import SLOT_HOURS, at_hour, hours, iso_time, slot_time
-from tripweave.operators.keyed import first_per_key, running_index, settle, top_per_key, with_new_ids
+from tripweave.operators.keyed import first_per_key, running_index, top_per_key, with_new_ids
 
 SLOTS_PER_TRIP = 6
 GAP_HOURS = 3
@@ -69,7 +69,6 @@ def add_auto(requests: DataFrame, trips: DataFrame, activities: DataFrame, items
         .join(active_pairs(items), ["trip_id", "activity_id"], "left_anti")
         .select(request_id, "trip_id", "activity_id", "start_date")
     )
-    fitting = settle(fitting)
     last = items.groupBy("trip_id").agg(F.max("scheduled_at").alias("_last"))
     start = F.coalesce(F.col("_last") + hours(GAP_HOURS), at_hour(F.col("start_date"), SLOT_HOURS[0]))
     return running_index(fitting, ["trip_id"], request_id, "_n").join(last, "trip_id", "left").select(
@@ -83,7 +82,7 @@ def add_auto(requests: DataFrame, trips: DataFrame, activities: DataFrame, items
 def not_added(requests: DataFrame, added: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Requests that gave no item."""
     return requests.join(added.select(request_id), request_id, "left_anti").select(
-        request_id, F.lit("Trip or activity not found").alias("reject_reason"))
+        request_id, F.lit(schemas.NOT_ADDED).alias("reject_reason"))
 
 
 def add_checked(requests: DataFrame, trips: DataFrame, activities: DataFrame,
@@ -98,11 +97,11 @@ def add_checked(requests: DataFrame, trips: DataFrame, activities: DataFrame,
         .join(known_trips, "trip_id", "left").join(known_activities, "activity_id", "left")
         .withColumn(
             "reject_reason",
-            F.when(F.col("_time").isNull(), "Invalid time")
+            F.when(F.col("_time").isNull(), schemas.INVALID_TIME)
             .when(~F.col("duration_minutes").between(1, schemas.MAX_DURATION_MINUTES),
-                  "duration_minutes must be between 1 and 1440")
-            .when(F.col("_trip").isNull(), "Unknown trip")
-            .when(F.col("_activity").isNull(), "Unknown activity"))
+                  schemas.INVALID_DURATION)
+            .when(F.col("_trip").isNull(), schemas.UNKNOWN_TRIP)
+            .when(F.col("_activity").isNull(), schemas.UNKNOWN_ACTIVITY))
     )
     rationale = F.coalesce(F.col("rationale"), F.lit(schemas.AGENT_RATIONALE)) \
         if "rationale" in requests.columns else F.lit(schemas.AGENT_RATIONALE)

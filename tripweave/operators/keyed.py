@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tripweave.functions.numbers import hash_lane
+from tripweave import schemas
 from tripweave.session import ensure_checkpoint_dir
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-ID_LANES = 1024
-INDEX_CHUNK = 100_000
 
 
 def _width(field: T.StructField) -> Column:
@@ -37,13 +36,6 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
-def spread_small_input(rows: DataFrame, row_id: str) -> DataFrame:
-    """Rows of a table scan spread over all cores before costly per-row work, when the
-    scan has few splits. A large table has more splits than cores and stays where it lies."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, row_id) if rows.rdd.getNumPartitions() < 2 * cores else rows
-
-
 def top_per_key(rows: DataFrame, keys: list, order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first k rows of each key with their rank.
 
@@ -62,13 +54,18 @@ def first_per_key(rows: DataFrame, keys: list, order: list[Column]) -> DataFrame
 def first_per_text(rows: DataFrame, text: Column, row_id: str) -> DataFrame:
     """One row per distinct text, the one with the lowest id. For wide rows.
 
-    The first pass reads the text but shuffles only its digest and an id, already reduced
-    per task; the second keeps the surviving ids, which are unique and so spread evenly.
-    Rows without a text form one group.
+    The first pass reads the text but shuffles only its digest and an id, already reduced per
+    task. Digests seen more than once are few; the second pass takes out the rows that have
+    one and are not its lowest id, so rows stay where they lie while those digests are small
+    enough to broadcast. Rows without a text form one group.
     """
-    digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("v"), text), F.lit("")), 256))
-    survivors = rows.groupBy(digest.alias("_digest")).agg(F.min(row_id).alias(row_id)).select(row_id)
-    return rows.join(survivors, row_id, "left_semi").select(*rows.columns)
+    digest = F.unhex(F.sha2(F.coalesce(F.concat(F.lit("v"), text), F.lit("")), 256)).alias("_digest")
+    repeated = settle(rows.groupBy(digest).agg(F.min(row_id).alias("_first"), F.count("*").alias("_n")).filter(
+        "_n > 1").select("_digest", "_first"))
+    side = F.broadcast(repeated) if is_small(repeated) else repeated
+    known = rows.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.concat(F.lit("v"), text), F.lit("")), 256)))
+    return known.join(side, "_digest", "left").filter(
+        F.col("_first").isNull() | (F.col("_first") == F.col(row_id))).select(*rows.columns)
 
 
 def last_change(changes: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -91,48 +88,51 @@ def unknown_keys(changes: DataFrame, target: DataFrame, keys: list[str],
     return changes.join(found, keys, "left_anti").select(*changes.columns)
 
 
-def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, natural_key: list[str],
-                 lanes: int = ID_LANES) -> DataFrame:
+def _numbered(rows: DataFrame, keys: list, order: list[Column], index: str) -> DataFrame:
+    """Position (1-based) of each row among the rows of its keys, or among all.
+
+    Rows are dealt by ranges of (keys, order), stored, counted per part, and numbered inside
+    their part; the counts of the parts before are added. No task sees more than a part,
+    whatever the size of a key or the spread of its values.
+    """
+    ordered = [*[F.col(k) for k in keys], *order]
+    dealt = settle(rows.repartitionByRange(*ordered).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    if keys:
+        ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    else:  # one number per part
+        sizes = sorted(tuple(r) for r in counts.collect())
+        before = [0, *accumulate(n for _, n in sizes)]
+        offsets = rows.sparkSession.createDataFrame(
+            [(part, n) for (part, _), n in zip(sizes, before)], "_part int, _before bigint")
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    side = F.broadcast(offsets) if is_small(offsets) else offsets
+    return (dealt.withColumn("_inside", F.row_number().over(inside)).join(side, [*keys, "_part"])
+            .withColumn(index, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_part", "_before", "_inside"))
+
+
+def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, natural_key: list[str]) -> DataFrame:
     """Ids above the highest existing one, the same in every run of the same input.
 
-    Rows are spread over lanes by a hash of their natural key and numbered inside each
-    lane; lane and number are interleaved, so no task has to see all new rows. As with a
-    sequence, ids are unique and may have gaps. Rows with equal natural keys are not
+    Rows are numbered in order of their natural key. Rows with equal natural keys are not
     told apart: the key has to include a request id where such rows are allowed.
     """
-    highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).scalar()
-    window = Window.partitionBy("_lane").orderBy(*natural_key)
-    numbered = rows.withColumn("_lane", hash_lane(natural_key, lanes)).withColumn(
-        "_number", F.row_number().over(window).cast("bigint"))
-    return numbered.withColumn(
-        id_col, highest + (F.col("_number") - 1) * lanes + F.col("_lane") + 1
-    ).drop("_lane", "_number")
-
-
-def running_index(rows: DataFrame, keys: list[str], order: str, index: str,
-                  chunk: int = INDEX_CHUNK) -> DataFrame:
-    """Position (1-based) of each row among the rows of its key, by a unique whole number.
-
-    The numbers are cut into chunks. Rows are numbered inside (key, chunk), which holds at
-    most `chunk` rows, and the counts of earlier chunks of the key are added: no window
-    sees all rows of a hot key. The rows are read twice, so they should be settled.
-    """
-    part = rows.withColumn("_chunk", F.floor(F.col(order) / chunk).cast("bigint"))
-    counts = part.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (part.withColumn("_inside", F.row_number().over(inside))
-            .join(offsets, [*keys, "_chunk"])
-            .withColumn(index, F.col("_before") + F.col("_inside"))
-            .drop("_chunk", "_before", "_inside"))
+    highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return _numbered(rows, [], [F.col(k) for k in natural_key], "_number").withColumn(
+        id_col, F.lit(highest) + F.col("_number")).drop("_number")
+
+
+def running_index(rows: DataFrame, keys: list[str], order: str, index: str) -> DataFrame:
+    """Position (1-based) of each row among the rows of its keys, in order of a column."""
+    return _numbered(rows, keys, [F.col(order)], index)
 
 
 def integer_columns(requests: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Requests with the columns as whole numbers, and rejects naming the first that is none."""
     parsed = {c: F.col(c).try_cast("bigint") for c in columns}
     reason = F.coalesce(*[
-        F.when(number.isNull(), F.lit(f"{c} must be an integer")) for c, number in parsed.items()])
+        F.when(number.isNull(), F.lit(schemas.NOT_A_NUMBER % c)) for c, number in parsed.items()])
     checked = requests.withColumn("reject_reason", reason)
     valid = checked.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     return valid.withColumns(parsed), checked.filter(F.col("reject_reason").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tripweave.functions.text import document_text
-from tripweave.operators.keyed import first_per_key
+from tripweave.operators.keyed import first_per_key, is_small
 
 
 def _by_name(activities: DataFrame) -> DataFrame:
@@ -22,8 +22,11 @@ def _keyed(articles: DataFrame, destination: str, name: str) -> DataFrame:
 
 def match_articles(articles: DataFrame, activities: DataFrame, destination: str = "destination_name",
                    name: str = "activity_name", text: str = "text") -> DataFrame:
-    """Articles with their activity and the text to embed."""
-    joined = _keyed(articles, destination, name).join(_by_name(activities), ["_place", "_name"])
+    """Articles with their activity and the text to embed. Names are a narrow lookup: while it
+    can be broadcast the texts stay where they lie."""
+    names = _by_name(activities)
+    joined = _keyed(articles, destination, name).join(
+        F.broadcast(names) if is_small(names) else names, ["_place", "_name"])
     composed = document_text(F.col("activity"), F.col("category"), F.col("description"), F.col(text))
     return joined.select(*articles.columns, "activity_id", composed.alias("document_text"))
 
@@ -31,6 +34,7 @@ def match_articles(articles: DataFrame, activities: DataFrame, destination: str
 def unmatched_articles(articles: DataFrame, activities: DataFrame, destination: str = "destination_name",
                        name: str = "activity_name") -> DataFrame:
     """Articles whose activity does not exist. The text is not needed, so it is not read."""
+    names = _by_name(activities).select("_place", "_name")
     return _keyed(articles, destination, name).join(
-        _by_name(activities).select("_place", "_name"), ["_place", "_name"], "left_anti"
+        F.broadcast(names) if is_small(names) else names, ["_place", "_name"], "left_anti"
     ).select(*articles.columns)

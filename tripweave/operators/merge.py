@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.operators.keyed import first_per_key, is_small, last_change, unknown_keys, with_new_ids
+from tripweave.operators.keyed import first_per_key, is_small, last_change, settle, unknown_keys, with_new_ids
 
 CHANGE = "change"
 
@@ -57,13 +57,13 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str], seq: str,
            id_col: str | None = None, whole_table: DataFrame | None = None) -> DataFrame:
     """Insert new keys, update the listed columns of known ones.
 
-    The last change per key (highest seq) wins. Columns that are not in set_columns keep
+    The last change per key (highest seq) wins; it is found once and stored. Columns that are not in set_columns keep
     their stored value; insert_values gives the columns of new rows that the changes do
     not carry. New ids follow the highest stored one; when the target is only the touched
     part of a table, whole_table is where the highest id is looked up.
     """
-    latest = last_change(changes, keys, seq)
-    small = is_small(changes)
+    latest = settle(last_change(changes, keys, seq))
+    small = is_small(latest)
     known = apply_updates(target, latest, keys, set_columns, small)
     fresh = unknown_keys(latest, target, keys, small)
     if id_col:
@@ -75,8 +75,8 @@ def append_absent(target: DataFrame, rows: DataFrame, keys: list[str], seq: str,
                   insert_values: dict[str, Column | str] | None = None,
                   id_col: str | None = None) -> DataFrame:
     """Append rows whose key is new; stored rows stay untouched. The first row of a key wins."""
-    first = first_per_key(rows, keys, [F.col(seq).asc()])
-    fresh = unknown_keys(first, target, keys, is_small(rows))
+    first = settle(first_per_key(rows, keys, [F.col(seq).asc()]))
+    fresh = unknown_keys(first, target, keys)
     if id_col:
         fresh = with_new_ids(fresh, target, id_col, keys)
     kept = target.withColumn(CHANGE, F.lit("kept"))
@@ -86,8 +86,8 @@ def append_absent(target: DataFrame, rows: DataFrame, keys: list[str], seq: str,
 def update_rows(target: DataFrame, changes: DataFrame, key: str, seq: str,
                 set_columns: dict[str, Column | str]) -> tuple[DataFrame, DataFrame]:
     """Change rows by id. Returns the new table and the changes whose id is not stored."""
-    latest = last_change(changes, [key], seq)
-    small = is_small(changes)
+    latest = settle(last_change(changes, [key], seq))
+    small = is_small(latest)
     known = apply_updates(target, latest, [key], set_columns, small)
     return known, unknown_keys(latest, target, [key], small)
 
@@ -95,8 +95,8 @@ def update_rows(target: DataFrame, changes: DataFrame, key: str, seq: str,
 def delete_rows(target: DataFrame, doomed: DataFrame, key: str,
                 small: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hard delete by id. Returns the new table, the removed rows and the unknown ids."""
-    ids = doomed.select(key).distinct()
-    small = is_small(doomed) if small is None else small
+    ids = settle(doomed.select(key).distinct())
+    small = is_small(ids) if small is None else small
     side = F.broadcast(ids) if small else ids
     remaining = target.join(side, key, "left_anti").select(*target.columns)
     removed = target.join(side, key, "left_semi").select(*target.columns)

@@ -112,4 +112,4 @@ def require_rows(rows: DataFrame, what: str) -> DataFrame:
     """One row with the count. Reading it fails when there are no rows."""
     counted = rows.agg(F.count("*").alias("rows"))
     return counted.select(F.when(F.col("rows") > 0, F.col("rows")).otherwise(
-        F.raise_error(F.lit(f"No {what} were stored.")).cast("bigint")).alias("rows"))
+        F.raise_error(F.lit(schemas.NOTHING_STORED % what)).cast("bigint")).alias("rows"))

@@ -8,9 +8,12 @@ ranking of Clarke, Cormack and Tudhope (2000).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tripweave.functions.stemming import stem
+from tripweave.functions.stemming import probe, with_stem
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
 from tripweave.operators.keyed import is_small, settle, top_per_key
 
@@ -20,6 +23,7 @@ RANK_DECIMALS = 6
 QUERY_BYTES = 4_000_000
 PIECE_PATTERN = r'-?"[^"]*"?|[^\s"]+'
 ANY_DOCUMENT = ""
+PROBE_LETTERS = 6
 
 
 def usable_queries(queries: DataFrame, query: str = "q") -> DataFrame:
@@ -51,7 +55,7 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
     ).filter(~is_stop_word(F.col("term"))).withColumns({
         "off": F.col("_place") - F.min("_place").over(item), "words": F.count("*").over(item).cast("int")})
     if stemmed:
-        words = words.withColumn("term", stem(F.col("term")))
+        words = settle(with_stem(words, "term", "term"))
 
     group = Window.partitionBy(query_id, "grp")
     plain = F.count_if(~F.col("minus") & (F.col("off") == 0)).over(group).cast("int")
@@ -75,15 +79,20 @@ def search_terms(queries: DataFrame, query_id: str = "query_id", query: str = "q
 def with_forms(terms: DataFrame, documents: DataFrame, text: str, few: bool) -> DataFrame:
     """Stemmed terms replaced by all words of the texts that have the same stem.
 
-    Only distinct words are stemmed; the words of a text are made distinct in each task
-    before they are shuffled. They are few bytes but costly to stem, so they are spread over
-    all cores again.
+    Only words that begin as a stem does are taken from the texts, made distinct in each task
+    before they are shuffled, and stemmed. With very many terms all words are taken.
     """
-    every = F.concat(
-        F.array_distinct(tokens(F.coalesce(text, F.lit("")))), F.array(F.lit(ANY_DOCUMENT)))
+    words = F.array_distinct(tokens(F.coalesce(text, F.lit(""))))
+    if few:
+        begins: dict[int, list[str]] = {}
+        for (start,) in terms.filter(F.col("term") != ANY_DOCUMENT).select(
+                probe(F.col("term"), PROBE_LETTERS)).distinct().collect():
+            begins.setdefault(len(start), []).append(start)
+        words = F.filter(words, lambda w: reduce(
+            or_, [F.substring(w, 1, n).isin(*starts) for n, starts in begins.items()], F.lit(False)))
+    every = F.concat(words, F.array(F.lit(ANY_DOCUMENT)))
     vocabulary = documents.select(F.explode(every).alias("_form")).distinct()
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    forms = vocabulary.repartition(cores, "_form").withColumn("term", stem(F.col("_form")))
+    forms = settle(with_stem(vocabulary, "_form", "term"))
     return forms.join(F.broadcast(terms) if few else terms, "term").drop("term").withColumnRenamed("_form", "term")
 
 
@@ -206,10 +215,10 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     document has a vector, which is looked up for the results only."""
     asked = usable_queries(queries, query)
     few = is_small(asked.select(query), QUERY_BYTES)
-    terms = search_terms(asked, query_id, query, stemmed)
+    terms = settle(search_terms(asked, query_id, query, stemmed))
     if stemmed:
-        terms = settle(with_forms(terms, documents, text, few))
-    few_terms = is_small(terms) if stemmed else few
+        terms = settle(with_forms(terms, documents, text, is_small(terms, QUERY_BYTES)))
+    few_terms = is_small(terms)
     hits = word_hits(documents, terms, doc_id, text, few_terms, query_id)
     ranked = rank(hits, doc_id, query_id)
     named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
@@ -218,7 +227,9 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
         F.coalesce("matched", F.lit(False)) | F.coalesce("_named", F.lit(False))
     ).select(query_id, doc_id, F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
     top = top_per_key(
-        found.join(activities, doc_id), [query_id],
-        [F.col("relevance").desc(), F.col(name).asc(), F.col(doc_id).asc()], results, "rank")
+        found.join(activities.select(doc_id, name), doc_id), [query_id],
+        [F.col("relevance").desc(), F.col(name).asc(), F.col(doc_id).asc()], results, "rank").drop(name).join(
+        activities, doc_id)
     vectors = documents.select(doc_id, F.col("embedding").isNotNull().alias("embedded"))
-    return (F.broadcast(top) if few else top).join(vectors, doc_id)
+    top = settle(top)
+    return (F.broadcast(top) if is_small(top) else top).join(vectors, doc_id)

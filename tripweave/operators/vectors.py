@@ -59,7 +59,7 @@ def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
             raw = batch.pop("_source")
             matrix = count_words(raw) if encode is None else np.asarray(encode(raw.tolist()), dtype=np.float64)
             if matrix.shape != (len(batch), dim):
-                raise ValueError(f"The embedding model must produce {dim}-dimensional vectors.")
+                raise ValueError(f"the model gave {matrix.shape} for {len(batch)} texts; vectors need {dim} dimensions")
             yield batch.assign(**{out: list(_unit_rows(matrix).astype(np.float32))})
 
     return rows.select(*keep, source.alias("_source")).mapInPandas(run, schema)

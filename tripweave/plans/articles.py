@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripweave import schemas
 from tripweave.operators import matching, silver as silver_ops, views
-from tripweave.operators.keyed import spread_small_input
 from tripweave.plans.mapping import Tables, with_tables
 from tripweave.sources import payloads
 
@@ -44,23 +44,32 @@ def trip_resolve(spark: SparkSession, folder: str) -> DataFrame:
     return views.first_trips(Tables(spark, folder).trips())
 
 
-def article_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages as article payloads and back; title, text or url is missing in some."""
+def _landed_articles(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Pages as article payloads and back; title, text or url is missing in some, every
+    seventh payload is cut off and every eleventh has no page."""
     key = F.col("page_id")
     page = F.struct(
         F.when(key % 4 != 0, F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"),
         F.when(key % 6 != 0, F.col("html")).alias("extract"),
         F.when(key % 5 != 0, F.col("url")).alias("fullurl"))
-    landed = Tables(spark, folder).raw("pages").select(
+    pages = F.map_filter(F.create_map(key.cast("string"), page), lambda k, v: key % 11 != 0)
+    text = F.to_json(F.struct(F.struct(pages.alias("pages")).alias("query")))
+    landed = t.raw("pages").select(
         "page_id", F.concat(F.lit("page "), key.cast("string")).alias("requested_title"),
-        F.to_json(F.struct(F.struct(F.create_map(key.cast("string"), page).alias("pages")).alias("query")))
-        .alias("payload"))
+        F.when(key % 7 == 0, F.substring(text, 1, 15)).otherwise(text).alias("payload"))
     return payloads.article_rows(landed, "requested_title", "payload")
 
 
+def article_payloads(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed_articles(Tables(spark, folder))[0]
+
+
+def article_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    return _landed_articles(Tables(spark, folder))[1]
+
+
 def page_extract(spark: SparkSession, folder: str) -> DataFrame:
-    landed = spread_small_input(Tables(spark, folder).raw("pages"), "page_id")
-    pages = payloads.html_articles(landed, "page_id", "url", "html").withColumns({
+    pages = payloads.html_articles(Tables(spark, folder).raw("pages"), "page_id", "url", "html").withColumns({
         "text_length": F.length("text"), "text_md5": F.md5("text")})
     return silver_ops.distinct_articles(pages, "page_id").select(
         "page_id", "title", "text_length", "text_md5", "source_url")
@@ -101,7 +110,7 @@ def match_rejects(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    geocode_resolve, geocode_rejects, trip_resolve, article_payloads, page_extract, doc_dedupe,
+    geocode_resolve, geocode_rejects, trip_resolve, article_payloads, article_rejects, page_extract, doc_dedupe,
     match_enrich, match_rejects)}
 
 _PAGE_TEXT = r"""trim(regexp_replace(regexp_replace(
@@ -141,7 +150,11 @@ ORACLE = {
                     ELSE 'page ' || CAST(page_id AS VARCHAR) END AS title,
                CASE WHEN page_id % 6 <> 0 THEN html ELSE '' END AS text,
                CASE WHEN page_id % 5 <> 0 THEN url END AS source_url
-        FROM pages""",
+        FROM pages WHERE page_id % 7 <> 0 AND page_id % 11 <> 0""",
+    "article_rejects": f"""
+        SELECT page_id, 'page ' || CAST(page_id AS VARCHAR) AS requested_title,
+               '{schemas.INCOMPLETE_ARTICLE}' AS reject_reason
+        FROM pages WHERE page_id % 7 = 0 OR page_id % 11 = 0""",
     "page_extract": f"""
         WITH rows AS (SELECT page_id, url, {_PAGE_TEXT} AS text,
                              regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)

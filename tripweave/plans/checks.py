@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.operators import quality
+from tripweave.operators.keyed import union_all
 from tripweave.plans.mapping import Tables, with_tables
 
 VECTOR_DIM = 64
@@ -41,7 +42,12 @@ def load_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_check(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.require_rows(Tables(spark, folder).snapshots(), "weather snapshots")
+    """Snapshots and documents with a vector; reading the result fails when one has no rows."""
+    t = Tables(spark, folder)
+    stored = {"weather_snapshots": (t.snapshots(), "weather snapshots"),
+              "activity_documents": (t.documents().filter("embedding IS NOT NULL"), "activity embeddings")}
+    return union_all([quality.require_rows(rows, what).withColumn("table_name", F.lit(name))
+                      for name, (rows, what) in stored.items()])
 
 
 QUERIES = {f.__name__: f for f in (quality_report, load_counts, load_check)}
@@ -87,5 +93,7 @@ ORACLE = {
         SELECT trip_id, count(*) AS weather_rows,
                (SELECT count(embedding) FROM docs) AS embedded_documents
         FROM snapshots GROUP BY trip_id"""),
-    "load_check": "SELECT count(*) AS rows FROM events",
+    "load_check": """
+        SELECT count(*) AS rows, 'weather_snapshots' AS table_name FROM events
+        UNION ALL SELECT count(quality), 'activity_documents' FROM documents JOIN labels USING (doc_id)""",
 }

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tripweave.functions.stemming import stems_sql
 from tripweave.functions.text import STOP_WORDS, is_stop_word, tokens
 from tripweave.operators import textsearch, vectors
-from tripweave.operators.keyed import spread_small_input
 from tripweave.plans.mapping import Tables
 from tripweave.schemas import EMBEDDING_DIM
 
@@ -15,7 +15,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 
 
 def _texts(t: Tables) -> DataFrame:
-    return spread_small_input(t.raw("documents").select("doc_id", "text"), "doc_id")
+    return t.raw("documents").select("doc_id", "text")
 
 
 def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +74,7 @@ def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 def _keyword_queries(t: Tables) -> DataFrame:
     """A query per benchmark text, of six kinds: two words, a phrase, either word, one word
-    without the other, without a word, and part of a part name."""
+    without the other, without a word, and part of a part name; and a blank one for each."""
     words = F.filter(tokens(F.col("text")), lambda w: ~is_stop_word(w) & (F.length(w) > 3))
     a, b = F.try_element_at("w", F.lit(1)), F.try_element_at("w", F.lit(2))
     every = tokens(F.col("text"))
@@ -86,12 +86,13 @@ def _keyword_queries(t: Tables) -> DataFrame:
          .when(kind == 4, F.concat(F.lit("-"), a))
          .otherwise(F.element_at(F.array(*[F.lit(x) for x in ("BOLT", "small g", "omo", "%d_w")]),
                                  (F.col("item_id") % 4 + 1).cast("int"))))
-    return t.raw("benchmark").withColumns({"w": words, "every": every}).select(
+    asked = t.raw("benchmark").withColumns({"w": words, "every": every}).select(
         F.col("item_id").alias("query_id"), q.alias("q"))
+    return asked.unionByName(asked.select((-F.col("query_id") - 1).alias("query_id"), F.lit(" \t").alias("q")))
 
 
 def _text_search(t: Tables, stemmed: bool) -> DataFrame:
-    documents = spread_small_input(t.raw("documents"), "doc_id").select(
+    documents = t.raw("documents").select(
         F.col("doc_id").alias("activity_id"), F.col("text").alias("document_text"),
         F.when(F.col("lang") == "en", F.col("n_chars")).alias("embedding"))
     found = textsearch.keyword_search(t.activities(), documents, _keyword_queries(t), stemmed=stemmed)
@@ -105,7 +106,7 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_search_stemmed(spark: SparkSession, folder: str) -> DataFrame:
-    """Keyword search by English stems. SQL has no stemmer, so this one has no twin."""
+    """Keyword search by English stems; the twin runs the stemmer's steps as subqueries."""
     return _text_search(Tables(spark, folder), stemmed=True)
 
 
@@ -164,6 +165,18 @@ _CELLS = """
 
 # The six kinds of keyword query, spelled out: what has to be there, in which group, and
 # what must not be there. Covers are found from the last place of each word before an end.
+def _text_search_sql(stemmed: bool) -> str:
+    if stemmed:
+        every = f"""(SELECT unnest({_WORDS}) AS word FROM documents UNION ALL SELECT unnest({_WORDS}) FROM benchmark
+                     UNION ALL SELECT unnest(['bolt', 'small', 'g', 'omo', 'd', 'w']))"""
+        return _TEXT_SEARCH.replace("{_Q}", stems_sql(every) + """,
+            q AS (SELECT x.*, s.stem AS a_term, t.stem AS c_term FROM asked x
+                  JOIN stems s ON s.word = x.a JOIN stems t ON t.word = x.c)""").replace(
+            "{_TERM}", "stem").replace("{_STEMS}", "JOIN stems USING (word)")
+    return _TEXT_SEARCH.replace("{_Q}", "q AS (SELECT *, a AS a_term, c AS c_term FROM asked)").replace(
+        "{_TERM}", "word").replace("{_STEMS}", "")
+
+
 _TEXT_SEARCH = f"""
     WITH activities AS (
         SELECT p_partkey AS activity_id, p_name AS name, p_type AS category, p_size % 2 = 0 AS indoor FROM part),
@@ -173,7 +186,7 @@ _TEXT_SEARCH = f"""
         SELECT query_id, w, row_number() OVER (PARTITION BY query_id ORDER BY place) AS n
         FROM (SELECT query_id, unnest(every) AS w, generate_subscripts(every, 1) AS place FROM b)
         WHERE w NOT IN ({_STOP}) AND length(w) > 3),
-    q AS (
+    asked AS (
         SELECT b.query_id, kind, every[1] AS e1, every[2] AS e2, x.w AS a, y.w AS c,
                CASE b.query_id % 4 WHEN 0 THEN 'BOLT' WHEN 1 THEN 'small g' WHEN 2 THEN 'omo' ELSE '%d_w' END AS part,
                CASE kind WHEN 0 THEN x.w || ' ' || y.w WHEN 1 THEN '"' || every[1] || ' ' || every[2] || '"'
@@ -182,9 +195,10 @@ _TEXT_SEARCH = f"""
                          ELSE '%d_w' END END AS q
         FROM b JOIN picked x ON x.query_id = b.query_id AND x.n = 1
         JOIN picked y ON y.query_id = b.query_id AND y.n = 2),
-    post AS (
-        SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos
-        FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+    {{_Q}},
+    post AS (SELECT doc_id, pos, {{_TERM}} AS term FROM (
+        SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
+        FROM (SELECT doc_id, {_WORDS} AS w FROM documents)) {{_STEMS}}),
     spelled AS (
         SELECT query_id, kind, 0 AS grp, 0 AS item, a AS term FROM q WHERE kind IN (0, 2, 3)
         UNION ALL SELECT query_id, kind, CASE kind WHEN 2 THEN 1 ELSE 0 END, 1, c FROM q WHERE kind IN (0, 2)
@@ -193,7 +207,8 @@ _TEXT_SEARCH = f"""
                 SELECT query_id, kind, regexp_extract_all(lower(part), '[\\p{{L}}\\p{{N}}]+') AS w FROM q WHERE kind = 5))
         UNION ALL SELECT query_id, kind, 0, 0, e1 FROM q WHERE kind = 1 AND e1 NOT IN ({_STOP})
         UNION ALL SELECT query_id, kind, 0, 1, e2 FROM q WHERE kind = 1 AND e2 NOT IN ({_STOP})),
-    terms AS (SELECT * FROM spelled WHERE term NOT IN ({_STOP})),
+    terms AS (SELECT query_id, kind, grp, item, {{_TERM}} AS term FROM (
+        SELECT query_id, kind, grp, item, term AS word FROM spelled WHERE term NOT IN ({_STOP})) {{_STEMS}}),
     sizes AS (SELECT query_id, grp, count(*) AS needed FROM terms GROUP BY 1, 2),
     places AS (
         SELECT t.query_id, t.kind, doc_id, t.grp, item, pos, needed
@@ -223,11 +238,11 @@ _TEXT_SEARCH = f"""
         SELECT s.query_id, s.doc_id, round(sum(0.1 / (1 + noise)), 6) AS relevance,
                bool_and(s.kind <> 3 OR x.doc_id IS NULL) AS matched
         FROM scored s JOIN q ON q.query_id = s.query_id
-        LEFT JOIN (SELECT DISTINCT doc_id, term FROM post) x ON x.doc_id = s.doc_id AND x.term = q.c
+        LEFT JOIN (SELECT DISTINCT doc_id, term FROM post) x ON x.doc_id = s.doc_id AND x.term = q.c_term
         GROUP BY 1, 2),
     without AS (
         SELECT query_id, doc_id FROM q, documents d WHERE kind = 4
-        AND NOT EXISTS (SELECT 1 FROM post p WHERE p.doc_id = d.doc_id AND p.term = q.a)),
+        AND NOT EXISTS (SELECT 1 FROM post p WHERE p.doc_id = d.doc_id AND p.term = q.a_term)),
     named AS (
         SELECT query_id, activity_id AS doc_id FROM q JOIN activities
         ON name ILIKE '%' || q || '%' OR category ILIKE '%' || q || '%'
@@ -283,5 +298,6 @@ ORACLE = {
         SELECT e.query_id, count(*) AS expected, count(a.vec_id) AS found
         FROM exact e LEFT JOIN ann a ON a.query_id = e.query_id AND a.vec_id = e.vec_id
         GROUP BY e.query_id""",
-    "text_search": _TEXT_SEARCH,
+    "text_search": _text_search_sql(False),
+    "text_search_stemmed": _text_search_sql(True),
 }

@@ -97,7 +97,8 @@ ARTICLE_PAYLOAD = T.StructType([T.StructField("query", T.StructType([
 
 # Limits and defaults that results depend on.
 EMBEDDING_DIM = 384
-EMBEDDING_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
+#: Name stored with vectors that are hashed word counts, for want of a model.
+HASHED_MODEL = "hashed-384"
 WEATHER_SOURCE = "Open-Meteo"
 DEFAULT_DURATION_MINUTES = 120
 MAX_DURATION_MINUTES = 1440
@@ -109,6 +110,25 @@ OUTDOOR_RATIONALE = "AI-selected outdoor experience aligned with the forecast."
 AGENT_RATIONALE = "Added by the travel agent"
 DISCOVERY_RATIONALE = "Added from semantic activity discovery."
 
+# Messages that callers see.
+PLACE_NOT_FOUND = "Destination not found: "
+INCOMPLETE_PLACE = "Incomplete result"
+INCOMPLETE_HOURLY = "Incomplete hourly forecast"
+INCOMPLETE_DAILY = "Incomplete daily forecast"
+INCOMPLETE_ARTICLE = "No page in the article payload"
+TRIP_NOT_FOUND = "Trip %s does not exist"
+NO_FORECAST = "Trip %s has no forecast payload"
+NOT_ADDED = "Trip or activity not found"
+INVALID_TIME = "Invalid time"
+INVALID_DURATION = "duration_minutes must be between 1 and 1440"
+UNKNOWN_TRIP = "Unknown trip"
+UNKNOWN_ACTIVITY = "Unknown activity"
+NOT_A_NUMBER = "%s must be an integer"
+INVALID_TICK = "packed must be true or false"
+NO_PACKING_ITEM = "Packing item not found"
+NO_SUCH_ROW = "%s %s does not exist"
+NOTHING_STORED = "No %s were stored."
+
 # The catalogue packing list, as (item, reason).
 PACKING_CATALOGUE = (
     ("Comfortable walking shoes", "Recommended for city walks and sightseeing"),

@@ -6,14 +6,11 @@ one DataFrame or a (rows, rejects) pair. Every step is a projection: no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from tripweave import schemas
+from functools import reduce
 
+from pyspark.sql import Column, DataFrame, functions as F
 
-def read_payloads(spark: SparkSession, path: str, payload_schema) -> DataFrame:
-    """Payload files, one JSON document each, read with a declared schema."""
-    return spark.read.schema(payload_schema).option("multiLine", True).json(path)
+from tripweave import schemas
 
 
 def resolve_places(requests: DataFrame, name: str, payload: str) -> tuple[DataFrame, DataFrame]:
@@ -22,9 +19,9 @@ def resolve_places(requests: DataFrame, name: str, payload: str) -> tuple[DataFr
     hit = F.try_element_at("_hits", F.lit(1))
     parsed = parsed.withColumn("_hit", hit).withColumn(
         "reject_reason",
-        F.when(F.col("_hit").isNull(), F.concat(F.lit("Destination not found: "), F.col(name)))
+        F.when(F.col("_hit").isNull(), F.concat(F.lit(schemas.PLACE_NOT_FOUND), F.col(name)))
         .when(F.col("_hit.name").isNull() | F.col("_hit.latitude").isNull()
-              | F.col("_hit.longitude").isNull(), F.lit("Incomplete result")),
+              | F.col("_hit.longitude").isNull(), F.lit(schemas.INCOMPLETE_PLACE)),
     )
     kept = [c for c in requests.columns if c != payload]
     found = parsed.filter(F.col("reject_reason").isNull()).select(
@@ -44,23 +41,26 @@ def _zip_to_shortest(arrays: dict[str, Column]) -> Column:
     return F.arrays_zip(*[F.slice(a, F.lit(1), length).alias(n) for n, a in arrays.items()])
 
 
-def hourly_rows(payloads: DataFrame, payload: str, position: str | None = None) -> DataFrame:
+def hourly_rows(payloads: DataFrame, payload: str,
+                position: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Bronze rows of hourly payloads: the four parallel arrays, cut to the shortest.
-    `position` names a column for a row's place in its payload."""
+
+    `position` names a column for a row's place in its payload. Rejects: payloads that are no
+    JSON, have no hourly part, or lack one of the four arrays.
+    """
     kept = [c for c in payloads.columns if c != payload]
-    hourly = F.from_json(payload, schemas.HOURLY_PAYLOAD)["hourly"]
-    parsed = payloads.select(*kept, hourly.alias("_hourly"))
-    zipped = _zip_to_shortest({
+    parsed = payloads.select(*kept, F.from_json(payload, schemas.HOURLY_PAYLOAD)["hourly"].alias("_hourly"))
+    arrays = {
         "forecast_time_raw": F.col("_hourly.time"),
         "temperature_c": F.col("_hourly.temperature_2m"),
         "precipitation_probability": F.col("_hourly.precipitation_probability"),
         "weather_code": F.col("_hourly.weather_code"),
-    })
-    return parsed.select(*kept, F.posexplode(zipped).alias("_place", "_row")).select(
+    }
+    complete = reduce(lambda x, y: x & y, [array.isNotNull() for array in arrays.values()])
+    rows = parsed.filter(complete).select(*kept, F.posexplode(_zip_to_shortest(arrays)).alias("_place", "_row")).select(
         *kept, *([F.col("_place").alias(position)] if position else []),
-        "_row.forecast_time_raw", "_row.temperature_c",
-        "_row.precipitation_probability", "_row.weather_code",
-    )
+        *[F.col("_row")[name].alias(name) for name in arrays])
+    return rows, parsed.filter(~complete).select(*kept, F.lit(schemas.INCOMPLETE_HOURLY).alias("reject_reason"))
 
 
 def daily_rows(payloads: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
@@ -83,34 +83,41 @@ def daily_rows(payloads: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]
         "_row", F.explode(_zip_to_shortest(arrays))
     ).select(*kept, *[F.col("_row")[name].alias(name) for name in source])
     rejects = parsed.filter(~F.col("_complete")).select(
-        *kept, F.lit("Incomplete daily forecast").alias("reject_reason"))
+        *kept, F.lit(schemas.INCOMPLETE_DAILY).alias("reject_reason"))
     return rows, rejects
 
 
 def trip_forecast(requests: DataFrame, trips: DataFrame, payloads: DataFrame,
                   payload: str, trip_id: str = "trip_id") -> tuple[DataFrame, DataFrame]:
     """Daily forecast for each requested trip, with the trip's coordinates and dates.
-    Rejects: unknown trips and incomplete payloads."""
+    Rejects: unknown trips, trips without a payload and incomplete payloads."""
     place = trips.select(trip_id, "latitude", "longitude", "start_date", "end_date")
-    known = requests.select(trip_id).join(place, trip_id)
-    unknown = requests.select(trip_id).join(trips.select(trip_id), trip_id, "left_anti").select(
-        trip_id, F.concat(F.lit("Trip "), F.col(trip_id).cast("string"),
-                          F.lit(" does not exist")).alias("reject_reason"))
-    rows, incomplete = daily_rows(known.join(payloads, trip_id), payload)
-    return rows, unknown.unionByName(incomplete.select(trip_id, "reject_reason"))
-
-
-def article_rows(payloads: DataFrame, requested_title: str, payload: str) -> DataFrame:
-    """First page of each article payload: title (or the requested one), text (or ''), url."""
+    asked = requests.select(trip_id).join(place.withColumn("_known", F.lit(True)), trip_id, "left").join(
+        payloads.withColumn("_landed", F.lit(True)), trip_id, "left")
+    name = F.col(trip_id).cast("string")
+    reason = F.when(F.col("_known").isNull(), F.format_string(schemas.TRIP_NOT_FOUND, name)).when(
+        F.col("_landed").isNull(), F.format_string(schemas.NO_FORECAST, name))
+    unusable = asked.withColumn("reject_reason", reason).filter(F.col("reject_reason").isNotNull()).select(
+        trip_id, "reject_reason")
+    rows, incomplete = daily_rows(asked.filter("_known AND _landed").drop("_known", "_landed"), payload)
+    return rows, unusable.unionByName(incomplete.select(trip_id, "reject_reason"))
+
+
+def article_rows(payloads: DataFrame, requested_title: str, payload: str) -> tuple[DataFrame, DataFrame]:
+    """First page of each article payload: title (or the requested one), text (or ''), url.
+    Rejects: payloads that are no JSON or have no page."""
     kept = [c for c in payloads.columns if c != payload]
     page = F.try_element_at(F.map_values(
         F.from_json(payload, schemas.ARTICLE_PAYLOAD)["query"]["pages"]), F.lit(1))
-    return payloads.withColumn("_page", page).select(
+    parsed = payloads.select(*kept, page.alias("_page"))
+    rows = parsed.filter(F.col("_page").isNotNull()).select(
         *kept,
         F.coalesce(F.col("_page.title"), F.col(requested_title)).alias("title"),
         F.coalesce(F.col("_page.extract"), F.lit("")).alias("text"),
         F.col("_page.fullurl").alias("source_url"),
     )
+    return rows, parsed.filter(F.col("_page").isNull()).select(
+        *kept, F.lit(schemas.INCOMPLETE_ARTICLE).alias("reject_reason"))
 
 
 def html_articles(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tripweave.operators.keyed import settle
 
+FEW_PARTITIONS = 1000
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -38,18 +43,18 @@ def overwrite_table(rows: DataFrame, path: str, partition_by: tuple[str, ...] =
     writer.parquet(path)
 
 
-def overwrite_bucketed(rows: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
-    """Replace a catalog table that is hashed and sorted by key. Tables with the same key
-    and number of buckets join without a shuffle."""
-    (rows.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
-     .option("path", path).saveAsTable(name))
-
-
 def touched_partitions(table: DataFrame, changes: DataFrame, partition_by: tuple[str, ...]) -> DataFrame:
     """The part of the table that the changes fall into. A key has to stay in its partition.
-    The changes are reduced to partition values, of which a table has few."""
+
+    Up to `FEW_PARTITIONS` values are named in a filter, which Spark uses to list only those
+    folders; changes to more partitions than that are joined.
+    """
     values = changes.select(*partition_by).distinct()
-    return table.join(F.broadcast(values), list(partition_by), "left_semi").select(*table.columns)
+    named = values.limit(FEW_PARTITIONS + 1).collect()
+    if len(named) > FEW_PARTITIONS:
+        return table.join(values, list(partition_by), "left_semi").select(*table.columns)
+    chosen = [reduce(and_, [F.col(c) == F.lit(row[c]) for c in partition_by]) for row in named]
+    return table.filter(reduce(or_, chosen) if chosen else F.lit(False))
 
 
 def overwrite_touched(rows: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
@@ -60,12 +65,3 @@ def overwrite_touched(rows: DataFrame, path: str, partition_by: tuple[str, ...])
     """
     (settle(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_by).parquet(path))
-
-
-def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
-    """Fill NULL or absent columns with their defaults, as an insert would."""
-    filled = {}
-    for name, value in defaults.items():
-        default = value if not isinstance(value, (str, int, float, bool)) else F.lit(value)
-        filled[name] = F.coalesce(F.col(name), default) if name in rows.columns else default
-    return rows.withColumns(filled)
