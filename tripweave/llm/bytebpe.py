@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from itertools import pairwise
 
 import ahocorasick
@@ -27,9 +28,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBpe:
     """Exact byte-pair encoding in time linear in the text.
 
-    Bytes are mapped to Latin-1 characters, so that an automaton of all tokens finds every
-    match. A sequence of tokens is the result of the merges exactly when each two neighbours
-    would come out of merging their joined bytes. The encoder takes the longest match that is
+    Bytes are mapped to Latin-1 characters, so that an automaton of all tokens tells how far
+    the text goes on like some token, and matches are read off from there. A sequence of tokens
+    is the result of the merges exactly when each two neighbours would come out of merging
+    their joined bytes. The encoder takes the longest match that is
     compatible with the token before it and goes back when none leads to the end; a prefix
     has only one encoding, so a position once given up is never tried again.
     """
@@ -39,10 +41,10 @@ class ByteBpe:
         self.token = {rank: token for token, rank in ranks.items()}
         self.by_text = {token.decode("latin-1"): rank for token, rank in ranks.items()}
         self.size = {rank: len(token) for token, rank in ranks.items()}
+        self.reach = max(self.size.values())
         self.automaton = ahocorasick.Automaton()
         for text, rank in self.by_text.items():
             self.automaton.add_word(text, rank)
-        self.automaton.make_automaton()
         self.find = regex.compile(pattern).findall
         self.spines: dict[int, tuple | None] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
@@ -75,65 +77,67 @@ class ByteBpe:
         return self.spines[token]
 
     def _compatible(self, before: int, after: int) -> bool:
-        """Whether no merge crosses the border of two tokens.
+        """Whether the second token is one of the merges and no merge crosses the border of both.
 
         Walks both edges in the order of their merges. A crossing pair would merge if its
         rank comes before the merge that ends either side; of equal ranks the left one is
         first.
         """
-        key = (before, after)
-        if key not in self.fitting:
-            if len(self.fitting) > MEMO_LIMIT:
-                self.fitting.clear()
-            rights, lefts = self._spine(before)[1], self._spine(after)[0]
-            i = j = 0
-            while True:
-                (x, x_ends), (y, y_ends) = rights[i], lefts[j]
-                rank = self.ranks.get(x + y, NEVER)
-                if rank < x_ends and rank <= y_ends and rank < NEVER:
-                    self.fitting[key] = False
-                    break
-                if x_ends == y_ends == NEVER:
-                    self.fitting[key] = True
-                    break
-                if x_ends <= y_ends:
-                    i += 1
-                else:
-                    j += 1
-        return self.fitting[key]
+        if len(self.fitting) > MEMO_LIMIT:
+            self.fitting.clear()
+        fits = self.fitting[before, after] = self._spine(after) is not None and not self._crossed(
+            self._spine(before)[1], self._spine(after)[0])
+        return fits
+
+    def _crossed(self, rights: list, lefts: list) -> bool:
+        i = j = 0
+        while True:
+            (x, x_ends), (y, y_ends) = rights[i], lefts[j]
+            rank = self.ranks.get(x + y, NEVER)
+            if rank < x_ends and rank <= y_ends and rank < NEVER:
+                return True
+            if x_ends == y_ends == NEVER:
+                return False
+            if x_ends <= y_ends:
+                i += 1
+            else:
+                j += 1
 
     def encode_bytes(self, text: str) -> list[int]:
         """Token ids of one pre-token, given as Latin-1 characters."""
         whole = self.by_text.get(text)
         if whole is not None and self._spine(whole):
             return [whole]
-        size, end = self.size, len(text)
-        matches: list[list[int]] = [[] for _ in range(end)]
-        for last, token in self.automaton.iter(text):
-            matches[last - size[token] + 1].append(token)
+        fitting, by_text, longest, reach = self.fitting, self.by_text, self.automaton.longest_prefix, self.reach
+        end, at = len(text), 0
         given_up = bytearray(end + 1)
         tokens: list[int] = []
-        tries = [len(matches[0])]
-        at = 0
+        tries = [longest(text[:reach])]  # the longest length not tried yet, by token
         while at < end:
-            choice = tries[-1] - 1
-            while choice >= 0:
-                token = matches[at][choice]
-                if (not given_up[at + size[token]] and self._spine(token)
-                        and (not tokens or self._compatible(tokens[-1], token))):
-                    break
-                choice -= 1
-            if choice < 0:
+            length = tries[-1]
+            while length > 0:
+                token = by_text.get(text[at:at + length])
+                if token is not None and not given_up[at + length]:
+                    if tokens:
+                        fits = fitting.get((tokens[-1], token))
+                        if fits is None:
+                            fits = self._compatible(tokens[-1], token)
+                    else:
+                        fits = self._spine(token) is not None
+                    if fits:
+                        break
+                length -= 1
+            if length == 0:
                 given_up[at] = 1
                 if not tokens:
                     raise ValueError("the ranks lack single bytes of the text")
                 tries.pop()
-                at -= size[tokens.pop()]
+                at -= self.size[tokens.pop()]
                 continue
-            tries[-1] = choice
+            tries[-1] = length - 1
             tokens.append(token)
-            at += size[token]
-            tries.append(len(matches[at]) if at < end else 0)
+            at += length
+            tries.append(longest(text[at:at + reach]) if at < end else 0)
         return tokens
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
@@ -145,7 +149,8 @@ class ByteBpe:
             words = self.find(piece)
             for word in words:
                 if word not in known:
-                    known[word] = np.array(self.encode_bytes(word.encode().decode("latin-1")), "<u4").tobytes()
+                    tokens = self.encode_bytes(word.encode().decode("latin-1"))
+                    known[word] = struct.pack(f"<{len(tokens)}I", *tokens)
             made.append(known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)))
         return made
 
