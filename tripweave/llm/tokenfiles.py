@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -61,11 +62,11 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _encode_lowered(self, chunk: str) -> bytes:
-        words, found = self.words, WORDS.findall(chunk)
+        words, found = self.words, [chunk] if chunk.isalpha() else WORDS.findall(chunk)
         for word in found:
             if word not in words:
                 tokens = self.merge(word if word.isascii() and word.isprintable() else word.translate(self.symbols))
-                words[word] = np.array([token.id for token in tokens], "<u4").tobytes()
+                words[word] = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
         return words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
 
     def _is_plain(self, text: str) -> bool:
