@@ -6,6 +6,7 @@ import pytest
 
 from tripweave.operators import textsearch
 from tripweave.plans.registry import QUERIES
+from tripweave.sources import tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,8 +36,7 @@ def test_no_cross_join_and_no_window_over_everything(spark, name):
             assert "SinglePartition" not in " ".join(lines[n + 1:n + 4]), line
 
 
-@pytest.mark.parametrize("name", ["weather_preview", "itinerary_generate", "match_enrich", "packing_set",
-                                  "upsert_weather", "semantic_topk", "text_search"])
+@pytest.mark.parametrize("name", ["weather_preview", "itinerary_generate", "match_enrich", "semantic_topk", "text_search"])
 def test_ranks_are_cut_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in large(spark, name)
 
@@ -79,6 +79,22 @@ def test_texts_are_not_shuffled_by_keyword_search(spark):
     assert "HashAggregate" in plan[:generate] and plan.count("FileScan") == 1
 
 
-def test_vectors_are_not_shuffled_by_cosine_search(spark):
-    plan = large(spark, "semantic_topk")
-    assert re.search(r"BroadcastHashJoin \[label", plan)
+@pytest.mark.parametrize("name,key", [("semantic_topk", "label"), ("semantic_topk_batch", "destination_name")])
+def test_vectors_are_not_shuffled_by_cosine_search(spark, name, key):
+    plan = large(spark, name)
+    assert re.search(rf"BroadcastHashJoin \[{key}", plan)
+    assert not re.search(r"(?<!Broadcast)Exchange [^\n]*\n[^\n]*embedding", plan)
+
+
+def test_only_touched_months_are_listed(spark, tmp_path):
+    spark.createDataFrame([(1, "2026-01"), (2, "2026-02")], "id int, m string").write.partitionBy("m").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    part = tables.touched_partitions(table, spark.createDataFrame([("2026-02",)], "m string"), ("m",))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*m#\d+ = 2026-02", plan)
+    assert [r.id for r in part.collect()] == [2]
+
+
+def test_few_repeated_texts_and_names_do_not_move_the_texts(spark):
+    for name in ("doc_dedupe", "match_enrich"):
+        assert "BroadcastHashJoin" in large(spark, name) and "SortMergeJoin [_" not in large(spark, name)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions.numbers import clamp, text_bucket
 from tripweave.functions.text import is_stop_word, tokens
-from tripweave.operators.keyed import is_small, top_per_key
+from tripweave.operators.keyed import is_small, settle, top_per_key
 from tripweave.schemas import EMBEDDING_DIM
 
 DEFAULT_LIMIT = 5
@@ -137,7 +137,7 @@ def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_
     present = documents.filter(F.col(doc_vector).isNotNull())
     doc_blocks = _pack(present, keys, doc_id, doc_vector, "d")
     asked = queries.filter(F.col(query_vector).isNotNull())
-    query_blocks = _pack(asked, keys, query_id, query_vector, "q", QUERY_BLOCK)
+    query_blocks = settle(_pack(asked, keys, query_id, query_vector, "q", QUERY_BLOCK))
     if is_small(query_blocks):
         query_blocks = F.broadcast(query_blocks)
     candidates = _score_blocks(doc_blocks.join(query_blocks, keys), doc_id, query_id, MAX_LIMIT)
@@ -156,10 +156,14 @@ def semantic_search(documents: DataFrame, activities: DataFrame, queries: DataFr
                     limit: str | None = None) -> DataFrame:
     """Nearest activities of each query at the query's destination (letter case counts).
 
-    documents: activity_id, embedding; queries: query_id, destination_name, embedding.
+    documents: activity_id, embedding and, to save a join, destination_name; queries: query_id,
+    destination_name, embedding. Vectors stay where they lie if they carry their destination or
+    the destinations of all activities can be broadcast.
     """
-    placed = documents.select("activity_id", "embedding").join(
-        activities.select("activity_id", "destination_name"), "activity_id")
+    placed = documents
+    if "destination_name" not in documents.columns:
+        places = activities.select("activity_id", "destination_name")
+        placed = documents.join(F.broadcast(places) if is_small(places) else places, "activity_id")
     top = cosine_top_k(placed, queries, ["destination_name"], doc_id="activity_id", limit=limit)
     about = activities.select("activity_id", "name", "category", "indoor", "description")
     return top.join(about, "activity_id").select(

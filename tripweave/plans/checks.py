@@ -14,7 +14,7 @@ VECTOR_DIM = 64
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     line, orders, events = t.raw("lineitem"), t.raw("orders"), t.raw("events")
-    documents, customers = t.raw("documents"), t.raw("customer")
+    documents, customers, nations = t.raw("documents"), t.raw("customer"), t.raw("nation")
     return quality.report([
         quality.unique("lineitem", line, ["l_orderkey", "l_linenumber"]),
         quality.unique("orders", orders, ["o_orderkey"]),
@@ -31,6 +31,12 @@ def quality_report(spark: SparkSession, folder: str) -> DataFrame:
             **quality.fits_decimal(["o_totalprice"]),
             "o_orderstatus": ~F.col("o_orderstatus").isin("O", "P")}),
         quality.row_rules("events", events, "event_id", quality.not_null(["ts", "value"])),
+        quality.foreign_key("customer", customers, "c_nationkey", nations, "n_nationkey"),
+        quality.foreign_key("supplier", t.raw("supplier"), "s_nationkey", nations, "n_nationkey"),
+        quality.foreign_key("nation", nations, "n_regionkey", t.raw("region"), "r_regionkey"),
+        quality.unique("pages", t.raw("pages"), ["url"]),
+        quality.unique("conversations", t.raw("conversations"), ["conv_id", "turn"]),
+        quality.row_rules("benchmark", t.raw("benchmark"), "item_id", quality.not_null(["text"])),
         quality.row_rules("embeddings", t.raw("embeddings"), "vec_id",
                           quality.vector_size("embedding", VECTOR_DIM)),
     ])
@@ -87,6 +93,12 @@ ORACLE = {
         _rows("orders", "o_orderstatus", "o_orderkey", "o_orderstatus NOT IN ('O', 'P')"),
         _rows("events", "not_null(ts)", "event_id", "ts IS NULL"),
         _rows("events", "not_null(value)", "event_id", "value IS NULL"),
+        _parent("customer", "c_nationkey", "nation", "n_nationkey"),
+        _parent("supplier", "s_nationkey", "nation", "n_nationkey"),
+        _parent("nation", "n_regionkey", "region", "r_regionkey"),
+        _unique("pages", ["url"], "url"),
+        _unique("conversations", ["conv_id", "turn"], "CAST(conv_id AS VARCHAR) || '|' || CAST(turn AS VARCHAR)"),
+        _rows("benchmark", "not_null(text)", "item_id", "text IS NULL"),
         _rows("embeddings", "dimension(embedding)", "vec_id", "len(embedding) <> 64"),
     ]),
     "load_counts": with_tables("snapshots docs", """

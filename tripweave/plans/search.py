@@ -47,7 +47,8 @@ def semantic_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
     """All benchmark texts searched in the documents of one language each, both embedded
     here; the wished number of results runs from 0 to 12."""
     t = Tables(spark, folder)
-    documents = vectors.embed(_texts(t), "text", ["doc_id"]).withColumnRenamed("doc_id", "activity_id")
+    documents = vectors.embed(t.raw("documents"), "text", ["doc_id", "lang"]).withColumnsRenamed(
+        {"doc_id": "activity_id", "lang": "destination_name"})
     about = t.raw("documents").select(
         F.col("doc_id").alias("activity_id"), F.col("lang").alias("destination_name"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("name"),
