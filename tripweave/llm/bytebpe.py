@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, types as T
 
 from tripweave.llm.common import text_columns
-from tripweave.llm.pieces import SpacedPieces
+from tripweave.llm.pieces import PIECE_LIMIT, Memo, SpacedPieces
 
 NEVER = 1 << 60
 MEMO_LIMIT = 1_000_000
@@ -48,7 +48,7 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.spines: dict[int, tuple | None] = {}
         self.fitting: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = Memo(PIECE_LIMIT)
         self.pieces = SpacedPieces(self.of_pieces)
         self.table = np.frombuffer(b"".join(self.token[r] for r in sorted(self.token)), np.uint8)
         lengths = np.zeros(max(self.token) + 1, np.int64)
@@ -141,14 +141,12 @@ class ByteBpe:
         return tokens
 
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
-        known = self.known
-        if len(known) > self.pieces.limit:
-            known.clear()
+        known = self.known.turn()
         made = []
         for piece in pieces:
             words = self.find(piece)
             for word in words:
-                if word not in known:
+                if word not in known and self.known.absent({word}):
                     tokens = self.encode_bytes(word.encode().decode("latin-1"))
                     known[word] = struct.pack(f"<{len(tokens)}I", *tokens)
             made.append(known[words[0]] if len(words) == 1 else b"".join(map(known.__getitem__, words)))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tripweave.llm.common import text_columns
-from tripweave.llm.pieces import SpacedPieces
+from tripweave.llm.pieces import PIECE_LIMIT, Memo, SpacedPieces
 
 TOKEN_LIMIT = 1024
 NO_RANK = np.iinfo(np.int32).max
@@ -103,7 +103,7 @@ class TokenCounter:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         self.pieces = SpacedPieces(self.of_pieces)
-        self.known: dict[str, int] = {}
+        self.known = Memo(PIECE_LIMIT)
 
     def _pretokens(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens of a piece of text, and how many special tokens stand between them."""
@@ -111,10 +111,9 @@ class TokenCounter:
         return [word for part in parts if part for word, _ in self.split(part)], len(parts) - 1
 
     def of_pieces(self, pieces: list[str]) -> list[int]:
-        if len(self.known) > self.pieces.limit:
-            self.known.clear()
+        known = self.known.turn()
         cut = [self._pretokens(piece) for piece in pieces]
-        new = list({word for words, _ in cut for word in words}.difference(self.known))
+        new = self.known.absent({word for words, _ in cut for word in words})
         start = 0
         while start < len(new):
             end, held = start, 0
@@ -124,9 +123,9 @@ class TokenCounter:
             batch = new[start:end]
             codes = np.frombuffer("".join(batch).encode("utf-32-le"), np.uint32)
             lengths = np.fromiter(map(len, batch), np.int64, len(batch))
-            self.known.update(zip(batch, merged_lengths(self.symbol[codes], lengths, self.pairs).tolist()))
+            known.update(zip(batch, merged_lengths(self.symbol[codes], lengths, self.pairs).tolist()))
             start = end
-        return [special + sum(map(self.known.__getitem__, words)) for words, special in cut]
+        return [special + sum(map(known.__getitem__, words)) for words, special in cut]
 
     def of_texts(self, texts: list) -> list[int]:
         return [sum(values) for values in self.pieces.values(texts)]

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.llm import simple8b
 from tripweave.llm.common import bound_batches, slices
+from tripweave.llm.pieces import Memo
 from tripweave.operators.keyed import is_small
 
 END_ID = 1
-SEGMENT_IDS = 1 << 20
-CHUNK_LIMIT = 200_000
+SEGMENT_IDS = 1 << 18
+CHUNK_LIMIT = 120_000
 SEGMENT_SCHEMA = "part int, segment int, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, ids binary"
 
 
@@ -33,7 +34,7 @@ class ChunkEncoder:
 
     For tokenizers that drop white space and never join what it parts, the ids of a text are
     those of its chunks between white space, in order. Distinct chunks are encoded once and
-    kept, at most `CHUNK_LIMIT` at a time. Texts of ASCII and the common Latin letters, without
+    kept, at most about twice `CHUNK_LIMIT` at a time. Texts of ASCII and the common Latin letters, without
     special tokens, are lower-cased and split as the tokenizer does, so that their chunks share
     words; the library's model merges each distinct word. All other chunks go through the whole
     tokenizer. Python parts texts at four control characters that are no white space to the
@@ -53,18 +54,16 @@ class ChunkEncoder:
             self.special = [token["content"] for token in json.load(file)["added_tokens"]]
         as_symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.symbols = {code: as_symbols(chr(code))[0][0] for code in range(256)}
-        self.raw: dict[str, bytes] = {}
-        self.lowered: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.raw, self.lowered, self.words = Memo(CHUNK_LIMIT), Memo(CHUNK_LIMIT), Memo(CHUNK_LIMIT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
     def _encode_lowered(self, chunk: str) -> bytes:
-        words, found = self.words, [chunk] if chunk.isalpha() else WORDS.findall(chunk)
+        words, found = self.words.now, [chunk] if chunk.isalpha() else WORDS.findall(chunk)
         for word in found:
-            if word not in words:
+            if word not in words and self.words.absent({word}):
                 tokens = self.merge(word if word.isascii() and word.isprintable() else word.translate(self.symbols))
                 words[word] = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
         return words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
@@ -75,23 +74,22 @@ class ChunkEncoder:
     def encode(self, texts: list) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null is empty."""
         for kept in (self.raw, self.lowered, self.words):
-            if len(kept) > CHUNK_LIMIT:
-                kept.clear()
+            kept.turn()
         cut, missing, new = [], set(), set()
         for text in texts:
             text = text or ""
             if self._is_plain(text):
-                chunks, known, wanted = text.lower().split(), self.lowered, new
+                chunks, known, wanted = text.lower().split(), self.lowered.now, new
             else:
-                chunks, known, wanted = [text] if CONTROLS(text) else text.split(), self.raw, missing
+                chunks, known, wanted = [text] if CONTROLS(text) else text.split(), self.raw.now, missing
             wanted.update(set(chunks).difference(known))
             cut.append((known, chunks))
-        for chunk in new:
-            self.lowered[chunk] = self._encode_lowered(chunk)
-        order = list(missing)
+        for chunk in self.lowered.absent(new):
+            self.lowered.now[chunk] = self._encode_lowered(chunk)
+        order = self.raw.absent(missing)
         for start in range(0, len(order), 4096):
             part = order[start:start + 4096]
-            self.raw.update(zip(part, self._encode(part)))
+            self.raw.now.update(zip(part, self._encode(part)))
         return [b"".join(map(known.__getitem__, chunks)) for known, chunks in cut]
 
 
