@@ -23,6 +23,7 @@ BITS = 13
 GRAM = 3
 #: Labelled documents of each language that training sees, whole.
 SAMPLE_ROWS = 500
+HASHES = 1 << 30
 EPOCHS = 20
 REGULAR = 1e-4
 
@@ -211,9 +212,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machines:
     to the driver is bounded: a fixed number of rows per language, each 2^BITS numbers. Texts without
     letters teach nothing and are left out; no labels give machines that know nothing.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).filter(
-        F.col("_n") <= sample_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
+    ids = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("_hash")).join(
+        F.broadcast(counts) if is_small(counts) else counts, "lang")
+    # of a large language only about four times as many as are wanted meet in the window
+    few = ids.filter(F.col("_hash") * F.col("_rows").cast("double") < 4.0 * sample_rows * HASHES)
+    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
+    chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     chosen = F.broadcast(chosen) if is_small(chosen) else chosen
     part = labelled.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).filter(
         F.regexp_like("text", F.lit(r"\p{L}")))

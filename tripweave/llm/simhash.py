@@ -251,10 +251,11 @@ def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
     rows = written(found.select(F.col("root").alias("_owner"), "_key", "_row", order.alias("_order")), "rows")
     first = rows.groupBy("_owner").agg(F.min("_order").alias("_first"))
-    marked = rows.join(first, "_owner").select("_key", "_row", (F.col("_order") == F.col("_first")).alias("_wins"))
-    counted = marked.groupBy("_key", "_row").agg(F.max("_wins").alias("_wins"), F.count("*").alias("_n"))
-    out = written(counted.filter("NOT _wins OR _n > 1"), "out")
+    winners = first.select(F.coalesce(F.col("_first.i").cast("string"), F.lit("")).alias("_key"),
+                           F.col("_first.r").alias("_row"), F.lit(True).alias("_wins"))
     keys = ["_key", "_row"]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(winners, keys, "left")
+    out = written(counted.filter("_wins IS NULL OR _n > 1"), "out")
     kept = keyed.join(out.select(*keys), keys, "left_anti")
     again = keyed.join(out.filter("_wins").select(*keys), keys, "left_semi").dropDuplicates(keys)
     return kept.unionByName(again).select(*docs.columns)
