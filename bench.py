@@ -19,7 +19,7 @@ HEADLINE = (
     "match_enrich", "itinerary_active", "dashboard_summary", "itinerary_generate", "itinerary_add_auto",
     "itinerary_move", "packing_catalogue", "packing_rules", "upsert_weather", "upsert_packing",
     "cascade_delete", "quality_report", "embed_documents", "semantic_topk", "semantic_topk_batch",
-    "semantic_ann", "text_search",
+    "semantic_ann", "text_search", "text_search_stemmed",
 )
 
 

@@ -35,6 +35,8 @@ class Packed(NamedTuple):
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits of each number, zero for zero."""
+    if values.size and values.max() < 1 << 53:  # exact as floating point
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
     bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1])
     return bits.astype(np.uint8)

@@ -19,7 +19,7 @@ from tripweave.operators.keyed import is_small
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
-CHUNK_LIMIT = 120_000
+CHUNK_LIMIT = 250_000
 SEGMENT_SCHEMA = "part int, segment int, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, ids binary"
 
 
