@@ -26,6 +26,10 @@ SAMPLE_ROWS = 500
 HASHES = 1 << 30
 EPOCHS = 20
 REGULAR = 1e-4
+#: Added to the share of every n-gram, so that one never seen has a likelihood too.
+SMOOTH = 1e-5
+#: How far below the lowest labelled document a text may score, as a part of that score.
+LEEWAY = 0.25
 
 # The families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -79,13 +83,15 @@ def gram_codes(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 class Machines(NamedTuple):
     """Languages, their families, and a weight row and bias per pair of families, then of
-    languages of one family. A pair is (step, first, second, classes' numbers)."""
+    languages of one family. A pair is (step, first, second, classes' numbers). `typical` has a
+    row per language: how much likelier it makes each n-gram than chance, as a logarithm."""
 
     languages: list[str]
     families: list[str]
     pairs: list[tuple[int, int, int]]
     weights: np.ndarray
     biases: np.ndarray
+    typical: np.ndarray = np.zeros((0, 0), np.float32)
 
 
 def margins(codes: np.ndarray, counts: np.ndarray, machines: Machines) -> np.ndarray:
@@ -120,13 +126,8 @@ def _vote(margin: np.ndarray, pairs: list, step: int, classes: list[int]) -> tup
     return np.array(classes)[best], sure
 
 
-def predict(texts: list, machines: Machines) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; `und` with score 0 without letters or languages."""
-    letters = pc.match_substring_regex(pa.array([t or "" for t in texts], pa.string()), r"\p{L}").to_numpy(
-        zero_copy_only=False)
-    if not machines.languages or not len(texts):
-        return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    codes, counts = gram_codes(texts)
+def _named(texts: list, machines: Machines, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each text's language, and its score."""
     margin = margins(codes, counts, machines)
     family, score = _vote(margin, machines.pairs, 0, list(range(len(machines.families))))
     language = np.zeros(len(texts), np.int64)
@@ -135,10 +136,53 @@ def predict(texts: list, machines: Machines) -> tuple[list[str], np.ndarray]:
         members = [i for i, code in enumerate(machines.languages) if family_of(code) == name]
         language[rows], inner = _vote(margin[rows], machines.pairs, 1, members)
         score[rows] = np.minimum(score[rows], inner)
+    return language, score
+
+
+def _with_letters(texts: list) -> np.ndarray:
+    return pc.match_substring_regex(pa.array([t or "" for t in texts], pa.string()), r"\p{L}").to_numpy(
+        zero_copy_only=False)
+
+
+def predict(texts: list, machines: Machines) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; `und` with score 0 without letters or languages."""
+    letters = _with_letters(texts)
+    if not machines.languages or not len(texts):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    language, score = _named(texts, machines, *gram_codes(texts))
     named = [machines.languages[i] if has else UNKNOWN for i, has in zip(language, letters)]
     return named, np.where(letters, score, 0.0)
 
 
+def _letter_shares(texts: list) -> np.ndarray:
+    """Letters among the bytes of each text that are no ASCII space; without any, zero."""
+    out = np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        out[i] = np.count_nonzero(_LETTERS[raw] != 32) / max(1, np.count_nonzero((raw != 32) & ((raw < 9) | (raw > 13))))
+    return out
+
+
+def likeness(texts: list, machines: Machines) -> np.ndarray:
+    """How much each text reads like the language the machines name; -inf without a letter.
+
+    The machines only tell languages apart: digits with one letter score 1. So this is the
+    mean over a text's n-grams of how typical they are of that language, times the share of letters.
+    Texts of any length are on one scale.
+    """
+    if not len(texts):
+        return np.zeros(0)
+    codes, counts = gram_codes(texts)
+    language, _ = _named(texts, machines, codes, counts)
+    row = np.repeat(language * machines.typical.shape[1], counts)
+    flat = machines.typical.ravel()
+    total = flat[row + codes[0]]
+    for n in range(1, GRAM):
+        total = total + flat[row + codes[n]]
+    mean = np.add.reduceat(total, np.cumsum(counts) - counts, dtype=np.float64) / counts / GRAM
+    return np.where(_with_letters(texts), mean * _letter_shares(texts), -np.inf)
+
+
 def _svm(features: np.ndarray, signs: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """A linear machine by stochastic subgradient steps on the hinge loss, averaged over the
     second half of the steps. Both classes count alike, whatever their numbers of rows."""
@@ -180,10 +224,13 @@ def train(features: np.ndarray, languages: list[str]) -> Machines:
     known = sorted(set(languages))
     families = sorted({family_of(code) for code in known})
     width = features.shape[1]
+    of_language = np.array([known.index(code) for code in languages])
+    shares = np.stack([features[of_language == i].mean(0, dtype=np.float64) / GRAM for i in range(len(known))])
+    typical = np.log((shares + SMOOTH) * (1 << BITS)).astype(np.float32)
+    typical[:, -1] = 0
     spread = 1 / np.sqrt(features.mean(0) + 1e-5)  # common n-grams must not drown the rest
     spread *= 1 / np.sqrt(np.mean(np.sum((features * spread) ** 2, axis=1)))
     features = features * spread.astype(np.float32)
-    of_language = np.array([known.index(code) for code in languages])
     of_family = np.array([families.index(family_of(code)) for code in languages])
     pairs = [(0, a, b) for a, b in combinations(range(len(families)), 2)]
     pairs += [(1, a, b) for a, b in combinations(range(len(known)), 2) if family_of(known[a]) == family_of(known[b])]
@@ -193,7 +240,7 @@ def train(features: np.ndarray, languages: list[str]) -> Machines:
         rows = np.flatnonzero((classes == a) | (classes == b))
         w, biases[m] = _svm(features[rows], np.where(classes[rows] == a, 1.0, -1.0), seed=m)
         weights[m] = w * spread
-    return Machines(known, families, pairs, weights, biases)
+    return Machines(known, families, pairs, weights, biases, typical)
 
 
 def learning_part(docs: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
@@ -251,13 +298,35 @@ def predict_documents(docs: DataFrame, machines: Machines, fold: int = 1, folds:
     return found.select("doc_id", F.coalesce(remainder == fold, F.lit(True)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, machines: Machines, least_score: float = 0.0) -> DataFrame:
-    """Documents with a language, scored at least `least_score`, with all their columns."""
+def least_likeness(labelled: DataFrame, machines: Machines) -> float:
+    """The line below which a text is of no learned language: the lowest likeness of all
+    labelled documents that have a letter, of every length, less `LEEWAY` of it so that held-out
+    ones a little below stay. -inf if there are none."""
+    if not machines.languages:
+        return -np.inf
+
+    def make():
+        return lambda texts: [likeness(texts, machines)]
+
+    lowest = text_columns(labelled, make, [T.StructField("like", T.DoubleType())], ()).filter(
+        F.col("like") > -np.inf).agg(F.min("like")).first()[0]
+    return -np.inf if lowest is None else lowest - LEEWAY * abs(lowest)
+
+
+def keep_known(docs: DataFrame, machines: Machines, least_score: float = 0.0, least_like: float = -np.inf) -> DataFrame:
+    """Documents with a language, scored at least `least_score` and like it by at least
+    `least_like`, with all their columns. If nothing was learned, nothing can be told and all stay."""
+    if not machines.languages:
+        return docs
+
     def make():
         def work(texts: list) -> list:
+            like = likeness(texts, machines) if least_like > -np.inf else None
+            if like is not None and least_score <= 0:
+                return like >= least_like  # a text without a letter is below any line
             named, score = predict(texts, machines)
-            return (np.array(named, object) != UNKNOWN) & (score >= least_score)
+            kept = (np.array(named, object) != UNKNOWN) & (score >= least_score)
+            return kept if like is None else kept & (like >= least_like)
         return work
 
     return filter_texts(docs, make)
-
