@@ -236,18 +236,20 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """One document of each group of near copies, with all its columns: the one with the
-    lowest id (nulls last), of equal ids the one with the lowest hash of all columns.
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """Documents with what tells rows apart: their id as text and a hash of all columns."""
+    row = F.xxhash64(*[docs[c].cast("string") if kind.startswith("map") else docs[c] for c, kind in docs.dtypes])
+    return docs.select("*", F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("_key"), row.alias("_row"))
+
 
-    Rows are told apart by id and that hash. Rows that lose are taken out by an anti join, so
-    the texts themselves are joined only where the losers are too many to broadcast. Repeated
-    rows that win are taken out the same way and come back once each.
+def first_of_each(docs: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the keyed rows of `docs`, one of each root in `found` (doc_id, _key, _row, root): the
+    one with the lowest id (nulls last), of equal ids the one with the lowest hash.
+
+    Rows that lose are taken out by an anti join, so the texts themselves are joined only where
+    the losers are too many to broadcast. Repeated rows that win are taken out the same
+    way and come back once each.
     """
-    row = F.xxhash64(*[docs[c].cast("string") if kind.startswith("map") else docs[c] for c, kind in docs.dtypes])
-    keyed = docs.select("*", F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("_key"), row.alias("_row"))
-    prints = written(fingerprints(keyed.select("doc_id", "text", "_key", "_row"), ("doc_id", "_key", "_row")), "prints")
-    found = prints.join(groups(prints, budget).select("fp", "root"), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
     rows = written(found.select(F.col("root").alias("_owner"), "_key", "_row", order.alias("_order")), "rows")
     first = rows.groupBy("_owner").agg(F.min("_order").alias("_first"))
@@ -259,3 +261,10 @@ def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
     kept = keyed.join(out.select(*keys), keys, "left_anti")
     again = keyed.join(out.filter("_wins").select(*keys), keys, "left_semi").dropDuplicates(keys)
     return kept.unionByName(again).select(*docs.columns)
+
+
+def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
+    """One document of each group of near fingerprints, with all its columns (see `first_of_each`)."""
+    keyed = keyed_rows(docs)
+    prints = written(fingerprints(keyed.select("doc_id", "text", "_key", "_row"), ("doc_id", "_key", "_row")), "prints")
+    return first_of_each(docs, keyed, prints.join(groups(prints, budget).select("fp", "root"), "fp"))
