@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but
 the last return the columns of `documents`. `run` applies them in order. ORACLE_SQL is None:
-language machines, near copies and byte-pair merges have no SQL; the stages are tested
+language machines, fingerprints and byte-pair merges have no SQL; the stages are tested
 against brute-force versions.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripweave.llm import bytebpe, language, mixing, nearcopies, quality
+from tripweave.llm import bytebpe, language, mixing, quality, simhash
 from tripweave.llm.common import written
 from tripweave.sources.tables import read_table
 
@@ -29,8 +29,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity 0.8 on five-word shingles."""
-    return nearcopies.keep_one_of_each(docs)
+    """One document of each group of fingerprints that reach each other by two differing bits."""
+    return simhash.keep_one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
