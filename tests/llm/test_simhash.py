@@ -105,3 +105,12 @@ def test_one_row_of_each_group_stays(documents, sample, rows):
     assert [r[:2] for r in got] == sorted(((ids[i], texts[i]) for i in sorted(set(groups.values()))), key=repr)
     assert simhash.keep_one_of_each(docs).columns == docs.columns
     assert simhash.keep_one_of_each(docs.limit(0)).collect() == []
+
+
+def test_columns_of_any_name_and_type_stay(spark, rows):
+    data = [(1, "a b c d", 5, [{"k": 1}]), (2, "a b c d", 6, None), (3, "other words here now", None, [{}]),
+            (3, "other words here now", None, [{}])]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, _key int, _row array<map<string,int>>")
+    kept = simhash.keep_one_of_each(docs.withColumnRenamed("_row", "row").withColumn("key", docs["_key"]).withColumn("doc", docs["_key"]))
+    assert sorted((r.doc_id, r._key, r.key, r.doc) for r in kept.collect()) == [(1, 5, 5, 5), (3, None, None, None)]
+    assert sorted(r.doc_id for r in simhash.keep_one_of_each(docs).collect()) == [1, 3]

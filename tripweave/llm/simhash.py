@@ -236,35 +236,48 @@ def near_duplicates(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _hashable(name: str, kind: str) -> Column:
+    """A column as something that can be hashed; maps, wherever they lie in it, as JSON."""
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column), {"ignoreNullFields": "false"}) if "map<" in kind else column
+
+
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """Documents with what tells rows apart: their id as text and a hash of all columns."""
-    row = F.xxhash64(*[docs[c].cast("string") if kind.startswith("map") else docs[c] for c, kind in docs.dtypes])
-    return docs.select("*", F.coalesce(docs["doc_id"].cast("string"), F.lit("")).alias("_key"), row.alias("_row"))
+    """Documents as one column `doc`, whatever their columns are called, with what tells rows
+    apart: `key`, the id as text, and `row`, a hash of all columns."""
+    return docs.select(
+        F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
+        F.xxhash64(*[_hashable(*column) for column in docs.dtypes]).alias("row"))
 
 
-def first_of_each(docs: DataFrame, keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """Of the keyed rows of `docs`, one of each root in `found` (doc_id, _key, _row, root): the
+def first_of_each(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the keyed rows, the document of one of each root in `found` (doc_id, key, row, root): the
     one with the lowest id (nulls last), of equal ids the one with the lowest hash.
 
     Rows that lose are taken out by an anti join, so the texts themselves are joined only where
     the losers are too many to broadcast. Repeated rows that win are taken out the same
     way and come back once each.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
-    rows = written(found.select(F.col("root").alias("_owner"), "_key", "_row", order.alias("_order")), "rows")
-    first = rows.groupBy("_owner").agg(F.min("_order").alias("_first"))
-    winners = first.select(F.coalesce(F.col("_first.i").cast("string"), F.lit("")).alias("_key"),
-                           F.col("_first.r").alias("_row"), F.lit(True).alias("_wins"))
-    keys = ["_key", "_row"]
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(winners, keys, "left")
-    out = written(counted.filter("_wins IS NULL OR _n > 1"), "out")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("row").alias("r"))
+    rows = written(found.select(F.col("root").alias("owner"), "key", "row", order.alias("place")), "rows")
+    first = rows.groupBy("owner").agg(F.min("place").alias("first"))
+    winners = first.select(F.coalesce(F.col("first.i").cast("string"), F.lit("")).alias("key"),
+                           F.col("first.r").alias("row"), F.lit(True).alias("wins"))
+    keys = ["key", "row"]
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n")).join(winners, keys, "left")
+    out = written(counted.filter("wins IS NULL OR n > 1"), "out")
     kept = keyed.join(out.select(*keys), keys, "left_anti")
-    again = keyed.join(out.filter("_wins").select(*keys), keys, "left_semi").dropDuplicates(keys)
-    return kept.unionByName(again).select(*docs.columns)
+    again = keyed.join(out.filter("wins").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return kept.unionByName(again).select("doc.*")
 
 
 def keep_one_of_each(docs: DataFrame, budget: int = MAX_BITS) -> DataFrame:
-    """One document of each group of near fingerprints, with all its columns (see `first_of_each`)."""
-    keyed = keyed_rows(docs)
-    prints = written(fingerprints(keyed.select("doc_id", "text", "_key", "_row"), ("doc_id", "_key", "_row")), "prints")
-    return first_of_each(docs, keyed, prints.join(groups(prints, budget).select("fp", "root"), "fp"))
+    """One document of each group of near fingerprints, with all its columns (see `first_of_each`).
+
+    Null and empty texts are one group. Of repeated rows one stays, null ids lose against any
+    id, an empty table gives no rows, and further columns may have any name and type.
+    """
+    keyed, place = keyed_rows(docs), ("doc_id", "key", "row")
+    prints = written(fingerprints(keyed.select("doc.doc_id", "doc.text", "key", "row"), place), "prints")
+    return first_of_each(keyed, prints.join(groups(prints, budget).select("fp", "root"), "fp"))
