@@ -6,10 +6,12 @@
                   | "<s> " text "</s>"                   an assistant's
                   | "[ROLE] " role newline text " [/ROLE]"   any other's
 
-Control strings inside a text get a backslash behind their first character, and those that
-have backslashes there one more, so taking one away gives the text back. A text is first
-set as it is; where the parser reads something else from it, it is escaped, until what is
-read is what was written.
+The parser reads every control string as a token of its own, so one that stands inside a text or a
+role is an error, also where it could not end the turn: what a tokenizer that knows these strings
+sees are the marks of turns and nothing else. Escaped control strings have a backslash behind
+their first character, and those that have backslashes there one more, so taking one away gives
+the text back. A text is first set as it is; where the parser fails or reads something else from
+it, it is escaped, until what is read is what was written.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -32,6 +35,7 @@ LEARNED = "assistant"
 PROBE_ID, PROBE_TEXT = -1, "</s>[INST] ok [/INST]"
 
 CONTROL = re.compile(r"([\[<])(\\*)(/?(?:INST|SYS|ROLE)\]|/?s>)")
+TOKEN = re.compile(r"[\[<]/?(?:(?:INST|SYS|ROLE)\]|s>)")
 ESCAPED = re.compile(r"([\[<])\\(\\*)(/?(?:INST|SYS|ROLE)\]|/?s>)")
 
 
@@ -66,7 +70,7 @@ def _unescape_role(role: str) -> str:
 
 
 def parse_turn(text: str, at: int = 0) -> Parsed:
-    """The turn that begins at a place; its text ends at the first closing words of its kind."""
+    """The turn that begins at a place; the first control string behind its opening must close it."""
     for role, opening in OPEN.items():
         if text.startswith(opening, at):
             start, closing = at + len(opening), CLOSE[role]
@@ -75,12 +79,13 @@ def parse_turn(text: str, at: int = 0) -> Parsed:
         if not text.startswith(OTHER_OPEN, at):
             raise ValueError(f"no turn begins at {at}")
         line = text.find("\n", at)
-        if line < 0:
+        if line < 0 or TOKEN.search(text, at + len(OTHER_OPEN), line):
             raise ValueError(f"no role ends behind {at}")
         role, start, closing = _unescape_role(text[at + len(OTHER_OPEN):line]), line + 1, OTHER_CLOSE
-    stop = text.find(closing, start)
-    if stop < 0:
-        raise ValueError(f"the turn at {at} has no end")
+    token = TOKEN.search(text, start)
+    stop = token.end() - len(closing) if token else -1
+    if stop < start or not text.startswith(closing, stop):
+        raise ValueError(f"the turn at {at} is not closed by its own kind")
     return Parsed(Turn(role, unescape(text[start:stop])), start, stop, stop + len(closing))
 
 
@@ -114,18 +119,25 @@ def render(turn: Turn) -> tuple[str, Parsed]:
     raise ValueError("a turn does not come back from its format")
 
 
+def check_of(role: str, text: str) -> int:
+    """A number by which a turn read back is held against the one that was written."""
+    return xxhash.xxh64_intdigest(f"{role}\n{text}\n") - (1 << 63)
+
+
 class Digest:
-    """What a conversation reads as, fed turn by turn; holds sums and digests, never its text."""
+    """What a conversation reads as, fed turn by turn; holds sums and digests, never its text.
+    Raises ValueError where it reads other turns than were written."""
 
     def __init__(self):
         self.turns = self.loss_chars = self.formatted_chars = 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def feed(self, formatted: str) -> None:
-        at = 0
+    def feed(self, formatted: str, written: int) -> None:
+        at, found = 0, []
         while at < len(formatted):
             read = parse_turn(formatted, at)
             role, text = read.turn
+            found.append(check_of(role, text))
             self.turns += 1
             self.all.update(f"{role}\n{text}\n".encode())
             if role == LEARNED:
@@ -133,6 +145,8 @@ class Digest:
                 self.loss_chars += len(learned)
                 self.loss.update(learned.encode())
             at = read.end
+        if found != [written]:
+            raise ValueError("a conversation does not come back from its format")
         self.formatted_chars += len(formatted)
 
     def row(self) -> list:
@@ -149,10 +163,10 @@ def format_conversation(turns: Iterable[Turn]) -> str:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, formatted, mask_start and mask_stop of every row.
+    """conv_id, turn, role, text, formatted, mask_start, mask_stop and check of every row.
 
     `formatted` is the turn's part of the conversation; the mask is the span of characters in
-    it that are learned (null but for an assistant). Rows are formatted where they lie. A null
+    it that are learned (null but for an assistant); the check tells the turn that was written. Rows are formatted where they lie. A null
     role or text counts as empty; further columns are not read.
     """
     rows = conversations.select(
@@ -161,24 +175,26 @@ def format_turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(conversations["text"].cast("string"), F.lit("")).alias("text"))
     schema = T.StructType(rows.schema.fields + [
         T.StructField("formatted", T.StringType()), T.StructField("mask_start", T.LongType()),
-        T.StructField("mask_stop", T.LongType())])
+        T.StructField("mask_stop", T.LongType()), T.StructField("check", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [render(Turn(*pair)) for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            turns = [Turn(*pair) for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            made = [render(turn) for turn in turns]
             learned = [read.turn.role == LEARNED for _, read in made]
             yield pa.RecordBatch.from_arrays(batch.columns + [
                 pa.array([text for text, _ in made], pa.string()),
                 pa.array([read.start if own else None for own, (_, read) in zip(learned, made)], pa.int64()),
-                pa.array([read.stop if own else None for own, (_, read) in zip(learned, made)], pa.int64())],
-                names=schema.names)
+                pa.array([read.stop if own else None for own, (_, read) in zip(learned, made)], pa.int64()),
+                pa.array([check_of(*turn) for turn in turns], pa.int64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars per
-    conversation, parsed from the formatted turns in order of turn.
+    conversation, parsed from the formatted turns in order of turn and held against the turns that
+    were written (a difference is an error).
 
     Turns come sorted to the task of their conversation and pass through one at a time, so a
     very long conversation needs no more memory than a short one; its digest is one sequence by
@@ -194,12 +210,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
         current, digest = None, None
         for batch in batches:
             done = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, text, written in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 if digest is None or key != current:
                     if digest:
                         done.append([current, *digest.row()])
                     current, digest = key, Digest()
-                digest.feed(text)
+                digest.feed(text, written)
             if done:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, f.type) for c, f in zip(zip(*done), arrow)], schema=arrow)
@@ -207,12 +223,15 @@ def read_back(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], f.type) for v, f in zip([current, *digest.row()], arrow)], schema=arrow)
 
-    dealt = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted")
+    dealt = formatted.repartition("conv_id").sortWithinPartitions(*order).select("conv_id", "formatted", "check")
     return dealt.mapInArrow(run, schema)
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
-    """The conversations and one more of a user and an assistant who say control strings."""
+    """The conversations and one more of a user and an assistant who say control strings.
+
+    Rows that have its id already are turns of the same conversation, in order of turn with its two.
+    """
     spark: SparkSession = conversations.sparkSession
     probe = spark.createDataFrame(
         [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)],
