@@ -12,7 +12,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame, types as T
 
-from tripweave.llm.common import text_columns
+from tripweave.llm.common import once_per_worker, text_columns
 from tripweave.llm.pieces import PIECE_LIMIT, Memo, SpacedPieces
 
 NEVER = 1 << 60
@@ -167,6 +167,10 @@ class ByteBpe:
         return self.table[at].tobytes()
 
 
+def _worker_bpe(ranks_path: str, pattern: str) -> ByteBpe:
+    return once_per_worker(("byte pairs", ranks_path, pattern), lambda: ByteBpe(read_ranks(ranks_path), pattern))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id and ids, the token ids of every document as one binary value.
 
@@ -175,7 +179,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     table gives no rows and further columns are not read. The rank file is opened in the tasks.
     """
     def make():
-        bpe = ByteBpe(read_ranks(ranks_path), pattern)
+        bpe = _worker_bpe(ranks_path, pattern)
         return lambda texts: [bpe.encode(texts)]
 
     return text_columns(docs, make, [T.StructField("ids", T.BinaryType())])
@@ -185,7 +189,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256: every document encoded, then decoded
     from its ids. Same rules for odd rows as in `encode_documents`."""
     def make():
-        bpe = ByteBpe(read_ranks(ranks_path), pattern)
+        bpe = _worker_bpe(ranks_path, pattern)
 
         def work(texts: list) -> list:
             encoded = bpe.encode(texts)

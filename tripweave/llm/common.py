@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,6 +88,20 @@ def filter_texts(rows: DataFrame, make: Callable[[], Work], text: str = "text")
     return rows.mapInArrow(run, rows.schema)
 
 
+def once_per_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What `make` gives, made once per Python worker and key, for helpers with tables that take long
+    to build and memos worth keeping from task to task.
+
+    The package travels with the job and is built anew in every task, so its own globals don't last;
+    this module of one dictionary does. Whatever is kept must bound its own size.
+    """
+    name = "_kept_by_worker"
+    kept = sys.modules.setdefault(name, types.ModuleType(name)).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def shared_path(rows: DataFrame, kind: str) -> str:
     """A new folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"

@@ -24,7 +24,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs, vocabulary = read_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
     path = shared_path(docs, "tokens")
-    tokenfiles.write_tokens(docs, path, lambda: tokenfiles.ChunkEncoder(vocabulary).encode)
+    tokenfiles.write_tokens(docs, path, lambda: tokenfiles.worker_encoder(vocabulary))
     return tokenfiles.read_tokens(spark, path)
 
 

@@ -8,7 +8,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tripweave.llm.common import text_columns
+from tripweave.llm.common import once_per_worker, text_columns
 from tripweave.llm.pieces import PIECE_LIMIT, Memo, SpacedPieces
 
 TOKEN_LIMIT = 1024
@@ -139,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT) -> D
     columns are not read. `tokenizer` is a file every executor can open.
     """
     def make():
-        counter = TokenCounter(tokenizer)
+        counter = once_per_worker(("token counter", tokenizer), lambda: TokenCounter(tokenizer))
 
         def work(texts: list) -> list:
             return [[len((text or "").encode()) for text in texts], counter.of_texts(texts)]

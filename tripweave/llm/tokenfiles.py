@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.llm import simple8b
-from tripweave.llm.common import bound_batches, slices
+from tripweave.llm.common import bound_batches, once_per_worker, slices
 from tripweave.llm.pieces import Memo
 from tripweave.operators.keyed import is_small
 
@@ -93,6 +93,11 @@ class ChunkEncoder:
         return [b"".join(map(known.__getitem__, chunks)) for known, chunks in cut]
 
 
+def worker_encoder(path: str) -> Callable[[list], list[bytes]]:
+    """The encoding of a vocabulary, with its tables and memos kept by the Python worker."""
+    return once_per_worker(("chunk encoder", path), lambda: ChunkEncoder(path)).encode
+
+
 def _segment(part: int, number: int, keys: list, tokens: list[bytes]) -> dict:
     """One row of the file: which documents, how many ids each, and the coded ids."""
     has_key = np.array([key is not None for key in keys], np.uint64)
