@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tripweave.llm import bytebpe, chat, embedgroups, language, mixing, quality, repair, simhash, tokencount, tokenfiles, urlrules
+from tripweave.llm import bytebpe, chat, collocations, embedgroups, language, mixing, quality, repair, simhash, tokencount, tokenfiles, urlrules
 from tripweave.llm.common import shared_path
 from tripweave.sources.tables import read_table
 
@@ -62,7 +62,12 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repair_reports(repair.damaged(read_table(spark, folder, "conversations")), dropped="dropped")
 
 
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, folder, "documents"))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {query.__name__: query for query in (
     op1_token_counts, op2_language_id, op3_token_files, op4_quality_rules, op5_url_filters, op6_byte_bpe,
-    op7_source_mix, op8_simhash, op9_chat_format, op10_embedding_groups, op11_conversation_repair)}
-ORACLE = {"op5_url_filters": urlrules.sql(), "op7_source_mix": mixing.SQL}
+    op7_source_mix, op8_simhash, op9_chat_format, op10_embedding_groups, op11_conversation_repair,
+    op12_collocations)}
+ORACLE = {"op5_url_filters": urlrules.sql(), "op7_source_mix": mixing.SQL, "op12_collocations": collocations.SQL}
