@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import struct
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,7 +20,7 @@ from tripweave.operators.keyed import is_small
 
 END_ID = 1
 SEGMENT_IDS = 1 << 18
-CHUNK_LIMIT = 250_000
+CHUNK_LIMIT = 400_000
 SEGMENT_SCHEMA = "part int, segment int, n_docs bigint, n_ids bigint, doc_ids binary, lengths binary, ids binary"
 
 
@@ -29,16 +30,52 @@ LATIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]").search
 CONTROLS = re.compile("[\x1c-\x1f]").search
 
 
+class IdTable(dict):
+    """Numbers of chunks of text, and the token ids of all of them in one flat table.
+
+    A chunk is encoded when it is first looked up. `trim` empties the table once it is full.
+    """
+
+    def __init__(self, encode: Callable[[str], Iterable[int]], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.ids, self.ends = array("I"), array("q", [0])
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self.ends) - 1
+        self.ids.extend(self.encode(chunk))
+        self.ends.append(len(self.ids))
+        return number
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+            self.ids, self.ends = array("I"), array("q", [0])
+
+    def of_lists(self, chunks: pa.ListArray) -> list[bytes]:
+        """The ids of each list of chunks. Distinct chunks are looked up, the rest is copied at once."""
+        coded = chunks.flatten().dictionary_encode()
+        distinct = np.fromiter(map(self.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+        number = distinct[coded.indices.to_numpy()]
+        ends = np.frombuffer(self.ends, np.int64)
+        sizes = ends[number + 1] - ends[number]
+        until = np.cumsum(sizes)
+        at = np.arange(int(until[-1]) if len(until) else 0) + np.repeat(ends[number] - (until - sizes), sizes)
+        made = memoryview(np.frombuffer(self.ids, "<u4")[at] if len(at) else np.zeros(0, "<u4")).cast("B")
+        stops = (4 * np.append(0, until)[np.cumsum(pc.list_value_length(chunks).to_numpy())]).tolist()
+        return [bytes(made[a:b]) for a, b in zip([0, *stops], stops)]
+
+
 class ChunkEncoder:
     """Ids of texts, encoded with the tokenizers library piece by piece.
 
     For tokenizers that drop white space and never join what it parts, the ids of a text are
-    those of its chunks between white space, in order. Distinct chunks are encoded once and
-    kept, at most about twice `CHUNK_LIMIT` at a time. Texts of ASCII and the common Latin letters, without
-    special tokens, are lower-cased and split as the tokenizer does, so that their chunks share
-    words; the library's model merges each distinct word. All other chunks go through the whole
-    tokenizer. Python parts texts at four control characters that are no white space to the
-    library; texts with one of them are encoded as they are.
+    those of its chunks between white space, in order. Texts of ASCII and the common Latin letters,
+    without special tokens, are lower-cased, and their chunks split into words as the tokenizer does;
+    the library's model merges each distinct word once. Of all other texts the distinct
+    chunks go through the whole tokenizer. At most about `CHUNK_LIMIT` chunks and as many words are
+    kept. Python parts texts at four control characters that are no white space to the library;
+    texts with one of them are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -49,48 +86,51 @@ class ChunkEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
         with open(path, encoding="utf-8") as file:
             self.special = [token["content"] for token in json.load(file)["added_tokens"]]
         as_symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.symbols = {code: as_symbols(chr(code))[0][0] for code in range(256)}
-        self.raw, self.lowered, self.words = Memo(CHUNK_LIMIT), Memo(CHUNK_LIMIT), Memo(CHUNK_LIMIT)
+        self.raw, self.words = Memo(CHUNK_LIMIT), Memo(CHUNK_LIMIT)
+        self.chunks = IdTable(self._of_chunk, CHUNK_LIMIT)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _encode_lowered(self, chunk: str) -> bytes:
-        words, found = self.words.now, [chunk] if chunk.isalpha() else WORDS.findall(chunk)
-        for word in found:
+    def _merge(self, word: str) -> list[int]:
+        plain = word.isascii() and word.isprintable()
+        return [token.id for token in self.tokenizer.model.tokenize(word if plain else word.translate(self.symbols))]
+
+    def _of_chunk(self, chunk: str) -> list[int]:
+        words, found = self.words.now, []
+        for word in WORDS.findall(chunk):
             if word not in words and self.words.absent({word}):
-                tokens = self.merge(word if word.isascii() and word.isprintable() else word.translate(self.symbols))
-                words[word] = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
-        return words[found[0]] if len(found) == 1 else b"".join(map(words.__getitem__, found))
+                words[word] = self._merge(word)
+            found += words[word]
+        return found
 
     def _is_plain(self, text: str) -> bool:
         return not ((not text.isascii() and LATIN(text)) or any(token in text for token in self.special) or CONTROLS(text))
 
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is empty."""
-        for kept in (self.raw, self.lowered, self.words):
-            kept.turn()
-        cut, missing, new = [], set(), set()
-        for text in texts:
-            text = text or ""
-            if self._is_plain(text):
-                chunks, known, wanted = text.lower().split(), self.lowered.now, new
-            else:
-                chunks, known, wanted = [text] if CONTROLS(text) else text.split(), self.raw.now, missing
-            wanted.update(set(chunks).difference(known))
-            cut.append((known, chunks))
-        for chunk in self.lowered.absent(new):
-            self.lowered.now[chunk] = self._encode_lowered(chunk)
-        order = self.raw.absent(missing)
+    def _chunks(self, texts: list[str]) -> list[bytes]:
+        known = self.raw.turn()
+        cut = [[text] if CONTROLS(text) else text.split() for text in texts]
+        order = self.raw.absent({chunk for chunks in cut for chunk in chunks})
         for start in range(0, len(order), 4096):
             part = order[start:start + 4096]
-            self.raw.now.update(zip(part, self._encode(part)))
-        return [b"".join(map(known.__getitem__, chunks)) for known, chunks in cut]
+            known.update(zip(part, self._encode(part)))
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
+
+    def encode(self, texts: list) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; null is empty."""
+        self.words.turn()
+        self.chunks.trim()
+        texts = [text or "" for text in texts]
+        plain = [self._is_plain(text) for text in texts]
+        lowered = pc.utf8_lower(pa.array([text for text, own in zip(texts, plain) if own], pa.large_string()))
+        words = iter(self.chunks.of_lists(pc.utf8_split_whitespace(lowered)))
+        others = iter(self._chunks([text for text, own in zip(texts, plain) if not own]))
+        return [next(words if own else others) for own in plain]
 
 
 def worker_encoder(path: str) -> Callable[[list], list[bytes]]:
