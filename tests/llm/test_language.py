@@ -66,7 +66,7 @@ def test_same_data_gives_the_same_machines(spark, machines):
 def test_three_languages_of_a_family_and_unknown_ones():
     texts = {"en": "the and of that with ", "de": "der und von dass mit ", "nl": "het een van dat met ", "xx": "zuq qaz wuq quz "}
     rows = [(word * k, lang) for lang, word in texts.items() for k in range(1, 12)]
-    machines = language.train(np.concatenate([language.features_of([t]) for t, _ in rows]), [lang for _, lang in rows])
+    machines = language.train([(lang, *(part.tobytes() for part in language.shares_of(t))) for t, lang in rows])
     assert machines.families == ["germanic", "xx"] and len(machines.pairs) == 1 + 3
     assert language.predict([t for t, _ in rows], machines)[0] == [lang for _, lang in rows]
 

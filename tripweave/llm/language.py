@@ -13,23 +13,28 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from tripweave.llm.common import filter_texts, text_columns
-from tripweave.operators.keyed import is_small
+from tripweave.llm.common import filter_texts, text_columns, written
+from tripweave.operators.keyed import is_small, top_per_key
 
 UNKNOWN = "und"
 BITS = 13
 GRAM = 3
 #: Labelled documents of each language that training sees, whole.
 SAMPLE_ROWS = 500
+#: Labelled documents that training sees in all, and of each language however many languages there are.
+TOTAL_ROWS, LEAST_ROWS = 16_000, 20
 HASHES = 1 << 30
 EPOCHS = 20
 REGULAR = 1e-4
 #: Added to the share of every n-gram, so that one never seen has a likelihood too.
 SMOOTH = 1e-5
-#: How far below the lowest labelled document a text may score, as a part of that score.
+#: How far below the least likely labelled documents but a few a text may score, as a part of their score.
 LEEWAY = 0.25
+LOWEST = 0.005
+WIDTH = (1 << BITS) + 1
+BATCH = 64
 
 # The families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -183,22 +188,44 @@ def likeness(texts: list, machines: Machines) -> np.ndarray:
     return np.where(_with_letters(texts), mean * _letter_shares(texts), -np.inf)
 
 
-def _svm(features: np.ndarray, signs: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
+class Shares(NamedTuple):
+    """n-gram shares of texts as sparse rows: row i has those from start[i] to start[i + 1]."""
+
+    start: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), WIDTH), np.float32)
+        sizes = self.start[rows + 1] - self.start[rows]
+        at = np.arange(int(sizes.sum())) + np.repeat(self.start[rows] - (np.cumsum(sizes) - sizes), sizes)
+        out[np.repeat(np.arange(len(rows)), sizes), self.place[at]] = self.value[at]
+        return out
+
+    def mean(self, rows: np.ndarray) -> np.ndarray:
+        total = np.zeros(WIDTH)
+        for part in np.array_split(rows, -(-len(rows) // BATCH)):
+            total += self.dense(part).sum(0, dtype=np.float64)
+        return total / len(rows)
+
+
+def _svm(features: Shares, rows: np.ndarray, signs: np.ndarray, seed: int) -> tuple[np.ndarray, float]:
     """A linear machine by stochastic subgradient steps on the hinge loss, averaged over the
     second half of the steps. Both classes count alike, whatever their numbers of rows."""
     rng = np.random.default_rng(seed)
-    w, mean_w, b, mean_b, step, kept = np.zeros(features.shape[1]), np.zeros(features.shape[1]), 0.0, 0.0, 0, 0
+    w, mean_w, b, mean_b, step, kept = np.zeros(WIDTH), np.zeros(WIDTH), 0.0, 0.0, 0, 0
     weight = np.where(signs > 0, len(signs) / (2 * max(1, (signs > 0).sum())), len(signs) / (2 * max(1, (signs < 0).sum())))
-    batches = -(-len(signs) // 64)
+    batches = -(-len(signs) // BATCH)
     for epoch in range(EPOCHS):
-        for rows in np.array_split(rng.permutation(len(signs)), batches):
+        for some in np.array_split(rng.permutation(len(signs)), batches):
             step += 1
             rate = 1 / (REGULAR * (step + 1 / REGULAR * 0.02))
-            short = signs[rows] * (features[rows] @ w + b) < 1
-            hurt = rows[short]
-            pull = (weight[hurt] * signs[hurt]) / len(rows)
+            seen = features.dense(rows[some])
+            short = signs[some] * (seen @ w.astype(np.float32) + b) < 1
+            hurt = some[short]
+            pull = (weight[hurt] * signs[hurt]) / len(some)
             w *= 1 - rate * REGULAR
-            w += rate * (pull @ features[hurt])
+            w += rate * (pull.astype(np.float32) @ seen[short])
             b += 0.1 * pull.sum()
             if 2 * epoch >= EPOCHS:
                 mean_w += w
@@ -207,38 +234,40 @@ def _svm(features: np.ndarray, signs: np.ndarray, seed: int) -> tuple[np.ndarray
     return mean_w / kept, mean_b / kept
 
 
-def features_of(texts: list) -> np.ndarray:
-    """The n-gram counts of each text, divided by its positions."""
-    codes, counts = gram_codes(texts)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    width = (1 << BITS) + 1
-    features = np.zeros((len(texts), width), np.float32)
-    for row in codes:
-        features += np.bincount(owner * width + row, minlength=features.size).reshape(features.shape)
-    features[:, -1] = 0
-    return features / np.maximum(counts, 1)[:, None].astype(np.float32)
+def shares_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a text and their counts, divided by its positions."""
+    codes, counts = gram_codes([text])
+    place, number = np.unique(codes, return_counts=True)
+    held = place < 1 << BITS
+    return place[held].astype("<u2"), (number[held] / max(1, counts[0])).astype("<f4")
 
 
-def train(features: np.ndarray, languages: list[str]) -> Machines:
-    """Machines for all pairs of families, and of languages inside a family."""
+def train(rows: list[tuple[str, bytes, bytes]]) -> Machines:
+    """Machines for all pairs of families, and of languages inside a family, from the language and the
+    `shares_of` each text."""
+    languages = [row[0] for row in rows]
     known = sorted(set(languages))
     families = sorted({family_of(code) for code in known})
-    width = features.shape[1]
+    sizes = np.array([len(row[1]) // 2 for row in rows])
+    features = Shares(np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(row[1] for row in rows), "<u2"),
+                      np.frombuffer(b"".join(row[2] for row in rows), "<f4"))
     of_language = np.array([known.index(code) for code in languages])
-    shares = np.stack([features[of_language == i].mean(0, dtype=np.float64) / GRAM for i in range(len(known))])
-    typical = np.log((shares + SMOOTH) * (1 << BITS)).astype(np.float32)
+    means = np.stack([features.mean(np.flatnonzero(of_language == i)) for i in range(len(known))])
+    typical = np.log((means / GRAM + SMOOTH) * (1 << BITS)).astype(np.float32)
     typical[:, -1] = 0
-    spread = 1 / np.sqrt(features.mean(0) + 1e-5)  # common n-grams must not drown the rest
-    spread *= 1 / np.sqrt(np.mean(np.sum((features * spread) ** 2, axis=1)))
-    features = features * spread.astype(np.float32)
+    everywhere = np.bincount(of_language) @ means / len(rows)
+    spread = 1 / np.sqrt(everywhere + 1e-5)  # common n-grams must not drown the rest
+    squares = np.bincount(features.place, features.value.astype(np.float64) ** 2, WIDTH) @ spread ** 2
+    spread *= 1 / np.sqrt(squares / len(rows))
+    features = features._replace(value=features.value * spread.astype(np.float32)[features.place])
     of_family = np.array([families.index(family_of(code)) for code in languages])
     pairs = [(0, a, b) for a, b in combinations(range(len(families)), 2)]
     pairs += [(1, a, b) for a, b in combinations(range(len(known)), 2) if family_of(known[a]) == family_of(known[b])]
-    weights, biases = np.zeros((len(pairs), width), np.float32), np.zeros(len(pairs))
+    weights, biases = np.zeros((len(pairs), WIDTH), np.float32), np.zeros(len(pairs))
     for m, (step, a, b) in enumerate(pairs):
         classes = of_language if step else of_family
-        rows = np.flatnonzero((classes == a) | (classes == b))
-        w, biases[m] = _svm(features[rows], np.where(classes[rows] == a, 1.0, -1.0), seed=m)
+        some = np.flatnonzero((classes == a) | (classes == b))
+        w, biases[m] = _svm(features, some, np.where(classes[some] == a, 1.0, -1.0), seed=m)
         weights[m] = w * spread
     return Machines(known, families, pairs, weights, biases, typical)
 
@@ -251,33 +280,36 @@ def learning_part(docs: DataFrame, fold: int = 1, folds: int = 3) -> DataFrame:
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder != fold))
 
 
-def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machines:
-    """Machines trained on at most `sample_rows` documents of each language.
+def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, total_rows: int = TOTAL_ROWS) -> Machines:
+    """Machines trained on at most `sample_rows` documents of each language, fewer where there are so
+    many languages that all would be more than `total_rows` (but `LEAST_ROWS` of each).
 
-    The documents of a language with the lowest hashes of their ids are taken, found from ids
-    and languages alone; then their whole texts are read. Tasks make the features, so what comes
-    to the driver is bounded: a fixed number of rows per language, each 2^BITS numbers. Texts without
-    letters teach nothing and are left out; no labels give machines that know nothing.
+    The documents of a language with the lowest hashes of id and text are taken; equal ones are one.
+    Hashes are found and cut first, then the texts that have them are read. Tasks
+    make the features, so what comes to the driver are sparse rows of bounded number and size. Texts
+    without letters teach nothing and are left out; no labels give machines that know nothing.
     """
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("_rows"))
-    ids = labelled.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)).alias("_hash")).join(
-        F.broadcast(counts) if is_small(counts) else counts, "lang")
+    hashed = labelled.filter(F.regexp_like("text", F.lit(r"\p{L}"))).select(
+        "lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(HASHES)).alias("hash"))
+    counts = written(hashed.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(LEAST_ROWS, min(sample_rows, total_rows // max(1, counts.count())))
     # of a large language only about four times as many as are wanted meet in the window
-    few = ids.filter(F.col("_hash") * F.col("_rows").cast("double") < 4.0 * sample_rows * HASHES)
-    order = Window.partitionBy("lang").orderBy("_hash", "doc_id")
-    chosen = few.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= sample_rows).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    chosen = F.broadcast(chosen) if is_small(chosen) else chosen
-    part = labelled.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).filter(
-        F.regexp_like("text", F.lit(r"\p{L}")))
+    few = hashed.select("lang", "hash").join(F.broadcast(counts) if is_small(counts) else counts, "lang").filter(
+        F.col("hash") * F.col("n").cast("double") < 4.0 * each * HASHES).select("lang", "hash").distinct()
+    chosen = top_per_key(few, ["lang"], [F.col("hash")], each).select("lang", "hash")
+    part = hashed.join(F.broadcast(chosen) if is_small(chosen) else chosen, ["lang", "hash"]).dropDuplicates(["lang", "hash"])
 
     def make():
-        return lambda texts: [[row.tobytes() for text in texts for row in features_of([text])]]
+        def work(texts: list) -> list:
+            made = [shares_of(text) for text in texts]
+            return [[place.tobytes() for place, _ in made], [value.tobytes() for _, value in made]]
+        return work
 
-    rows = text_columns(part, make, [T.StructField("features", T.BinaryType())], ("lang",)).orderBy(
-        "lang", F.xxhash64("features")).toPandas()
-    if rows.empty:
+    rows = text_columns(part, make, [T.StructField("place", T.BinaryType()), T.StructField("value", T.BinaryType())],
+                        ("lang", "hash")).collect()
+    if not rows:
         return Machines([], [], [], np.zeros((0, 0), np.float32), np.zeros(0))
-    return train(np.stack([np.frombuffer(row, np.float32) for row in rows["features"]]), rows["lang"].tolist())
+    return train([(row.lang, row.place, row.value) for row in sorted(rows, key=lambda row: (row.lang, row.hash))])
 
 
 def predict_documents(docs: DataFrame, machines: Machines, fold: int = 1, folds: int = 3) -> DataFrame:
@@ -299,17 +331,18 @@ def predict_documents(docs: DataFrame, machines: Machines, fold: int = 1, folds:
 
 
 def least_likeness(labelled: DataFrame, machines: Machines) -> float:
-    """The line below which a text is of no learned language: the lowest likeness of all
-    labelled documents that have a letter, of every length, less `LEEWAY` of it so that held-out
-    ones a little below stay. -inf if there are none."""
+    """The line below which a text is of no learned language, from all labelled documents that have
+    a letter, of every length: what all but `LOWEST` of a language's documents reach, for the lowest
+    language, less `LEEWAY` of it, so that held-out ones a little below stay and a few documents with a
+    wrong label don't move it. -inf if there are none."""
     if not machines.languages:
         return -np.inf
 
     def make():
         return lambda texts: [likeness(texts, machines)]
 
-    lowest = text_columns(labelled, make, [T.StructField("like", T.DoubleType())], ()).filter(
-        F.col("like") > -np.inf).agg(F.min("like")).first()[0]
+    like = text_columns(labelled, make, [T.StructField("like", T.DoubleType())], ("lang",)).filter(F.col("like") > -np.inf)
+    lowest = like.groupBy("lang").agg(F.percentile_approx("like", LOWEST, 10_000).alias("like")).agg(F.min("like")).first()[0]
     return -np.inf if lowest is None else lowest - LEEWAY * abs(lowest)
 
 
