@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-PIECE_LIMIT = 200_000
+PIECE_LIMIT = 100_000
 
 
 class Memo:
