@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tripweave.llm import bytebpe, chat, collocations, embedgroups, language, mixing, quality, repair, simhash, tokencount, tokenfiles, urlrules
+from tripweave.llm import (
+    bytebpe, chat, collocations, contextmix, embedgroups, language, mixing, quality, repair, simhash, tokencount,
+    tokenfiles, urlrules)
 from tripweave.llm.common import shared_path
 from tripweave.sources.tables import read_table
 
@@ -66,8 +68,13 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(read_table(spark, folder, "documents"))
 
 
+def op13_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return contextmix.score_documents(docs, contextmix.fit(docs))
+
+
 QUERIES = {"pipeline": corpus_pipeline.run} | {query.__name__: query for query in (
     op1_token_counts, op2_language_id, op3_token_files, op4_quality_rules, op5_url_filters, op6_byte_bpe,
     op7_source_mix, op8_simhash, op9_chat_format, op10_embedding_groups, op11_conversation_repair,
-    op12_collocations)}
+    op12_collocations, op13_lm_scores)}
 ORACLE = {"op5_url_filters": urlrules.sql(), "op7_source_mix": mixing.SQL, "op12_collocations": collocations.SQL}
