@@ -73,10 +73,12 @@ def test_texts_are_not_shuffled_by_keyword_search(spark):
     documents = spark.read.parquet(f"{FOLDER}/documents.parquet")
     queries = spark.createDataFrame([(1, "castle -tower"), (2, '"old town"')], "query_id long, q string")
     hits = textsearch.word_hits(documents, textsearch.search_terms(queries), "doc_id", "text", few=True)
-    plan = hits._jdf.queryExecution().executedPlan().toString()
+    scored = textsearch.rank(hits, "doc_id", together=True)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
     generate = plan.index("Generate posexplode(concat(")
     assert "Exchange" not in plan[generate:].split("FileScan")[0]
-    assert "HashAggregate" in plan[:generate] and plan.count("FileScan") == 1
+    assert not re.search(r"(?<!Broadcast)Exchange ", plan[:generate].split("BroadcastHashJoin")[0])
+    assert "MapInArrow" in plan[:generate] and plan.count("FileScan") == 1
 
 
 @pytest.mark.parametrize("name,key", [("semantic_topk", "label"), ("semantic_topk_batch", "destination_name")])

@@ -88,5 +88,5 @@ def test_model_function(spark):
     got = vectors.embed(frame, "text", ["id"], encode=lambda texts: np.array([[len(t), 0.0] for t in texts]), dim=2)
     assert {r["id"]: list(r["embedding"]) for r in got.collect()} == {1: [1.0, 0.0], 2: [1.0, 0.0]}
     wrong = vectors.embed(frame, "text", ["id"], encode=lambda texts: np.zeros((len(texts), 3)), dim=2)
-    with pytest.raises(Exception, match="2-dimensional"):
+    with pytest.raises(Exception, match="vectors need 2 dimensions"):
         wrong.collect()

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tripweave.functions.stemming import probe, with_stem
 from tripweave.functions.text import contains_pattern, grams, is_stop_word, probe_gram, tokens
+from tripweave.operators.covers import score_hits
 from tripweave.operators.keyed import is_small, settle, top_per_key
 
 RESULTS = 6
-COVER_WEIGHT = 0.1
 RANK_DECIMALS = 6
 QUERY_BYTES = 4_000_000
 PIECE_PATTERN = r'-?"[^"]*"?|[^\s"]+'
@@ -97,98 +97,37 @@ def with_forms(terms: DataFrame, documents: DataFrame, text: str, few: bool) ->
 
 
 def word_hits(documents: DataFrame, terms: DataFrame, doc_id: str, text: str, few: bool,
-              query_id: str = "query_id") -> DataFrame:
+              query_id: str = "query_id", name: str | None = None) -> DataFrame:
     """Places of the queries' words in the whole texts, read in one pass.
 
-    The texts are split where they lie, and with a broadcast term list only the hits go on.
-    In a simple query every place of a word is a cover of its own and only their number
-    counts, so its hits are added up in each task and leave it as one row per document and
-    word, without a place.
+    The texts are split where they lie, and with a broadcast term list a document's hits stay
+    there, next to each other. The place behind the last word stands for the empty word; a term
+    for it without a query gives one row per document, with its name.
     """
     words = F.concat(tokens(F.coalesce(text, F.lit(""))), F.array(F.lit(ANY_DOCUMENT)))
-    posted = documents.select(doc_id, F.posexplode(words).alias("_pos", "term"))
+    called = F.col(name) if name else F.lit(None).cast("string")
+    posted = documents.select(doc_id, called.alias("name"), F.posexplode(words).alias("pos", "term"))
     hits = posted.join(F.broadcast(terms) if few else terms, "term")
-    place = F.when(~F.col("simple"), F.col("_pos")).alias("pos")
-    first_use = F.col("counted") | ~F.col("simple")
-    ranked = (~F.col("minus") & (F.col("term") != ANY_DOCUMENT) & first_use).alias("ranked")
-    return hits.groupBy(
-        query_id, doc_id, "grp", "item", "minus", "off", "words", "needed", "simple", ranked, place
-    ).agg(F.count("*").alias("times"))
+    return with_rank_flag(hits.withColumn("name", F.when(F.col("term") == ANY_DOCUMENT, F.col("name"))))
 
 
-def count_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
-    """Match flag and relevance for the hits of simple queries."""
-    groups = hits.groupBy(query_id, doc_id, "grp").agg(
-        F.sum(F.when(F.col("ranked"), F.col("times")).otherwise(0)).alias("_covers"),
-        F.count_if(~F.col("minus")).alias("_plain"), F.count_if("minus").alias("_minus"))
-    return groups.filter("_plain > 0").groupBy(query_id, doc_id).agg(
-        F.round(F.sum("_covers") * COVER_WEIGHT, RANK_DECIMALS).alias("relevance"),
-        F.max(F.col("_minus") == 0).alias("matched"))
+def with_rank_flag(hits: DataFrame) -> DataFrame:
+    """`ranked` tells the hits that count for the relevance: plain words, each once per query."""
+    first_use = F.col("counted") | ~F.col("simple")
+    return hits.withColumn("ranked", F.coalesce(~F.col("minus") & (F.col("term") != ANY_DOCUMENT) & first_use, F.lit(False)))
 
 
-def cover_rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
-    """Match flag and relevance per (query, document) for the hits of all other queries, for
-    documents that have all plain items of some group. Minus items decide the match but not
-    the relevance.
+def rank(hits: DataFrame, doc_id: str, query_id: str = "query_id", together: bool = False) -> DataFrame:
+    """Match flag and relevance per (query, document)."""
+    return score_hits(hits, doc_id, query_id, together).withColumn("relevance", F.round("relevance", RANK_DECIMALS))
 
-    All steps are keyed by query and document or finer, so one shuffle of the hits serves
-    them all, and no group is larger than one document.
-    """
-    pair = [query_id, doc_id]
-    group = [*pair, "grp"]
-    numbered = hits.repartition(query_id, doc_id).withColumn(
-        "nth", F.dense_rank().over(Window.partitionBy(*pair, "ranked").orderBy("pos")))
-
-    # A phrase occurs where all of its words stand at their distance from one start. Places
-    # and their numbers grow together, so each is reduced on its own.
-    occurrences = numbered.groupBy(
-        *group, "item", "minus", "words", "needed", "ranked", (F.col("pos") - F.col("off")).alias("_from")
-    ).agg(
-        F.count("*").alias("_seen"),
-        F.min("pos").alias("first"), F.min("nth").alias("first_nth"),
-        F.max("pos").alias("last"), F.max("nth").alias("last_nth"),
-    ).filter("_seen = words")
-
-    whole = Window.partitionBy(*group)
-    complete = occurrences.withColumn(
-        "_no", F.dense_rank().over(Window.partitionBy(*group).orderBy("minus", "item"))
-    ).withColumns({
-        "_held": F.max(F.when(~F.col("minus"), F.col("_no"))).over(whole),
-        "matched": ~F.max("minus").over(whole),
-    }).filter(~F.col("minus") & (F.col("_held") == F.col("needed")))
-
-    # For each end, the latest start of every item up to it; the earliest of those opens
-    # the shortest interval with all items that ends there.
-    wanted = complete.withColumn("_want", F.explode(F.sequence(F.lit(1), F.col("needed"))))
-    until = Window.partitionBy(*group, "_want").orderBy("last")
-    own = F.col("_want") == F.col("_no")
-    opened = wanted.withColumns({
-        "_open": F.max(F.when(own, F.col("first"))).over(until),
-        "_open_nth": F.max(F.when(own, F.col("first_nth"))).over(until)})
-    closing = opened.groupBy(*group, "last", "last_nth", "ranked", "matched").agg(
-        F.min("_open").alias("first"), F.min("_open_nth").alias("first_nth"),
-        F.count_if(F.col("_open").isNull()).alias("_missing"),
-    ).filter("_missing = 0")
-
-    # Minimal covers: the nearest end of each start, without another cover inside.
-    covers = closing.groupBy(*pair, "first", "first_nth").agg(
-        F.min("last").alias("last"), F.min("last_nth").alias("last_nth"),
-        F.max("matched").alias("matched"), F.max("ranked").alias("ranked"))
-    later = Window.partitionBy(*pair).orderBy(F.col("first").desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.min("last").over(later) <= F.col("last"), F.lit(False))
-    noise = (F.col("last") - F.col("first")) - (F.col("last_nth") - F.col("first_nth"))
-    score = F.when(F.col("ranked") & ~F.col("_inner"), COVER_WEIGHT / (1 + noise)).otherwise(0.0)
-    return covers.withColumn("_inner", inner).groupBy(*pair).agg(
-        F.round(F.sum(score), RANK_DECIMALS).alias("relevance"), F.max("matched").alias("matched"))
-
-
-def rank(hits: DataFrame, doc_id: str, query_id: str = "query_id") -> DataFrame:
-    """Match flag and relevance per (query, document). The hits are settled, so that the
-    texts are read once for both kinds of query."""
-    stored = settle(hits)
-    return count_rank(stored.filter("simple"), doc_id, query_id).unionByName(
-        cover_rank(stored.filter("not simple"), doc_id, query_id))
+
+def _marker(terms: DataFrame, query_id: str) -> DataFrame:
+    """The term that gives every document one row, in the layout of search terms."""
+    values = {"term": F.lit(ANY_DOCUMENT), "simple": F.lit(False), "minus": F.lit(False), "counted": F.lit(False)}
+    one = terms.sparkSession.range(1)
+    return one.select(*[(F.lit(None) if f.name == query_id else values.get(f.name, F.lit(0))).cast(f.dataType).alias(f.name)
+                        for f in terms.schema.fields])
 
 
 def substring_matches(activities: DataFrame, queries: DataFrame, doc_id: str, columns: list[str],
@@ -219,17 +158,43 @@ def keyword_search(activities: DataFrame, documents: DataFrame, queries: DataFra
     if stemmed:
         terms = settle(with_forms(terms, documents, text, is_small(terms, QUERY_BYTES)))
     few_terms = is_small(terms)
-    hits = word_hits(documents, terms, doc_id, text, few_terms, query_id)
-    ranked = rank(hits, doc_id, query_id)
-    named = substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
-        documents.select(doc_id), doc_id, "left_semi").withColumn("_named", F.lit(True))
-    found = ranked.join(named, [query_id, doc_id], "full").filter(
-        F.coalesce("matched", F.lit(False)) | F.coalesce("_named", F.lit(False))
-    ).select(query_id, doc_id, F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
-    top = top_per_key(
-        found.join(activities.select(doc_id, name), doc_id), [query_id],
-        [F.col("relevance").desc(), F.col(name).asc(), F.col(doc_id).asc()], results, "rank").drop(name).join(
-        activities, doc_id)
-    vectors = documents.select(doc_id, F.col("embedding").isNotNull().alias("embedded"))
+    names = activities.select(doc_id, name)
+    texts = documents.select(doc_id, text).join(F.broadcast(names) if is_small(names) else names, doc_id)
+    plain, anywhere = split_anywhere(terms, query_id, few_terms)
+    hits = word_hits(texts, plain, doc_id, text, few_terms, query_id, name)
+    return best_documents(hits, few_terms, anywhere, activities, documents, asked, few, doc_id, name, category,
+                           query_id, query, results)
+
+
+def split_anywhere(terms: DataFrame, query_id: str, few: bool) -> tuple[DataFrame, dict]:
+    """Terms with a marker for every document. Few groups of minus items alone are taken out and
+    listed, as every document would be a hit of each."""
+    if not few:
+        return terms.unionByName(_marker(terms, query_id)), {}
+    anywhere: dict = {}
+    for query, grp in terms.filter(F.col("term") == ANY_DOCUMENT).select(query_id, "grp").distinct().collect():
+        anywhere.setdefault(query, set()).add(grp)
+    return terms.filter(F.col("term") != ANY_DOCUMENT).unionByName(_marker(terms, query_id)), anywhere
+
+
+def best_documents(hits: DataFrame, together: bool, anywhere: dict, activities: DataFrame, documents: DataFrame,
+                    asked: DataFrame, few: bool, doc_id: str, name: str, category: str, query_id: str, query: str,
+                    results: int) -> DataFrame:
+    """The best activities of every query from the hits in their documents and in their names."""
+    pair = [query_id, doc_id]
+    named = settle(substring_matches(activities, asked, doc_id, [name, category], few, query_id, query).join(
+        documents.select(doc_id), doc_id, "left_semi"))
+    queries_with_names = {row[0] for row in named.select(query_id).distinct().collect()} if few else set()
+    scored = settle(score_hits(hits, doc_id, query_id, together, anywhere, results if few else None, queries_with_names))
+    relevance = F.round("relevance", RANK_DECIMALS).alias("relevance")
+    called = named.join(activities.select(doc_id, F.col(name).alias("name")), doc_id).join(
+        scored.select(*pair, "relevance"), pair, "left").select(
+        *pair, "name", F.coalesce("relevance", F.lit(0.0)).alias("relevance"))
+    found = scored.filter("matched").select(*pair, "name", "relevance").unionByName(called).groupBy(*pair).agg(
+        F.max("name").alias("name"), F.max("relevance").alias("relevance")).withColumn("relevance", relevance)
+    top = top_per_key(found, [query_id], [F.col("relevance").desc(), F.col("name").asc(), F.col(doc_id).asc()],
+                      results, "rank").drop("name")
     top = settle(top)
-    return (F.broadcast(top) if is_small(top) else top).join(vectors, doc_id)
+    top = F.broadcast(top) if is_small(top) else top
+    vectors = documents.select(doc_id, F.col("embedding").isNotNull().alias("embedded"))
+    return top.join(activities, doc_id).join(vectors, doc_id)

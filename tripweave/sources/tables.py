@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_, or_
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from tripweave.operators.keyed import settle
+from tripweave.session import ensure_checkpoint_dir
 
 FEW_PARTITIONS = 1000
 
@@ -23,6 +25,18 @@ def typed_rows(spark: SparkSession, rows: list, schema: StructType) -> DataFrame
     return spark.createDataFrame(rows, schema)
 
 
+def with_defaults(rows: DataFrame, defaults: dict) -> DataFrame:
+    """Rows with the declared defaults in place of missing columns and missing values."""
+    return rows.withColumns({
+        name: F.coalesce(F.col(name), F.lit(value)) if name in rows.columns else F.lit(value)
+        for name, value in defaults.items()})
+
+
+def new_path(spark: SparkSession, kind: str) -> str:
+    """A folder that no table uses yet, below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def create_if_absent(spark: SparkSession, path: str, schema: StructType,
                      partition_by: tuple[str, ...] = ()) -> DataFrame:
     """The table at the path; an empty typed one is written first when there is none."""
