@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tripweave.functions.stemming import stems_sql
 from tripweave.functions.text import STOP_WORDS, is_stop_word, tokens
-from tripweave.operators import textsearch, vectors
+from tripweave.operators import postings, textsearch, vectors
 from tripweave.plans.mapping import Tables
 from tripweave.schemas import EMBEDDING_DIM
+from tripweave.sources.tables import new_path
 
 VECTOR_DIM = 64
 LANGUAGES = ("de", "en", "es", "fr")
@@ -92,13 +93,18 @@ def _keyword_queries(t: Tables) -> DataFrame:
     return asked.unionByName(asked.select((-F.col("query_id") - 1).alias("query_id"), F.lit(" \t").alias("q")))
 
 
-def _text_search(t: Tables, stemmed: bool) -> DataFrame:
-    documents = t.raw("documents").select(
+SEARCH_COLUMNS = ("query_id", "rank", "activity_id", "name", "category", "indoor", "embedded", "relevance")
+
+
+def _searched_documents(t: Tables) -> DataFrame:
+    return t.raw("documents").select(
         F.col("doc_id").alias("activity_id"), F.col("text").alias("document_text"),
         F.when(F.col("lang") == "en", F.col("n_chars")).alias("embedding"))
-    found = textsearch.keyword_search(t.activities(), documents, _keyword_queries(t), stemmed=stemmed)
-    return found.select(
-        "query_id", "rank", "activity_id", "name", "category", "indoor", "embedded", "relevance")
+
+
+def _text_search(t: Tables, stemmed: bool) -> DataFrame:
+    found = textsearch.keyword_search(t.activities(), _searched_documents(t), _keyword_queries(t), stemmed=stemmed)
+    return found.select(*SEARCH_COLUMNS)
 
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,9 +117,21 @@ def text_search_stemmed(spark: SparkSession, folder: str) -> DataFrame:
     return _text_search(Tables(spark, folder), stemmed=True)
 
 
+def text_search_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The stemmed search from stored postings: all documents are indexed, those with an id
+    divisible by seven under a text that is replaced in a second generation."""
+    t = Tables(spark, folder)
+    documents, path = _searched_documents(t), new_path(spark, "index")
+    late = F.col("activity_id") % 7 == 0
+    postings.add_documents(documents.withColumn("document_text", F.when(late, F.reverse("document_text")).otherwise(
+        F.col("document_text"))), path)
+    postings.add_documents(documents.filter(late), path)
+    return postings.search(spark, path, t.activities(), _keyword_queries(t)).select(*SEARCH_COLUMNS)
+
+
 QUERIES = {f.__name__: f for f in (
     embed_documents, semantic_topk, semantic_topk_batch, semantic_ann, ann_recall, text_search,
-    text_search_stemmed)}
+    text_search_stemmed, text_search_indexed)}
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -301,4 +319,5 @@ ORACLE = {
         GROUP BY e.query_id""",
     "text_search": _text_search_sql(False),
     "text_search_stemmed": _text_search_sql(True),
+    "text_search_indexed": _text_search_sql(True),
 }
