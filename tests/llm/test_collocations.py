@@ -55,8 +55,7 @@ def test_rows_are_those_of_brute_force(spark, documents, rows, monkeypatch, chun
     monkeypatch.setattr(collocations, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(collocations, "TEXT_BYTES", 100)
     if not small:
-        monkeypatch.setattr(collocations, "BROADCAST_BYTES", -1)
-        monkeypatch.setattr(collocations, "is_small", lambda rows: False)
+        monkeypatch.setattr(collocations, "is_small", lambda rows, most=0: False)
     data = texts(chunk, 150)
     docs = documents([t for t, _ in data], lang=[l for _, l in data]).repartition(3)
     found = collocations.collocations(docs, least=5, most_words=5, most_rows=40)

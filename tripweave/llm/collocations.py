@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tripweave.llm.common import bound_batches, slices, written
-from tripweave.operators.keyed import BROADCAST_BYTES, is_small, top_per_key
+from tripweave.operators.keyed import is_small, top_per_key
 
 LEAST_COUNT = 100
 MOST_WORDS = 5
@@ -34,8 +34,10 @@ MOST_ROWS = 2000
 COVERED = 100
 SCALE = 1000
 NO_LANGUAGE = "und"
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 TEXT_BYTES = 4 * 1024 * 1024
+#: Frequent phrases that are broadcast, with their keys; in a task they take a few times as much.
+KNOWN_BYTES = 16 * 1024 * 1024
 # Numbers of phrases: that of a chunk, then that of the phrase in it.
 PHRASE_BITS, CHUNK_BITS = 24, 18
 #: Ends of pieces become a byte that no text holds.
@@ -46,11 +48,11 @@ BREAKS = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
 WORDS = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("n", T.LongType()),
     T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType())),
-    T.StructField("places", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
+    T.StructField("size", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
 LONGER = T.StructType([
     T.StructField("chunk", T.LongType()), T.StructField("left", T.ArrayType(T.LongType())),
     T.StructField("right", T.ArrayType(T.LongType())), T.StructField("counts", T.ArrayType(T.LongType())),
-    T.StructField("places", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
+    T.StructField("size", T.IntegerType()), T.StructField("places", T.BinaryType()), T.StructField("phrases", T.BinaryType())])
 
 
 class Numbers(dict):
@@ -94,7 +96,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 words = [word.decode() for word in numbers if word != BREAK]
                 yield pa.RecordBatch.from_pylist([{
                     "lang": lang, "chunk": first + number, "n": int(counts.sum()), "words": words,
-                    "counts": counts.tolist(), "places": None, "phrases": at.tobytes()}], arrow)
+                    "counts": counts.tolist(), "size": len(words), "places": None, "phrases": at.tobytes()}], arrow)
                 number += 1
             held.clear()
             size = 0
@@ -121,30 +123,96 @@ def joined(places: np.ndarray, phrases: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places[adjacent], phrases[adjacent], phrases[adjacent + 1]
 
 
-def longer(relation: DataFrame) -> DataFrame:
-    """The relation of phrases one word longer than those of a relation whose rows hold, in `alive`,
-    which of their phrases are frequent and under what number."""
-    rows = relation.select("chunk", "places", "phrases", F.size("counts").alias("n"), "alive.at", "alive.id")
-    arrow = to_arrow_schema(LONGER)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _extended(chunk: int, places: np.ndarray, phrases: np.ndarray, number: np.ndarray) -> pa.RecordBatch | None:
+    """A chunk of the next relation. `number` holds the number of each frequent phrase of this one, -1 for
+    the others and, at its end, for no phrase."""
+    kept = number[phrases] >= 0
+    place, left, right = joined(places[kept], phrases[kept])
+    if not len(place):
+        return None
+    pairs, which, counts = np.unique(left.astype(np.int64) * len(number) + right, return_inverse=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([
+        pa.array([chunk], pa.int64()), pa.array([number[pairs // len(number)]], pa.list_(pa.int64())),
+        pa.array([number[pairs % len(number)]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
+        pa.array([len(pairs)], pa.int32()), pa.array([place.tobytes()]), pa.array([which.astype(np.int32).tobytes()])],
+        schema=to_arrow_schema(LONGER))
+
+
+class Known:
+    """The numbers of frequent phrases, by language and word or by the numbers of their two parts."""
+
+    def __init__(self, frequent: list, keys: list[str]):
+        ids = np.array([row.id for row in frequent], np.int64)
+        self.words: dict[str, dict[str, int]] = {}
+        if keys == ["lang", "word"]:
+            for row in frequent:
+                self.words.setdefault(row.lang, {})[row.word] = row.id
+            return
+        left, right = (np.array([row[key] for row in frequent], np.int64) for key in keys)
+        self.parts = np.unique(np.concatenate([left, right]))
+        pairs = np.searchsorted(self.parts, left) * len(self.parts) + np.searchsorted(self.parts, right)
+        order = np.argsort(pairs)
+        self.pairs, self.ids = pairs[order], ids[order]
+
+    def of_words(self, lang: str, words: list[str]) -> np.ndarray:
+        known = self.words.get(lang, {})
+        return np.fromiter((known.get(word, -1) for word in words), np.int64, len(words))
+
+    def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = np.full(len(left), -1, np.int64)
+        if len(self.pairs):
+            a, b = (np.minimum(np.searchsorted(self.parts, x), len(self.parts) - 1) for x in (left, right))
+            pairs = a * len(self.parts) + b
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            same = (self.parts[a] == left) & (self.parts[b] == right) & (self.pairs[at] == pairs)
+            found[same] = self.ids[at[same]]
+        return found
+
+
+def _arrays(places: pa.Scalar, phrases: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    phrases = np.frombuffer(phrases.as_buffer(), np.int32)
+    return (np.frombuffer(places.as_buffer(), np.int32) if places.is_valid else np.arange(len(phrases), dtype=np.int32)), phrases
+
+
+def longer(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
+    """The relation of phrases one word longer than those of a relation, after its semi-join with the
+    frequent ones.
+
+    Few frequent phrases are broadcast and found in every chunk. Beyond that they meet the distinct
+    phrases of the chunks in a join, and what each chunk keeps goes back to it in another.
+    """
+    known = frequent.select(*keys, "id")
+    if is_small(known, KNOWN_BYTES):
+        shared = frequent.sparkSession.sparkContext.broadcast(Known(known.collect(), keys))
+        first, second = ("lang", "words") if keys == ["lang", "word"] else ("left", "right")
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    chunk, a, b, places, phrases = (batch.column(i)[row] for i in range(5))
+                    number = (shared.value.of_words(a.as_py(), b.as_py()) if first == "lang"
+                              else shared.value.of_pairs(a.values.to_numpy(), b.values.to_numpy()))
+                    made = _extended(chunk.as_py(), *_arrays(places, phrases), np.append(number, -1))
+                    if made:
+                        yield made
+
+        return relation.select("chunk", first, second, "places", "phrases").mapInArrow(look_up, LONGER)
+
+    found = rows.select("chunk", "at", *keys).join(known, keys)
+    alive = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("alive"))
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                chunk, places, phrases, n, at, ids = (batch.column(i)[row] for i in range(6))
-                number = np.full(n.as_py() + 1, -1, np.int64)  # the last one stands for no phrase
+                chunk, places, phrases, size, at, ids = (batch.column(i)[row] for i in range(6))
+                number = np.full(size.as_py() + 1, -1, np.int64)
                 number[at.values.to_numpy()] = ids.values.to_numpy()
-                phrases = np.frombuffer(phrases.as_buffer(), np.int32)
-                places = np.arange(len(phrases), dtype=np.int32) if not places.is_valid else np.frombuffer(places.as_buffer(), np.int32)
-                kept = number[phrases] >= 0
-                place, left, right = joined(places[kept], phrases[kept])
-                if len(place):
-                    pairs, which, counts = np.unique(left.astype(np.int64) * len(number) + right, return_inverse=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([chunk.as_py()], pa.int64()), pa.array([number[pairs // len(number)]], pa.list_(pa.int64())),
-                        pa.array([number[pairs % len(number)]], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
-                        pa.array([place.tobytes()]), pa.array([which.astype(np.int32).tobytes()])], schema=arrow)
+                made = _extended(chunk.as_py(), *_arrays(places, phrases), number)
+                if made:
+                    yield made
 
-    return rows.mapInArrow(run, LONGER)
+    joint = relation.select("chunk", "places", "phrases", "size").join(alive, "chunk")
+    return joint.select("chunk", "places", "phrases", "size", "alive.at", "alive.id").mapInArrow(extend, LONGER)
 
 
 def _grouped(relation: DataFrame, keys: list[str], arrays: dict[str, str], least: int) -> tuple[DataFrame, DataFrame]:
@@ -160,15 +228,6 @@ def _grouped(relation: DataFrame, keys: list[str], arrays: dict[str, str], least
     return rows, written(frequent, "frequent")
 
 
-def _alive(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """The relation with the numbers of its frequent phrases; chunks without any are left out."""
-    known = frequent.select(*keys, "id")
-    found = rows.select("chunk", "at", *keys).join(F.broadcast(known) if is_small(known) else known, keys)
-    alive = written(found.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("alive")), "alive")
-    size = alive.agg(F.sum(F.size("alive"))).first()[0] or 0
-    return relation.join(F.broadcast(alive) if 16 * size <= BROADCAST_BYTES else alive, "chunk")
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """lang, n: all words of each language; and lang, phrase, size, a: every phrase of up to
     `most_words` words that occurs `least` times or more, with its number of occurrences."""
@@ -181,7 +240,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
     for size in range(2, most_words + 1):
         if frequent.isEmpty():
             break
-        relation = written(longer(_alive(relation, rows, frequent, keys)), "phrases")
+        relation = written(longer(relation, rows, frequent, keys), "phrases")
         keys = ["left", "right"]
         rows, frequent = _grouped(relation, keys, {key: key for key in keys}, least)
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"))
