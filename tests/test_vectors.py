@@ -62,14 +62,51 @@ def test_semantic_search_respects_letter_case_and_rounds(spark, rows):
         (1, "a", 1.0), (2, "b", 0.7071)]
 
 
-def test_approximate_search(spark, rows, sample):
+def test_approximate_search(spark, rows, sample, tmp_path):
     docs, queries = sample
     d, q = spark.createDataFrame(docs, DOCS), spark.createDataFrame(queries, QUERIES)
     exact = vectors.cosine_top_k(d, q, ["place"])
-    assert rows(vectors.approximate_top_k(d, q, ["place"], 16, bits=4, radius=4)) == rows(exact)
-    near = vectors.approximate_top_k(d, q, ["place"], 16, bits=4, radius=2)
+    middle = vectors.train_cells(d, "doc_id", "embedding", cells=8)
+    assert middle.shape == (8, 16)
+    vectors.write_by_cell(d, str(tmp_path / "cells"), "embedding", middle)
+    celled = spark.read.parquet(str(tmp_path / "cells"))
+    assert celled.count() == 2 * sum(row[2] is not None for row in docs)
+    assert rows(vectors.approximate_top_k(celled, q, ["place"], middle, 8)) == rows(exact)
+    probes = vectors.tuned_probes(d, q, ["place"], middle, "doc_id")
+    near = vectors.approximate_top_k(celled, q, ["place"], middle, probes)
     total = vectors.recall(exact, near).agg(F.sum("found"), F.sum("expected")).first()
-    assert 0.6 < total[0] / total[1] <= 1
+    assert 0.9 <= total[0] / total[1] <= 1
+    read = {r.query_id: (r.rows_read, r.rows_all) for r in vectors.rows_read(celled, q, ["place"], middle, probes).collect()}
+    assert len(read) == len(queries) and all(0 < a <= b for a, b in read.values())
+
+
+def test_cells_are_those_of_plain_rounds(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)]
+    got = vectors.train_cells(spark.createDataFrame(data, "id long, v array<double>"), "id", "v", cells=5, rounds=3)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in data]
+    middle = [np.round(u, 6) for u in unit[:5]]
+    for _ in range(3):
+        own = [int(np.argmax([round(float(u @ m), 9) for m in middle])) for u in unit]
+        for cell in range(5):
+            members = [u for u, o in zip(unit, own) if o == cell]
+            if members:
+                mean = np.mean(members, axis=0)
+                middle[cell] = np.round(mean / np.linalg.norm(mean), 6)
+    np.testing.assert_allclose(got, middle, atol=1e-6)
+    empty = spark.createDataFrame([], "id long, v array<double>")
+    assert vectors.train_cells(empty, "id", "v").size == 0
+
+
+def test_only_probed_cells_are_listed(spark, tmp_path, sample):
+    docs, queries = sample
+    d, q = spark.createDataFrame(docs, DOCS), spark.createDataFrame(queries[:1], QUERIES)
+    middle = vectors.train_cells(d, "doc_id", "embedding", cells=8)
+    vectors.write_by_cell(d, str(tmp_path / "cells"), "embedding", middle)
+    part = vectors.read_cells(spark.read.parquet(str(tmp_path / "cells")), vectors.probed(q, middle, 2))
+    assert "PartitionFilters: [cell#" in part._jdf.queryExecution().executedPlan().toString()
+    assert {r.cell for r in part.select("cell").distinct().collect()} == {
+        r.cell for r in vectors.probed(q, middle, 2).collect()}
 
 
 def test_hashed_embedding(spark):

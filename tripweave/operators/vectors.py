@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -19,6 +17,11 @@ DEFAULT_LIMIT = 5
 MAX_LIMIT = 10
 QUERY_BLOCK = 1024
 TIE_DECIMALS = 9
+CELLS, COPIES, ROUNDS, CELL_DECIMALS = 16, 2, 4, 6
+#: Vectors that cells are learned from; every vector is then put into cells.
+SAMPLE_ROWS = 4096
+CELL_FILES = 8
+LEAST_RECALL = 0.9
 
 
 # --- embedding ---------------------------------------------------------------------
@@ -125,14 +128,15 @@ def _score_blocks(pairs: DataFrame, doc_id: str, query_id: str, k: int) -> DataF
 
 def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_id: str = "doc_id",
                  query_id: str = "query_id", doc_vector: str = "embedding",
-                 query_vector: str = "embedding", limit: str | None = None) -> DataFrame:
+                 query_vector: str = "embedding", limit: str | None = None, once: bool = False) -> DataFrame:
     """The nearest documents of every query among those with the same keys.
 
     Documents are packed into blocks where they lie; query blocks are broadcast when their
     size allows it, else both sides are shuffled by key. Only the best rows of each block
     pair go on, and again only the best per task are shuffled to the final rank. Scores
     that agree to nine decimals count as equal and are ordered by id. `limit` names a
-    column of the queries, clamped to 1..10; without it, five documents are given.
+    column of the queries, clamped to 1..10; without it, five documents are given. With `once` a
+    document that lies under several keys counts once per query.
     """
     present = documents.filter(F.col(doc_vector).isNotNull())
     doc_blocks = _pack(present, keys, doc_id, doc_vector, "d")
@@ -141,6 +145,8 @@ def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_
     if is_small(query_blocks):
         query_blocks = F.broadcast(query_blocks)
     candidates = _score_blocks(doc_blocks.join(query_blocks, keys), doc_id, query_id, MAX_LIMIT)
+    if once:
+        candidates = candidates.distinct()
     ranked = top_per_key(
         candidates, [query_id], [F.col("_score").desc(), F.col(doc_id).asc()], MAX_LIMIT, "rank")
     if limit is None:
@@ -172,42 +178,92 @@ def semantic_search(documents: DataFrame, activities: DataFrame, queries: DataFr
 
 # --- approximate search ------------------------------------------------------------
 
-def hyperplanes(bits: int, dim: int) -> np.ndarray:
-    """Random ±1 directions, the sign from the parity of an MD5 digest of bit and position."""
-    sign = [[1.0 if hashlib.md5(f"{b}:{i}".encode()).digest()[3] % 2 == 0 else -1.0
-             for i in range(dim)] for b in range(bits)]
-    return np.array(sign)
+def train_cells(rows: DataFrame, row_id: str, vector: str, cells: int = CELLS, sample_rows: int = SAMPLE_ROWS,
+                rounds: int = ROUNDS) -> np.ndarray:
+    """Directions of the cells: spherical k-means on at most `sample_rows` vectors, those whose ids
+    have the lowest digests.
 
-
-def with_cell(rows: DataFrame, vector: str, bits: int, dim: int, cell: str = "cell") -> DataFrame:
-    """Cell of each vector: one bit per hyperplane, set when the vector is on its positive side.
-    A table written by cell lets a search read only the cells it asks for."""
-    planes = hyperplanes(bits, dim)
-    weights = 1 << np.arange(bits)
-
-    @F.pandas_udf("int")
-    def cell_of(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors.to_numpy()).astype(np.float64)
-        return pd.Series(((matrix @ planes.T) > 0) @ weights)
-
-    return rows.filter(F.col(vector).isNotNull()).withColumn(cell, cell_of(vector))
-
-
-def probed_cells(rows: DataFrame, cell: str, bits: int, radius: int) -> DataFrame:
-    """Each row once per cell that differs from its own in at most `radius` bits."""
-    masks = [sum(1 << b for b in flips) for r in range(radius + 1) for flips in combinations(range(bits), r)]
-    return rows.withColumn("_mask", F.explode(F.array(*[F.lit(m) for m in masks]))).withColumn(
-        cell, F.col(cell).bitwiseXOR(F.col("_mask"))).drop("_mask")
-
-
-def approximate_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], dim: int,
-                      bits: int = 6, radius: int = 2, doc_id: str = "doc_id",
-                      query_id: str = "query_id", limit: str | None = None) -> DataFrame:
-    """Cosine search in nearby cells only. Documents stay single rows; the few query rows
-    are repeated per probed cell. A query may get fewer rows than the exact search gives."""
-    cells = with_cell(documents, "embedding", bits, dim)
-    probes = probed_cells(with_cell(queries, "embedding", bits, dim), "cell", bits, radius)
-    return cosine_top_k(cells, probes, [*keys, "cell"], doc_id, query_id, limit=limit)
+    Cells begin as the first vectors by id; a vector goes to the cell of the highest cosine (ties:
+    the lower number), and a cell without vectors stays. Directions have `CELL_DECIMALS` decimals, so
+    a sum in another order gives the same cells.
+    """
+    present = rows.filter(F.col(vector).isNotNull()).select(F.col(row_id).alias("id"), F.col(vector).alias("v"))
+    some = present.orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample_rows).collect()  # bounded
+    some = sorted((row for row in some if any(row.v)), key=lambda row: row.id)
+    if not some:
+        return np.zeros((0, 0))
+    unit = _unit_rows(np.array([row.v for row in some], np.float64))
+    middle = np.round(unit[:cells], CELL_DECIMALS)
+    for _ in range(rounds):
+        own = nearest_cells(unit, middle, 1)[:, 0]
+        for cell in range(len(middle)):
+            if (own == cell).any():
+                middle[cell] = np.round(_unit_rows(unit[own == cell].mean(0, keepdims=True))[0], CELL_DECIMALS)
+    return middle
+
+
+def nearest_cells(unit: np.ndarray, middle: np.ndarray, n: int) -> np.ndarray:
+    """The n cells of the highest cosine of each row, best first."""
+    return np.argsort(-np.round(unit @ middle.T, TIE_DECIMALS), axis=1, kind="stable")[:, :n]
+
+
+def with_cells(rows: DataFrame, vector: str, middle: np.ndarray, n: int, cell: str = "cell") -> DataFrame:
+    """Each row once per cell among its n nearest. Null vectors are left out."""
+    @F.pandas_udf("array<int>")
+    def cells_of(vectors: pd.Series) -> pd.Series:
+        unit = _unit_rows(np.stack(vectors.to_numpy()).astype(np.float64))
+        return pd.Series(list(nearest_cells(unit, middle, n).astype(np.int32)))
+
+    return rows.filter(F.col(vector).isNotNull()).withColumn(cell, F.explode(cells_of(vector)))
+
+
+def write_by_cell(documents: DataFrame, path: str, vector: str, middle: np.ndarray, copies: int = COPIES) -> None:
+    """A table of the documents in folders by cell, each document in its `copies` nearest ones. A
+    large cell is dealt to several tasks."""
+    spread = F.pmod(F.xxhash64(*documents.columns), F.lit(CELL_FILES))
+    with_cells(documents, vector, middle, copies).repartition("cell", spread).write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def tuned_probes(sample: DataFrame, queries: DataFrame, keys: list[str], middle: np.ndarray, doc_id: str,
+                 query_id: str = "query_id", least: float = LEAST_RECALL, copies: int = COPIES) -> int:
+    """The fewest probed cells with which the queries find at least that share of what the exact search finds."""
+    exact = settle(cosine_top_k(sample, queries, keys, doc_id, query_id))
+    celled = settle(with_cells(sample, "embedding", middle, copies))
+    for probes in range(1, len(middle)):
+        found = recall(exact, approximate_top_k(celled, queries, keys, middle, probes, doc_id, query_id), doc_id, query_id)
+        hits, wanted = found.agg(F.sum("found"), F.sum("expected")).first()
+        if not wanted or hits >= least * wanted:
+            return probes
+    return len(middle)
+
+
+def probed(queries: DataFrame, middle: np.ndarray, probes: int) -> DataFrame:
+    """Queries with a vector, once per cell to be searched."""
+    return with_cells(queries, "embedding", middle, probes)
+
+
+def read_cells(celled: DataFrame, asked: DataFrame) -> DataFrame:
+    """The part of a table in folders by cell that queries ask for; other folders are not listed."""
+    cells = [row.cell for row in asked.select("cell").distinct().collect()]  # no more than there are cells
+    return celled.filter(F.col("cell").isin(cells))
+
+
+def approximate_top_k(celled: DataFrame, queries: DataFrame, keys: list[str], middle: np.ndarray, probes: int,
+                      doc_id: str = "doc_id", query_id: str = "query_id", limit: str | None = None) -> DataFrame:
+    """Cosine search in the cells nearest to each query, of documents with their cells (see
+    `with_cells`, `write_by_cell`). A query may get other rows than the exact search gives."""
+    asked = settle(probed(queries, middle, probes))
+    return cosine_top_k(read_cells(celled, asked), asked, [*keys, "cell"], doc_id, query_id, limit=limit, once=True)
+
+
+def rows_read(celled: DataFrame, queries: DataFrame, keys: list[str], middle: np.ndarray, probes: int,
+              query_id: str = "query_id") -> DataFrame:
+    """How many rows each query's search compares, of all rows with its keys (copies counted)."""
+    sizes = celled.groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    totals = sizes.groupBy(*keys).agg(F.sum("n").alias("rows_all"))
+    asked = probed(queries, middle, probes).select(query_id, *keys, "cell")
+    return asked.join(sizes, [*keys, "cell"], "left").groupBy(query_id, *keys).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows_read")).join(totals, keys, "left").select(query_id, "rows_read", "rows_all")
 
 
 def recall(exact: DataFrame, approximate: DataFrame, doc_id: str = "doc_id",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tripweave.functions.stemming import stems_sql
 from tripweave.functions.text import STOP_WORDS, is_stop_word, tokens
@@ -11,7 +12,8 @@ from tripweave.plans.mapping import Tables
 from tripweave.schemas import EMBEDDING_DIM
 from tripweave.sources.tables import new_path
 
-VECTOR_DIM = 64
+#: Cells that the registered queries probe of each vector's cells.
+PROBES = 8
 LANGUAGES = ("de", "en", "es", "fr")
 
 
@@ -33,15 +35,14 @@ def embed_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.round(F.sqrt(square_sum(F.col("embedding"))), 4).alias("length"))
 
 
-def _label_queries(t: Tables) -> DataFrame:
-    """One query per label: its vector of the lowest id."""
-    first = t.raw("embeddings").groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
-    return t.raw("embeddings").join(first, "vec_id", "left_semi").withColumnRenamed("vec_id", "query_id")
+def _vector_queries(t: Tables) -> DataFrame:
+    """All vectors whose id is divisible by 50, searched among those of their label."""
+    return t.raw("embeddings").filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id")
 
 
 def semantic_topk(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return vectors.cosine_top_k(t.raw("embeddings"), _label_queries(t), ["label"], doc_id="vec_id")
+    return vectors.cosine_top_k(t.raw("embeddings"), _vector_queries(t), ["label"], doc_id="vec_id")
 
 
 def semantic_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,14 +65,30 @@ def semantic_topk_batch(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.semantic_search(documents, about, asked, limit="wished")
 
 
+def _celled(t: Tables) -> tuple[DataFrame, np.ndarray]:
+    """The vectors as a table by cell, and the learned cells."""
+    every = t.raw("embeddings")
+    middle = vectors.train_cells(every, "vec_id", "embedding")
+    path = new_path(every.sparkSession, "cells")
+    vectors.write_by_cell(every, path, "embedding", middle)
+    schema = T.StructType([*every.schema.fields, T.StructField("cell", T.IntegerType())])
+    return every.sparkSession.read.schema(schema).parquet(path), middle
+
+
 def semantic_ann(spark: SparkSession, folder: str) -> DataFrame:
+    """Approximate search in a table that is written by learned cells first."""
     t = Tables(spark, folder)
-    return vectors.approximate_top_k(
-        t.raw("embeddings"), _label_queries(t), ["label"], VECTOR_DIM, doc_id="vec_id")
+    celled, middle = _celled(t)
+    return vectors.approximate_top_k(celled, _vector_queries(t), ["label"], middle, PROBES, doc_id="vec_id")
 
 
 def ann_recall(spark: SparkSession, folder: str) -> DataFrame:
-    return vectors.recall(semantic_topk(spark, folder), semantic_ann(spark, folder), doc_id="vec_id")
+    """What the approximate search finds of the exact one's rows, and how many rows it reads."""
+    t = Tables(spark, folder)
+    celled, middle = _celled(t)
+    near = vectors.approximate_top_k(celled, _vector_queries(t), ["label"], middle, PROBES, doc_id="vec_id")
+    found = vectors.recall(semantic_topk(spark, folder), near, doc_id="vec_id")
+    return found.join(vectors.rows_read(celled, _vector_queries(t), ["label"], middle, PROBES), "query_id")
 
 
 def _keyword_queries(t: Tables) -> DataFrame:
@@ -150,10 +167,9 @@ def _vectors(name: str, table: str, key: str) -> str:
         FROM {name}_counts)"""
 
 
-_LABEL_QUERIES = """
-    q AS (SELECT vec_id AS query_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
-          WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)),
-    d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"""
+_VECTORS = """
+    d AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    q AS (SELECT vec_id AS query_id, label, v FROM d WHERE vec_id % 50 = 0)"""
 
 _EXACT = """
     exact AS (
@@ -163,24 +179,50 @@ _EXACT = """
               FROM q JOIN d ON d.label = q.label)
         QUALIFY rank <= 5)"""
 
-_CELLS = """
-    planes AS (
-        SELECT b, i, CASE WHEN substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 8, 1)
-                          IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1.0 ELSE -1.0 END AS s
-        FROM range(6) r1(b), range(64) r2(i)),
-    bits AS (
-        SELECT vec_id, b, CASE WHEN sum(x * s) > 0 THEN 1 << CAST(b AS INTEGER) ELSE 0 END AS bit
-        FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM d) e
-        JOIN planes USING (i) GROUP BY vec_id, b),
-    cells AS (SELECT vec_id, CAST(sum(bit) AS INTEGER) AS cell FROM bits GROUP BY vec_id),
+
+def _nearest(source: str, cells: str, n: int) -> str:
+    return f"""
+        SELECT vec_id, cell FROM (SELECT u.vec_id, c.cell, round(list_dot_product(u.v, c.v), 9) AS s FROM {source} u, {cells} c)
+        QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) <= {n}"""
+
+
+def _cells_sql() -> str:
+    """Units, the sample, the rounds of learning one after the other, and the cells of all vectors."""
+    def rounded(v: str) -> str:
+        return f"list_transform({v}, lambda x: round(x, {vectors.CELL_DECIMALS}))"
+    parts = [f"""
+    units AS (SELECT vec_id, list_transform(v, lambda x: x / n) AS v
+              FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM d) WHERE n > 0),
+    sampled AS (SELECT vec_id, v FROM units ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {vectors.SAMPLE_ROWS}),
+    cells0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cell, {rounded("v")} AS v
+               FROM (SELECT * FROM sampled ORDER BY vec_id LIMIT {vectors.CELLS}))"""]
+    for n in range(vectors.ROUNDS):
+        parts.append(f"""
+    own{n} AS ({_nearest("sampled", f"cells{n}", 1)}),
+    sums{n} AS (
+        SELECT cell, list(s ORDER BY i) AS v FROM (
+            SELECT cell, i, sum(x) AS s FROM (
+                SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM sampled JOIN own{n} USING (vec_id))
+            GROUP BY cell, i) GROUP BY cell),
+    cells{n + 1} AS (
+        SELECT c.cell, CASE WHEN s.v IS NULL THEN c.v
+               ELSE list_transform(s.v, lambda x: round(x / sqrt(list_dot_product(s.v, s.v)), {vectors.CELL_DECIMALS})) END AS v
+        FROM cells{n} c LEFT JOIN sums{n} s ON s.cell = c.cell)""")
+    last = f"cells{vectors.ROUNDS}"
+    parts.append(f"""
+    celled AS ({_nearest("units", last, vectors.COPIES)}),
+    asked AS ({_nearest("(SELECT * FROM units WHERE vec_id % 50 = 0)", last, PROBES)}),
     ann AS (
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER)
                AS rank, vec_id, round(score, 4) AS similarity
-        FROM (SELECT query_id, d.vec_id, round(list_cosine_similarity(d.v, q.v), 9) AS score
-              FROM q JOIN d ON d.label = q.label
-              JOIN cells c ON c.vec_id = d.vec_id JOIN cells k ON k.vec_id = q.query_id
-              WHERE bit_count(xor(c.cell, k.cell)) <= 2)
-        QUALIFY rank <= 5)"""
+        FROM (SELECT DISTINCT query_id, d.vec_id, round(list_cosine_similarity(d.v, q.v), 9) AS score
+              FROM q JOIN d ON d.label = q.label JOIN celled c ON c.vec_id = d.vec_id
+              JOIN asked a ON a.vec_id = q.query_id AND a.cell = c.cell)
+        QUALIFY rank <= 5)""")
+    return ",".join(parts)
+
+
+_CELLS = _cells_sql()
 
 # The six kinds of keyword query, spelled out: what has to be there, in which group, and
 # what must not be there. Covers are found from the last place of each word before an end.
@@ -291,7 +333,7 @@ ORACLE = {
                round(sqrt(coalesce(sum(x * x), 0.0)), 4) AS length
         FROM documents d LEFT JOIN v ON v.id = d.doc_id LEFT JOIN best b ON b.id = d.doc_id
         GROUP BY d.doc_id""",
-    "semantic_topk": f"WITH {_LABEL_QUERIES}, {_EXACT} SELECT * FROM exact",
+    "semantic_topk": f"WITH {_VECTORS}, {_EXACT} SELECT * FROM exact",
     "semantic_topk_batch": f"""
         WITH {_vectors("d", "documents", "doc_id")}, {_vectors("q", "benchmark", "item_id")},
         dn AS (SELECT id, sqrt(sum(x * x)) AS n FROM d GROUP BY id),
@@ -311,12 +353,20 @@ ORACLE = {
                source AS category, n_chars % 2 = 0 AS indoor, lang AS description,
                round(score, 4) AS similarity
         FROM scored s JOIN documents x ON x.doc_id = s.doc_id QUALIFY rank <= wished""",
-    "semantic_ann": f"WITH {_LABEL_QUERIES}, {_CELLS} SELECT * FROM ann",
+    "semantic_ann": f"WITH {_VECTORS}, {_CELLS} SELECT * FROM ann",
     "ann_recall": f"""
-        WITH {_LABEL_QUERIES}, {_EXACT}, {_CELLS}
-        SELECT e.query_id, count(*) AS expected, count(a.vec_id) AS found
-        FROM exact e LEFT JOIN ann a ON a.query_id = e.query_id AND a.vec_id = e.vec_id
-        GROUP BY e.query_id""",
+        WITH {_VECTORS}, {_EXACT}, {_CELLS},
+        sizes AS (SELECT label, cell, count(*) AS n FROM celled JOIN d USING (vec_id) GROUP BY 1, 2),
+        reads AS (
+            SELECT a.vec_id AS query_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows_read
+            FROM asked a JOIN d USING (vec_id) LEFT JOIN sizes s ON s.label = d.label AND s.cell = a.cell GROUP BY 1),
+        totals AS (SELECT label, CAST(sum(n) AS BIGINT) AS rows_all FROM sizes GROUP BY 1),
+        hits AS (
+            SELECT e.query_id, count(*) AS expected, count(a.vec_id) AS found
+            FROM exact e LEFT JOIN ann a ON a.query_id = e.query_id AND a.vec_id = e.vec_id
+            GROUP BY e.query_id)
+        SELECT query_id, expected, found, rows_read, rows_all
+        FROM hits JOIN reads USING (query_id) JOIN q USING (query_id) JOIN totals USING (label)""",
     "text_search": _text_search_sql(False),
     "text_search_stemmed": _text_search_sql(True),
     "text_search_indexed": _text_search_sql(True),
