@@ -300,27 +300,27 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, most_words: int = MO
 
 SQL = """
 WITH pieces AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), w -> w <> '') AS words
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda w: w <> '') AS words
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
           '[.,;:!?\\n\\x0B\\x0C\\r]')) AS piece FROM documents)),
 totals AS (SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM pieces GROUP BY lang),
 occurrences AS (
-  SELECT lang, size, words[at:at + size - 1] AS words
-  FROM (SELECT lang, size, words, unnest(generate_series(1, len(words) - size + 1)) AS at
+  SELECT lang, size, words[i:i + size - 1] AS words
+  FROM (SELECT lang, size, words, unnest(generate_series(1, len(words) - size + 1)) AS i
         FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(words) >= size)),
 phrases AS (SELECT lang, size, words, count(*) AS a FROM occurrences GROUP BY ALL HAVING count(*) >= 100),
 cuts AS (SELECT lang, size, words, a, unnest(generate_series(1, size - 1)) AS k FROM phrases WHERE size > 1),
 parts AS (
   SELECT c.lang, c.size, c.words, c.a, c.k, l.a AS l, r.a AS r, n,
          CAST(1000::HUGEINT * c.a * n // (l.a::HUGEINT * r.a) AS BIGINT) AS score
-  FROM cuts c JOIN phrases l ON l.lang = c.lang AND l.words = c.words[1:k]
-  JOIN phrases r ON r.lang = c.lang AND r.words = c.words[k + 1:]
+  FROM cuts c JOIN phrases l ON l.lang = c.lang AND l.words = c.words[1:c.k]
+  JOIN phrases r ON r.lang = c.lang AND r.words = c.words[k + 1:c.size]
   JOIN totals t ON t.lang = c.lang),
 worst AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
 inside AS (
-  SELECT lang, words[at:at + n - 1] AS words, max(a) AS longer
-  FROM (SELECT lang, words, a, n, unnest(generate_series(1, size - n + 1)) AS at
+  SELECT lang, words[i:i + n - 1] AS words, max(a) AS longer
+  FROM (SELECT lang, words, a, n, unnest(generate_series(1, size - n + 1)) AS i
         FROM (SELECT lang, size, words, a, unnest(generate_series(2, size - 1)) AS n FROM phrases WHERE size > 2))
   GROUP BY ALL),
 kept AS (
