@@ -187,7 +187,7 @@ def test_constraint_report(spark):
 
 def test_numeric_overflow(spark):
     frame = spark.createDataFrame([(1, 999.99), (2, 1000.0), (3, None)], "id long, t double")
-    assert quality.row_rules("t", frame, "id", quality.fits_decimal(["t"])).first()["bad_rows"] == 1
+    assert quality.report([quality.Checks("t", frame, "id", quality.fits_decimal(["t"]))]).first()["bad_rows"] == 1
 
 
 def test_load_check_fails_on_empty(spark, rows):

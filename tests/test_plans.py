@@ -100,3 +100,10 @@ def test_only_touched_months_are_listed(spark, tmp_path):
 def test_few_repeated_texts_and_names_do_not_move_the_texts(spark):
     for name in ("doc_dedupe", "match_enrich"):
         assert "BroadcastHashJoin" in large(spark, name) and "SortMergeJoin [_" not in large(spark, name)
+
+
+def test_the_report_reads_every_table_once_and_shuffles_once(spark):
+    plan = large(spark, "quality_report")
+    scans = re.findall(r"FileScan parquet .*?Location: [^\[]*\[[^\]]*/(\w+)\.parquet", plan)
+    assert len(scans) == len(set(scans)) == 14
+    assert len(re.findall(r"hashpartitioning\(place#\d+, num", plan)) == 1

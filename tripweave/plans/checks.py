@@ -12,33 +12,27 @@ VECTOR_DIM = 64
 
 
 def quality_report(spark: SparkSession, folder: str) -> DataFrame:
-    t = Tables(spark, folder)
-    line, orders, events = t.raw("lineitem"), t.raw("orders"), t.raw("events")
-    documents, customers, nations = t.raw("documents"), t.raw("customer"), t.raw("nation")
+    t, checks = Tables(spark, folder), quality.Checks
     return quality.report([
-        quality.unique("lineitem", line, ["l_orderkey", "l_linenumber"]),
-        quality.unique("orders", orders, ["o_orderkey"]),
-        quality.unique("documents", documents, ["doc_id"]),
-        quality.unique("part", t.raw("part"), ["p_name"]),
-        quality.foreign_key("lineitem", line, "l_orderkey", orders, "o_orderkey"),
-        quality.foreign_key("orders", orders, "o_custkey", customers, "c_custkey"),
-        quality.foreign_key("documents", documents, "doc_id", t.raw("labels"), "doc_id"),
-        quality.row_rules("lineitem", line, "l_orderkey", {
+        checks("lineitem", t.raw("lineitem"), "l_orderkey", {
             **quality.not_null(["l_shipdate", "l_quantity"]),
-            "l_discount < 0.05": F.col("l_discount") >= 0.05,
-            "l_quantity > 0": F.col("l_quantity") <= 0}),
-        quality.row_rules("orders", orders, "o_orderkey", {
-            **quality.fits_decimal(["o_totalprice"]),
-            "o_orderstatus": ~F.col("o_orderstatus").isin("O", "P")}),
-        quality.row_rules("events", events, "event_id", quality.not_null(["ts", "value"])),
-        quality.foreign_key("customer", customers, "c_nationkey", nations, "n_nationkey"),
-        quality.foreign_key("supplier", t.raw("supplier"), "s_nationkey", nations, "n_nationkey"),
-        quality.foreign_key("nation", nations, "n_regionkey", t.raw("region"), "r_regionkey"),
-        quality.unique("pages", t.raw("pages"), ["url"]),
-        quality.unique("conversations", t.raw("conversations"), ["conv_id", "turn"]),
-        quality.row_rules("benchmark", t.raw("benchmark"), "item_id", quality.not_null(["text"])),
-        quality.row_rules("embeddings", t.raw("embeddings"), "vec_id",
-                          quality.vector_size("embedding", VECTOR_DIM)),
+            "l_discount < 0.05": F.col("l_discount") >= 0.05, "l_quantity > 0": F.col("l_quantity") <= 0},
+            [["l_orderkey", "l_linenumber"]], [("l_orderkey", "orders", "o_orderkey")]),
+        checks("orders", t.raw("orders"), "o_orderkey", {
+            **quality.fits_decimal(["o_totalprice"]), "o_orderstatus": ~F.col("o_orderstatus").isin("O", "P")},
+            [["o_orderkey"]], [("o_custkey", "customer", "c_custkey")]),
+        checks("documents", t.raw("documents"), unique=[["doc_id"]], foreign=[("doc_id", "labels", "doc_id")]),
+        checks("labels", t.raw("labels")),
+        checks("part", t.raw("part"), unique=[["p_name"]]),
+        checks("events", t.raw("events"), "event_id", quality.not_null(["ts", "value"])),
+        checks("customer", t.raw("customer"), foreign=[("c_nationkey", "nation", "n_nationkey")]),
+        checks("supplier", t.raw("supplier"), foreign=[("s_nationkey", "nation", "n_nationkey")]),
+        checks("nation", t.raw("nation"), foreign=[("n_regionkey", "region", "r_regionkey")]),
+        checks("region", t.raw("region")),
+        checks("pages", t.raw("pages"), unique=[["url"]]),
+        checks("conversations", t.raw("conversations"), unique=[["conv_id", "turn"]]),
+        checks("benchmark", t.raw("benchmark"), "item_id", quality.not_null(["text"])),
+        checks("embeddings", t.raw("embeddings"), "vec_id", quality.vector_size("embedding", VECTOR_DIM)),
     ])
 
 
