@@ -11,25 +11,26 @@ from tripweave.operators.keyed import is_small
 
 
 def upsert_weather(snapshots: DataFrame, forecast: DataFrame, seq: str, now: Column,
-                   source: str = schemas.WEATHER_SOURCE, whole_table: DataFrame | None = None) -> DataFrame:
+                   source: str = schemas.WEATHER_SOURCE, whole_table: DataFrame | None = None,
+                   highest: int | None = None) -> DataFrame:
     """Forecast rows by (trip, time): measures, source and fetch time are replaced."""
     measures = ["temperature_c", "precipitation_probability", "weather_code"]
     return merge.upsert(
         snapshots, forecast, ["trip_id", "forecast_time"], seq,
         set_columns={**{m: m for m in measures}, "source": F.lit(source), "fetched_at": now},
         insert_values={"source": F.lit(source), "fetched_at": now},
-        id_col="weather_snapshot_id", whole_table=whole_table,
+        id_col="weather_snapshot_id", whole_table=whole_table, highest=highest,
     )
 
 
 def upsert_documents(documents: DataFrame, embedded: DataFrame, seq: str, now: Column,
-                     model: str, whole_table: DataFrame | None = None) -> DataFrame:
+                     model: str, whole_table: DataFrame | None = None, highest: int | None = None) -> DataFrame:
     """Documents by activity: text, vector and time are replaced, the model name is not."""
     return merge.upsert(
         documents, embedded, ["activity_id"], seq,
         set_columns={"document_text": "document_text", "embedding": "embedding", "updated_at": now},
         insert_values={"embedding_model": F.lit(model), "updated_at": now},
-        id_col="document_id", whole_table=whole_table,
+        id_col="document_id", whole_table=whole_table, highest=highest,
     )
 
 
@@ -80,7 +81,7 @@ def move_items(items: DataFrame, requests: DataFrame, key: str, seq: str, raw_ti
         items, parsed.filter(F.col("_time").isNotNull()), key, seq,
         {"scheduled_at": "_time", "rationale": reason})
     bad_time = parsed.filter(F.col("_time").isNull()).select(
-        key, seq, F.lit("Invalid time").alias("reject_reason"))
+        key, seq, F.lit(schemas.INVALID_TIME).alias("reject_reason"))
     missing = unknown.select(key, seq, _missing("Itinerary item", key))
     return moved, bad_time.unionByName(missing)
 
@@ -88,7 +89,7 @@ def move_items(items: DataFrame, requests: DataFrame, key: str, seq: str, raw_ti
 def cancel_items(items: DataFrame, requests: DataFrame, key: str, seq: str) -> tuple[DataFrame, DataFrame]:
     """Soft delete: the row stays with status cancelled."""
     done, unknown = merge.update_rows(items, requests, key, seq, {"status": F.lit("cancelled")})
-    return done, unknown.select(key, seq, F.lit("Itinerary item not found").alias("reject_reason"))
+    return done, unknown.select(key, seq, F.lit(schemas.NO_ITINERARY_ITEM).alias("reject_reason"))
 
 
 def remove_items(items: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from itertools import accumulate
 
@@ -36,6 +37,13 @@ def settle(rows: DataFrame) -> DataFrame:
     return rows.checkpoint(eager=True)
 
 
+def stored(rows: DataFrame, kind: str = "rows") -> DataFrame:
+    """Rows as a Parquet table in the shared folder, for results of which later steps read a few columns."""
+    path = f"{ensure_checkpoint_dir(rows.sparkSession)}/{kind}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def top_per_key(rows: DataFrame, keys: list, order: list[Column], k: int, rank: str = "rn") -> DataFrame:
     """The first k rows of each key with their rank.
 
@@ -112,13 +120,16 @@ def _numbered(rows: DataFrame, keys: list, order: list[Column], index: str) -> D
             .withColumn(index, (F.col("_before") + F.col("_inside")).cast("bigint")).drop("_part", "_before", "_inside"))
 
 
-def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, natural_key: list[str]) -> DataFrame:
-    """Ids above the highest existing one, the same in every run of the same input.
+def with_new_ids(rows: DataFrame, existing: DataFrame, id_col: str, natural_key: list[str],
+                 highest: int | None = None) -> DataFrame:
+    """Ids above the highest existing one, the same in every run of the same input. A stored
+    `highest` saves looking for it.
 
     Rows are numbered in order of their natural key. Rows with equal natural keys are not
     told apart: the key has to include a request id where such rows are allowed.
     """
-    highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    if highest is None:
+        highest = existing.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
     return _numbered(rows, [], [F.col(k) for k in natural_key], "_number").withColumn(
         id_col, F.lit(highest) + F.col("_number")).drop("_number")
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tripweave.operators.keyed import first_per_key, is_small, last_change, settle, unknown_keys, with_new_ids
+from tripweave.operators.keyed import (
+    first_per_key, is_small, last_change, settle, stored, unknown_keys, with_new_ids)
 
 CHANGE = "change"
 
@@ -52,22 +53,33 @@ def _as_target(rows: DataFrame, target: DataFrame, values: dict[str, Column | st
     return rows.select(*columns, F.lit("inserted").alias(CHANGE))
 
 
+def _merged(target: DataFrame, latest: DataFrame, keys: list[str], set_columns: dict[str, Column | str],
+            small: bool) -> tuple[DataFrame, DataFrame]:
+    """The target with its updates, stored, and the changes that met no row of it.
+
+    The target is read once: which keys were met, and which id is the highest, come from the
+    columns of the stored result.
+    """
+    known = stored(apply_updates(target, latest, keys, set_columns, small), "merged")
+    met = known.filter(F.col(CHANGE) == "updated").select(*keys)
+    return known, latest.join(F.broadcast(met) if small else met, keys, "left_anti").select(*latest.columns)
+
+
 def upsert(target: DataFrame, changes: DataFrame, keys: list[str], seq: str,
            set_columns: dict[str, Column | str], insert_values: dict[str, Column | str],
-           id_col: str | None = None, whole_table: DataFrame | None = None) -> DataFrame:
+           id_col: str | None = None, whole_table: DataFrame | None = None, highest: int | None = None) -> DataFrame:
     """Insert new keys, update the listed columns of known ones.
 
     The last change per key (highest seq) wins; it is found once and stored. Columns that are not in set_columns keep
     their stored value; insert_values gives the columns of new rows that the changes do
-    not carry. New ids follow the highest stored one; when the target is only the touched
-    part of a table, whole_table is where the highest id is looked up.
+    not carry. New ids follow the highest stored one: `highest`, if the table keeps it; else it is
+    looked up in whole_table when the target is only the touched part of a table. A target that
+    holds a key more than once has all of its rows updated.
     """
     latest = settle(last_change(changes, keys, seq))
-    small = is_small(latest)
-    known = apply_updates(target, latest, keys, set_columns, small)
-    fresh = unknown_keys(latest, target, keys, small)
+    known, fresh = _merged(target, latest, keys, set_columns, is_small(latest))
     if id_col:
-        fresh = with_new_ids(fresh, target if whole_table is None else whole_table, id_col, keys)
+        fresh = with_new_ids(fresh, known if whole_table is None else whole_table, id_col, keys, highest)
     return known.unionByName(_as_target(fresh, target, insert_values))
 
 
@@ -87,9 +99,7 @@ def update_rows(target: DataFrame, changes: DataFrame, key: str, seq: str,
                 set_columns: dict[str, Column | str]) -> tuple[DataFrame, DataFrame]:
     """Change rows by id. Returns the new table and the changes whose id is not stored."""
     latest = settle(last_change(changes, [key], seq))
-    small = is_small(latest)
-    known = apply_updates(target, latest, [key], set_columns, small)
-    return known, unknown_keys(latest, target, [key], small)
+    return _merged(target, latest, [key], set_columns, is_small(latest))
 
 
 def delete_rows(target: DataFrame, doomed: DataFrame, key: str,

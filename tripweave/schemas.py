@@ -126,6 +126,8 @@ UNKNOWN_ACTIVITY = "Unknown activity"
 NOT_A_NUMBER = "%s must be an integer"
 INVALID_TICK = "packed must be true or false"
 NO_PACKING_ITEM = "Packing item not found"
+NO_ITINERARY_ITEM = "Itinerary item not found"
+UNKNOWN_OPERATION = "Unknown operation"
 NO_SUCH_ROW = "%s %s does not exist"
 NOTHING_STORED = "No %s were stored."
 
