@@ -54,6 +54,7 @@ def texts(seed, n):
 def test_rows_are_those_of_brute_force(spark, documents, rows, monkeypatch, chunk, small):
     monkeypatch.setattr(collocations, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(collocations, "TEXT_BYTES", 100)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 2 * chunk)
     if not small:
         monkeypatch.setattr(collocations, "is_small", lambda rows, most=0: False)
     data = texts(chunk, 150)

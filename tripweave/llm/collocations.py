@@ -4,7 +4,8 @@ Phrases grow by relational mining (SETM). An occurrence relation holds (place, p
 occurrence of a phrase, sorted by place and persisted; a place is the number of a word, and
 pieces lie one place apart, so adjacent places are of one piece. Each round
 
-1. counts the phrases of the relation in groups and keeps those that are frequent,
+1. counts the phrases of the relation in groups and keeps those that are frequent (only phrases whose
+   hash slot is heavy enough are grouped, which leaves out no frequent one),
 2. takes their numbers back to the relation, a semi-join that leaves frequent occurrences only,
 3. merge-joins the relation with itself on adjacent places: a phrase at a place and one at the
    next share all words but two, and make a phrase that is one word longer.
@@ -16,10 +17,12 @@ the relation: only the distinct phrases of a chunk are shuffled, with how often
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +37,11 @@ MOST_ROWS = 2000
 COVERED = 100
 SCALE = 1000
 NO_LANGUAGE = "und"
-CHUNK_WORDS = 1 << 20
+#: Words of a chunk, and of all chunks that a task is filling.
+CHUNK_WORDS, HELD_WORDS = 1 << 19, 3 << 19
+#: Phrases are counted by hash first, into as many slots as there are words for each, within these bits.
+SLOT_WORDS, LEAST_BITS, MOST_BITS = 4, 16, 26
+PAGE = 1 << 16
 TEXT_BYTES = 4 * 1024 * 1024
 #: Frequent phrases that are broadcast, with their keys; in a task they take a few times as much.
 KNOWN_BYTES = 16 * 1024 * 1024
@@ -42,6 +49,7 @@ KNOWN_BYTES = 16 * 1024 * 1024
 PHRASE_BITS, CHUNK_BITS = 24, 18
 #: Ends of pieces become a byte that no text holds.
 BREAK = b"\xff"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 BREAKS = bytes.maketrans(PIECE_ENDS, BREAK * len(PIECE_ENDS))
 
@@ -86,20 +94,19 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, number = TaskContext.get().partitionId() << CHUNK_BITS, 0
         held: dict[str, tuple[Numbers, list]] = {}
-        size = 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            nonlocal number, size
-            for lang, (numbers, parts) in held.items():
-                at = np.concatenate(parts)
-                counts = np.bincount(at[at >= 0], minlength=len(numbers) - 1)
-                words = [word.decode() for word in numbers if word != BREAK]
-                yield pa.RecordBatch.from_pylist([{
-                    "lang": lang, "chunk": first + number, "n": int(counts.sum()), "words": words,
-                    "counts": counts.tolist(), "size": len(words), "places": None, "phrases": at.tobytes()}], arrow)
-                number += 1
-            held.clear()
-            size = 0
+        sizes: dict[str, int] = {}
+
+        def done(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            numbers, parts = held.pop(lang)
+            del sizes[lang]
+            at = np.concatenate(parts)
+            counts = np.bincount(at[at >= 0], minlength=len(numbers) - 1)
+            words = [word.decode() for word in numbers if word != BREAK]
+            number += 1
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((
+                [lang], [first + number - 1], [int(counts.sum())], [words], [counts], [len(words)], [None], [at.tobytes()]), arrow)],
+                schema=arrow)
 
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -107,10 +114,13 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     for part in tokens(text):
                         numbers, parts = held.setdefault(lang, (Numbers(), []))
                         parts.append(np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)))
-                        size += len(part)
-                        if size >= CHUNK_WORDS:
-                            yield from rows()
-        yield from rows()
+                        sizes[lang] = sizes.get(lang, 0) + len(part)
+                        if sizes[lang] >= CHUNK_WORDS:
+                            yield done(lang)
+                        elif sum(sizes.values()) >= HELD_WORDS:
+                            yield done(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield done(lang)
 
     rows = docs.select(F.coalesce(docs["lang"].cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
                        docs["text"].cast("string").alias("text"))
@@ -215,14 +225,93 @@ def longer(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list
     return joint.select("chunk", "places", "phrases", "size", "alive.at", "alive.id").mapInArrow(extend, LONGER)
 
 
-def _grouped(relation: DataFrame, keys: list[str], arrays: dict[str, str], least: int) -> tuple[DataFrame, DataFrame]:
-    """The phrases of a relation, one row per chunk and phrase, and the frequent ones among them with
-    their counts and numbers. `arrays` names the columns that hold one value per phrase, and what it
-    is called. The number of a phrase is its place in the first chunk that has it."""
-    phrase = F.posexplode(F.arrays_zip(*arrays, "counts")).alias("at", "phrase")
-    rows = relation.select("chunk", *[key for key in keys if key not in arrays.values()], phrase)
-    rows = rows.select(*[c for c in rows.columns if c != "phrase"],
-                       *[F.col(f"phrase.{many}").alias(one) for many, one in arrays.items()], F.col("phrase.counts").alias("count"))
+def _hashes(relation: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable]:
+    """The columns that tell a relation's phrases, and a function that hashes those of one chunk."""
+    if keys == ["lang", "word"]:
+        def of_words(lang: pa.Scalar, words: pa.Scalar) -> np.ndarray:
+            seed = xxhash.xxh64_intdigest(lang.as_py())
+            return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.as_py()), np.uint64, len(words))
+        return relation.select("chunk", "lang", "words", "counts"), of_words
+
+    def of_pairs(left: pa.Scalar, right: pa.Scalar) -> np.ndarray:
+        mixed = (left.values.to_numpy().view(np.uint64) * MIX + right.values.to_numpy().view(np.uint64)) * MIX
+        return (mixed ^ (mixed >> np.uint64(31))) * MIX
+    return relation.select("chunk", "left", "right", "counts"), of_pairs
+
+
+def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int) -> np.ndarray:
+    """A bit for every slot of the hash: whether the phrases in it occur `least` times together.
+
+    A frequent phrase lies in such a slot, whatever shares it. Tasks add up to at most `least` in each
+    slot, which is enough to tell; the sums have a fixed size.
+    """
+    source, hashes = _hashes(relation, keys)
+    kind = next(kind for kind in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(kind).max)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                total = np.zeros(1 << bits, kind) if total is None else total
+                a, b, counts = (batch.column(i)[row] for i in (1, 2, 3))
+                slots, where = np.unique((hashes(a, b) >> np.uint64(64 - bits)).astype(np.int64), return_inverse=True)
+                own = np.bincount(where, counts.values.to_numpy(), len(slots))
+                total[slots] = np.minimum(total[slots] + own, least).astype(kind)
+        if total is not None:
+            for page, values in enumerate(total.reshape(-1, PAGE)):
+                yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)])], names=["page", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total = None, None
+        for batch in batches:
+            for page, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if page != current:
+                    if total is not None:
+                        yield bits_of(current, total)
+                    current, total = page, np.zeros(PAGE, np.int64)
+                total += np.frombuffer(zlib.decompress(sums), kind)
+        if total is not None:
+            yield bits_of(current, total)
+
+    def bits_of(page: int, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([np.packbits(total >= least).tobytes()])], names=["page", "sums"])
+
+    schema = "page int, sums binary"
+    heavy = np.zeros(((1 << bits) // PAGE, PAGE // 8), np.uint8)
+    for row in source.mapInArrow(run, schema).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema).toLocalIterator():
+        heavy[row.page] = np.frombuffer(row.sums, np.uint8)
+    return heavy.ravel()
+
+
+def _candidates(relation: DataFrame, keys: list[str], least: int, bits: int) -> DataFrame:
+    """chunk, at, the keys and count of the phrases of every chunk that lie in a heavy slot."""
+    source, hashes = _hashes(relation, keys)
+    shared = relation.sparkSession.sparkContext.broadcast(heavy_slots(relation, keys, least, bits))
+    words = keys == ["lang", "word"]
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()), T.StructField("at", T.IntegerType()),
+        *[T.StructField(key, T.StringType() if words else T.LongType()) for key in keys], T.StructField("count", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                chunk, a, b, counts = (batch.column(i)[row] for i in range(4))
+                slots = (hashes(a, b) >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero((shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1)
+                first = pa.repeat(a, len(at)) if words else a.values.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip((
+                    pa.repeat(chunk, len(at)), pa.array(at), first, b.values.take(pa.array(at)), counts.values.take(pa.array(at))), arrow)],
+                    schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def _grouped(relation: DataFrame, keys: list[str], least: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The phrases of a relation that may be frequent, one row per chunk and phrase, and the frequent ones
+    among them with their counts and numbers. The number of a phrase is its place in the first
+    chunk that has it."""
+    rows = _candidates(relation, keys, least, bits)
     number = F.shiftleft(F.col("chunk"), PHRASE_BITS) + F.col("at")
     frequent = rows.groupBy(*keys).agg(F.sum("count").alias("a"), F.min(number).alias("id")).filter(F.col("a") >= least)
     return rows, written(frequent, "frequent")
@@ -233,8 +322,10 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
     `most_words` words that occurs `least` times or more, with its number of occurrences."""
     relation = written(occurrences(docs), "words")
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
+    n_words = relation.agg(F.sum("n")).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (n_words // SLOT_WORDS).bit_length()))
     keys = ["lang", "word"]
-    rows, frequent = _grouped(relation, keys, {"words": "word"}, least)
+    rows, frequent = _grouped(relation, keys, least, bits)
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", F.lit(1).alias("size"))
     found = [level]
     for size in range(2, most_words + 1):
@@ -242,7 +333,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
             break
         relation = written(longer(relation, rows, frequent, keys), "phrases")
         keys = ["left", "right"]
-        rows, frequent = _grouped(relation, keys, {key: key for key in keys}, least)
+        rows, frequent = _grouped(relation, keys, least, bits)
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"))
         right = level.select(F.col("id").alias("right"), "last")
         level = written(frequent.join(left, "left").join(right, "right").select(
