@@ -109,3 +109,29 @@ def test_empty_and_wordless_tables(documents):
     assert mixing.mix_documents(documents(["a"]).limit(0)).collect() == []
     got = mixing.mix_counts(documents([None, "", None], [1, None, 1])).collect()
     assert [(r.size, r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 3
+
+
+def test_a_source_of_repeated_rows_meets_its_target(documents, rows):
+    """400 equal rows are a large part of one source; the cut goes through them."""
+    texts = ["w " * 50] * 400 + [" ".join(["x"] * (5 + i % 40)) for i in range(300)] + ["y " * 30] * 200
+    sources = ["a"] * 400 + ["a"] * 100 + ["b"] * 200 + ["c"] * 200
+    ids = [7] * 400 + list(range(1000, 1300)) + [None] * 200
+    docs = documents(texts, ids, source=sources).repartition(5)
+    found = mixing.mix_counts(docs).collect()
+    assert len(found) == 900
+    for source in "abc":
+        size = [len(t.split()) for t, s in zip(texts, sources) if s == source]
+        mine = [r for r in found if r.source_size == sum(size)]
+        assert len(mine) == len(size)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(size) / 2 + 1e-6
+    mixed = mixing.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == sum(r.copies for r in found)
+    con = duckdb.connect()
+    con.register("frame", docs.toPandas()[["doc_id", "text", "source"]].astype({"doc_id": "Int64"}))
+    con.execute("CREATE TABLE documents AS SELECT * FROM frame")
+    result = con.execute(mixing.SQL)
+    names = [c[0] for c in result.description]
+    place = [names.index(n) for n in ("doc_id", "size", "taken")]
+    want = sorted((tuple(r[i] for i in place) for r in result.fetchall()), key=repr)
+    assert sorted(((r.doc_id, r.size, r.taken) for r in found), key=repr) == want

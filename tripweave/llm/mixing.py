@@ -114,10 +114,14 @@ def _cuts(ranked: DataFrame, classes: DataFrame) -> DataFrame:
     cut_bin = reached.filter("_to >= _wanted").withColumn("_first", F.row_number().over(last)).filter(
         "_first = 1").select("_source", "_bin", (F.col("_to") - F.col("_n")).alias("_before"), "_wanted")
     inside = binned.join(F.broadcast(cut_bin) if is_small(cut_bin) else cut_bin, ["_source", "_bin"])
-    order = Window.partitionBy("_source").orderBy("_rank", "_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    near = inside.withColumn("_middle", F.col("_before") + F.sum("_size").over(order) - F.col("_size") / 2)
-    taken = near.filter("_middle <= _wanted").groupBy("_source").agg(
-        F.max(F.struct("_rank", "_size", "_id")).alias("_cut"))
+    equal = inside.groupBy("_source", "_rank", "_size", "_id", "_before", "_wanted").agg(F.count("*").alias("_rows"))
+    ahead = Window.partitionBy("_source").orderBy("_rank", "_size", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("_before") + F.sum(F.col("_size") * F.col("_rows")).over(ahead) - F.col("_size") * F.col("_rows")
+    # a row is taken if its middle lies below what is wanted; of equal rows as many as do
+    near = equal.withColumn("_take", F.least("_rows", F.floor((F.col("_wanted") - start) / F.col("_size") + 0.5)))
+    taken = near.filter("_take >= 1").groupBy("_source").agg(
+        F.max(F.struct("_rank", "_size", "_id")).alias("_cut"),
+        F.max_by(F.struct("_take", "_rows"), F.struct("_rank", "_size", "_id")).alias("_last"))
     # where no row of the bin is taken, all bins before it are; a source without a cut is taken whole
     return cut_bin.select("_source", "_bin").join(taken, "_source", "left").withColumnRenamed("_bin", "_cut_bin")
 
@@ -136,21 +140,39 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES
 
 
 def _taken(rows: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Adds `_copies`, the copies the mix takes of each row."""
+    """Adds `_copies`, the copies the mix takes of each row.
+
+    Rows equal in source, size and id stand at one place of the order. Where the cut goes through them, they
+    are stored, numbered inside the parts they are stored in, and the counts of earlier parts added, so
+    that exactly as many as reach the target are taken however many there are.
+    """
     ranked = _ranked(rows, decisions)
     own_bin = F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS)
+    place = F.struct("_rank", "_size", "_id")
     drawn = (F.col("_cut_bin").isNull() | (own_bin < F.col("_cut_bin"))
-             | (own_bin == F.col("_cut_bin")) & (F.struct("_rank", "_size", "_id") <= F.col("_cut")))
-    return ranked.withColumn("_copies", F.coalesce(F.col("_certain"), F.lit(0)) + F.when(
-        F.col("_rank").isNotNull() & F.coalesce(drawn, F.lit(False)), 1).otherwise(0))
+             | (own_bin == F.col("_cut_bin")) & (place <= F.col("_cut")))
+    certain, more = F.coalesce(F.col("_certain"), F.lit(0)), F.col("_rank").isNotNull() & F.coalesce(drawn, F.lit(False))
+    marked = ranked.withColumn("_copies", certain + F.when(more, 1).otherwise(0))
+    parted = F.col("_last._take") < F.col("_last._rows")
+    if decisions.filter(parted).isEmpty():
+        return marked
+    tied = F.coalesce(parted & (own_bin == F.col("_cut_bin")) & (place == F.col("_cut")), F.lit(False))
+    stored = written(marked.filter(tied).withColumn("_part", F.spark_partition_id()), "tied")
+    counts = stored.groupBy("_source", "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_source", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    number = F.col("_offset") + F.row_number().over(Window.partitionBy("_source", "_part").orderBy("_id"))
+    numbered = stored.join(F.broadcast(offsets) if is_small(offsets) else offsets, ["_source", "_part"]).withColumn(
+        "_number", number).withColumn("_copies", certain + F.when(F.col("_number") <= F.col("_last._take"), 1).otherwise(0))
+    return marked.filter(~tied).unionByName(numbered.select(*marked.columns))
 
 
 def mix_counts(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document.
 
     A null or empty text has size 0 and is never taken; null sources are one source. The draw
-    depends on seed, id and size alone, so reruns agree; rows equal in both are taken or left
-    together. An empty table gives no rows; columns other than doc_id, source and text are
+    depends on seed, id and size alone, so reruns agree; of rows equal in both as many are taken as
+    reach the target. An empty table gives no rows; columns other than doc_id, source and text are
     not read.
     """
     facts, decisions = plan(docs, **settings)
