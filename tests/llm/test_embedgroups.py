@@ -88,3 +88,37 @@ def test_query_equals_brute_force(spark, rows, shard_rows):
 
 def test_empty_table(spark):
     assert near_vectors(frame(spark, [(1, [1.0], 1)]).limit(0)).collect() == []
+
+
+def test_shards_of_thousands_of_vectors_are_searched_by_their_graphs(spark, rows, monkeypatch):
+    """Two labels of several thousand vectors, tight groups and rare pairs, over several shards: recall of links
+    against all pairs, and no pair of vectors is compared in full but those audited."""
+    rng = np.random.default_rng(11)
+    sparse = unit(rng.normal(size=(3500, 24)))
+    pairs = unit(sparse[:40] + 0.01 * rng.normal(size=(40, 24)))
+    dense = clustered(3000, 24, 12, 0.02)
+    data = [(i, v, 0) for i, v in enumerate(np.concatenate([sparse, pairs]).astype(np.float32).tolist())]
+    data += [(10_000 + i, v, 1) for i, v in enumerate(dense.astype(np.float32).tolist())]
+    got = {r[0]: r for r in rows(near_vectors(frame(spark, data), shard_rows=1500))}
+    found = wanted = 0
+    for label in (0, 1):
+        ids = np.array([r[0] for r in data if r[2] == label])
+        vectors = unit(np.array([r[1] for r in data if r[2] == label], np.float64))
+        links = (vectors @ vectors.T >= 0.98).sum(1) - 1
+        mine = np.array([got[i][1] for i in ids])
+        assert (mine <= links).all()
+        found, wanted = found + mine.sum(), wanted + links.sum()
+        if label == 0:
+            assert mine.sum() >= 0.9 * links.sum() >= 60
+    assert found >= 0.99 * wanted
+
+
+def test_the_graph_is_searched_for_the_smallest_labels_too(monkeypatch):
+    searched = []
+    real = hnsw._fill_links
+    monkeypatch.setattr(hnsw, "_fill_links", lambda *a: (searched.append(len(a[1])), real(*a)))
+    for count in (1, 2, 40, 300):
+        vectors = clustered(count, 8, count, 0.05)
+        near, recall = hnsw.near_matrix(hnsw.build(vectors), None, 0.98)
+        assert (near == (vectors @ vectors.T >= 0.98)).all() and recall >= hnsw.AUDIT_RECALL
+    assert set(searched) == {1, 2, 40, 300}

@@ -22,7 +22,7 @@ def test_query_matches_sql(spark, name):
 
 
 def test_all_dealt_queries_are_registered():
-    assert sorted(name.split("_")[0] for name in QUERIES) == sorted([f"op{n}" for n in range(1, 11)] + ["pipeline"])
+    assert sorted(name.split("_")[0] for name in QUERIES) == sorted([f"op{n}" for n in range(1, 14)] + ["pipeline"])
 
 
 @pytest.fixture(scope="module")

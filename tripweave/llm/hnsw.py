@@ -258,30 +258,63 @@ def _fill_links(graph: Graph, queries: np.ndarray, least: float, beam: int, out:
             out[full] = found
 
 
+def _recall(other: Graph, queries: np.ndarray, found: np.ndarray, audit: np.ndarray, least: float) -> float:
+    """The mean over audited rows that have links of the share of them found; 1 if none has any."""
+    truth = queries[audit] @ other.vectors.T >= least
+    counts = truth.sum(1)
+    rows = counts > 0
+    return float(((found[audit] & truth).sum(1)[rows] / counts[rows]).mean()) if rows.any() else 1.0
+
+
+def _planted_recall(graph: Graph, audit: np.ndarray, least: float, beam: int) -> float:
+    """The share of vectors planted near audited nodes, at a cosine just above `least`, from which a
+    search finds a node as near as that. It tells how links are found also where the audited vectors have none."""
+    own = graph.vectors[audit]
+    aside = np.random.default_rng(len(audit)).normal(size=own.shape)
+    aside -= np.einsum("nd,nd->n", aside, own)[:, None] * own
+    length = np.sqrt((aside * aside).sum(1, keepdims=True))
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-9)
+    cosine = least + (1 - least) / 20
+    planted = cosine * own + np.sqrt(1 - cosine * cosine) * aside
+    planted /= np.sqrt((planted * planted).sum(1, keepdims=True))
+    nearest = search(graph, planted, beam)[1][:, 0]  # in a dense place another node may be nearer
+    return float((nearest >= np.einsum("nd,nd->n", planted, own) - 1e-9).mean())
+
+
 def near_matrix(one: Graph, two: Graph | None, least: float) -> tuple[np.ndarray, float]:
     """Which nodes of two graphs (or of one with itself) are found within `least` of each
     other, and the recall of the last audit.
 
     Each graph is searched for all vectors of the other; a pair found from either side
-    counts. Some vectors, evenly spaced, are compared with every node. While too few of their
-    true links are found, all beams are doubled; beyond a sixteenth of the graph, all pairs are
-    compared, block by block.
+    counts. Some vectors, evenly spaced, and some of those with links and of their partners are then
+    compared with every node, each row for itself, so that a hot group can't hide small ones; and some
+    nodes are searched from vectors planted near them. While too few true links or planted nodes are found,
+    all beams are doubled; once a beam holds the whole graph and fails, all pairs are compared, block by block.
     """
     other = two or one
     out = np.zeros((len(one.vectors), len(other.vectors)), bool)
     back = np.zeros((len(other.vectors), len(one.vectors)), bool) if two else None
-    audit = np.unique(np.linspace(0, len(out) - 1, min(AUDIT_QUERIES, len(out))).astype(np.int64))
-    truth = one.vectors[audit] @ other.vectors.T >= least
+    spaced = lambda rows: rows[np.unique(np.linspace(0, len(rows) - 1, min(AUDIT_QUERIES, len(rows))).astype(np.int64))]
     beam = BEAM
-    while 16 * beam < len(other.vectors):
+    while True:
         _fill_links(other, one.vectors, least, beam, out)
         if two:
             _fill_links(one, two.vectors, least, beam, back)
         out |= back.T if two else out.T.copy()
-        recall = float((out[audit] & truth).sum() / max(1, truth.sum()))
-        if recall >= AUDIT_RECALL or not truth.any():
-            return out, recall if truth.any() else 1.0
+        linked = out.copy() if two else out & ~np.eye(len(out), dtype=bool)
+        rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+        audit = np.concatenate([spaced(np.arange(len(out))), *([spaced(rows)] if len(rows) else [])])
+        recall = min(_recall(other, one.vectors, out, audit, least),
+                     _planted_recall(one, spaced(np.arange(len(out))), least, beam))
+        if two:
+            recall = min(recall, _planted_recall(two, spaced(np.arange(out.shape[1])), least, beam))
+            if len(columns):
+                recall = min(recall, _recall(one, two.vectors, out.T, spaced(columns), least))
+        if recall >= AUDIT_RECALL:
+            return out, recall
         beam *= 2
+        if beam >= 2 * len(other.vectors):
+            break
     for start in range(0, len(out), BLOCK):
         out[start:start + BLOCK] = one.vectors[start:start + BLOCK] @ other.vectors.T >= least
     return out, 1.0
