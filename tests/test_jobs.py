@@ -82,3 +82,27 @@ def test_dashboard_opens_on_an_empty_warehouse(spark, warehouse):
     summary = views.dashboard_summary(*[warehouse.read(n) for n in (
         "trips", "weather_snapshots", "itinerary_items", "activities", "activity_documents", "packing_items")])
     assert summary.count() == 3 and summary.agg(F.sum("planned_items")).first()[0] == 0
+
+
+def test_requests_change_the_stored_items(spark, rows, tmp_path):
+    warehouse = jobs.Warehouse(spark, str(tmp_path / "w"))
+    warehouse.create()
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    day = "TIMESTAMP '2024-01-05 10:00:00'"
+    warehouse.replace("trips", spark.sql(
+        f"SELECT 1L trip_id, 1L user_id, 'a' name, 'Rome' destination_name, 1D latitude, 1D longitude, DATE '2024-01-01' start_date, "
+        f"DATE '2024-01-03' end_date, array('x') interests, {day} created_at"))
+    warehouse.replace("activities", spark.sql(
+        f"SELECT 5L activity_id, 'Rome' destination_name, 'n' name, 'c' category, true indoor, 'd' description, null source_url, "
+        f"cast(null as decimal(5,2)) min_temperature_c, 100 max_precipitation_probability, {day} created_at"))
+    requests = spark.createDataFrame(
+        [(1, "add", None, None, 1, 5, "2024-01-05T09:00:00", 60, "why"), (2, "move", None, 1, None, None, "2024-01-06T11:00:00", None, "later"),
+         (3, "add", None, None, 2, 5, "2024-01-05T09:00:00", 60, "no trip"), (4, "cancel", 77, None, None, None, None, None, None)],
+        "seq bigint, op string, itinerary_item_id bigint, ref bigint, trip_id bigint, activity_id bigint, raw_time string, duration_minutes int, reason string")
+    out = jobs.apply_requests(warehouse, requests, now)
+    assert rows(out["added"]) == [(1, 1)]
+    assert rows(out["rejects"]) == [(3, "Unknown trip"), (4, "Itinerary item not found")]
+    stored = warehouse.read("itinerary_items").first()
+    assert (stored.itinerary_item_id, stored.rationale, stored.status, str(stored.scheduled_at)) == (1, "later", "planned", "2024-01-06 11:00:00")
+    again = jobs.apply_requests(warehouse, requests.filter("seq = 4").withColumn("itinerary_item_id", F.lit(1).cast("bigint")), now)
+    assert again["rejects"].count() == 0 and warehouse.read("itinerary_items").first().status == "cancelled"

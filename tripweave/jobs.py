@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tripweave import schemas
-from tripweave.operators import changes, matching, quality, silver as silver_ops, vectors, views
+from tripweave.operators import changelog, changes, matching, quality, silver as silver_ops, vectors, views
 from tripweave.operators.keyed import is_small, settle
 from tripweave.operators.merge import settled
 from tripweave.sources import payloads, tables
@@ -126,6 +126,16 @@ def load_articles(warehouse: Warehouse, landed: DataFrame, titles: DataFrame, no
             "unmatched": matching.unmatched_articles(distinct.drop("text"), activities)}
 
 
+def apply_requests(warehouse: Warehouse, requests: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """A batch of mixed itinerary requests (see `changelog.apply_requests`) to the stored items. Returns
+    the ids of added items and the rejects; both are settled, so they don't change with the table."""
+    items, added, rejects = changelog.apply_requests(
+        warehouse.read("itinerary_items"), requests, warehouse.read("trips"), warehouse.read("activities"), now)
+    rejects = settle(rejects)
+    warehouse.replace("itinerary_items", items)
+    return {"added": added, "rejects": rejects}
+
+
 def check_load(warehouse: Warehouse) -> DataFrame:
     """Stored snapshots and embedded documents; reading the result fails when there are none."""
     snapshots = quality.require_rows(warehouse.read("weather_snapshots"), "weather snapshots")
