@@ -127,3 +127,18 @@ def test_model_function(spark):
     wrong = vectors.embed(frame, "text", ["id"], encode=lambda texts: np.zeros((len(texts), 3)), dim=2)
     with pytest.raises(Exception, match="vectors need 2 dimensions"):
         wrong.collect()
+
+
+def test_texts_and_queries_are_worked_on_in_bounded_parts(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        seen.add(len(texts) > vectors.EMBED_ROWS)
+        return np.eye(384)[[int(t) % 384 for t in texts]]
+
+    rows = spark.range(5000).selectExpr("id", "cast(id as string) AS text", "1 AS k").coalesce(1)
+    made = vectors.embed(rows, "text", ["id", "k"], encode=encode)
+    asked = made.filter("id < 300").withColumnRenamed("id", "query_id")
+    got = vectors.cosine_top_k(made, asked, ["k"], doc_id="id").collect()
+    want = {(q, r + 1, q % 384 + 384 * r, 1.0) for q in range(300) for r in range(5)}
+    assert {tuple(r) for r in got} == want and seen.value == 0

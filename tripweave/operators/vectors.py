@@ -6,16 +6,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tripweave.functions.numbers import clamp, text_bucket
 from tripweave.functions.text import is_stop_word, tokens
 from tripweave.operators.keyed import is_small, settle, top_per_key
 from tripweave.schemas import EMBEDDING_DIM
+from tripweave.session import bound_batches
 
 DEFAULT_LIMIT = 5
 MAX_LIMIT = 10
 QUERY_BLOCK = 1024
+#: Texts that are embedded, and queries that are scored against a block, at once.
+EMBED_ROWS, SCORED_QUERIES = 1024, 128
 TIE_DECIMALS = 9
 CELLS, COPIES, ROUNDS, CELL_DECIMALS = 16, 2, 4, 6
 #: Vectors that cells are learned from; every vector is then put into cells.
@@ -39,11 +43,12 @@ def _unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
           encode: Callable[[list[str]], np.ndarray] | None = None, dim: int = EMBEDDING_DIM) -> DataFrame:
-    """The kept columns and a unit vector per row, computed per Arrow batch.
+    """The kept columns and a unit vector per row, computed in bounded parts of an Arrow batch.
 
     `encode` is the model: a list of texts to a (texts, dim) array. Without one, the
     whole text is hashed into term counts. A text without any word gives a zero vector.
     """
+    bound_batches(rows.sparkSession)
     vector = T.StructField(out, T.ArrayType(T.FloatType()))
     schema = T.StructType([*rows.select(*keep).schema.fields, vector])
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -58,8 +63,8 @@ def embed(rows: DataFrame, text: str, keep: list[str], out: str = "embedding",
         return np.bincount(cells, minlength=len(buckets) * dim).reshape(-1, dim).astype(np.float64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw = batch.pop("_source")
+        for batch in (whole.iloc[at:at + EMBED_ROWS] for whole in batches for at in range(0, len(whole), EMBED_ROWS)):
+            batch, raw = batch.drop(columns="_source"), batch["_source"]
             matrix = count_words(raw) if encode is None else np.asarray(encode(raw.tolist()), dtype=np.float64)
             if matrix.shape != (len(batch), dim):
                 raise ValueError(f"the model gave {matrix.shape} for {len(batch)} texts; vectors need {dim} dimensions")
@@ -77,6 +82,7 @@ def _pack(rows: DataFrame, keys: list[str], row_id: str, vector: str, prefix: st
     Works inside the batch, so nothing is shuffled and a block never exceeds a batch,
     however many rows a key has. Vectors without length are left out.
     """
+    bound_batches(rows.sparkSession)
     schema = T.StructType([
         *rows.select(*keys).schema.fields,
         T.StructField(f"{prefix}_ids", T.BinaryType()), T.StructField(f"{prefix}_vectors", T.BinaryType())])
@@ -98,7 +104,8 @@ def _pack(rows: DataFrame, keys: list[str], row_id: str, vector: str, prefix: st
 
 
 def _score_blocks(pairs: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
-    """Best k documents per query inside each pair of blocks, by one matrix product."""
+    """Best k documents per query inside each pair of blocks, by matrix products of few queries at once."""
+    bound_batches(pairs.sparkSession)
     schema = f"`{query_id}` bigint, `{doc_id}` bigint, _score double"
 
     def best(scores: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +116,22 @@ def _score_blocks(pairs: DataFrame, doc_id: str, query_id: str, k: int) -> DataF
         order = np.lexsort((ids, -scores))[:k]
         return scores[order], ids[order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d_ids, d_raw, q_ids, q_raw in batch.itertuples(index=False):
+            for row in range(batch.num_rows):
+                d_ids, d_raw, q_ids, q_raw = (batch.column(i)[row].as_buffer() for i in range(4))
                 ids, queries = np.frombuffer(d_ids, np.int64), np.frombuffer(q_ids, np.int64)
                 docs = np.frombuffer(d_raw, np.float64).reshape(len(ids), -1)
                 asked = np.frombuffer(q_raw, np.float64).reshape(len(queries), -1)
-                scores = np.round(docs @ asked.T, TIE_DECIMALS) + 0.0
-                found = [best(scores[:, j], ids) for j in range(len(queries))]
-                yield pd.DataFrame({
-                    query_id: np.repeat(queries, [len(f[1]) for f in found]),
-                    doc_id: np.concatenate([f[1] for f in found]),
-                    "_score": np.concatenate([f[0] for f in found]),
-                })
-
-    return pairs.select("d_ids", "d_vectors", "q_ids", "q_vectors").mapInPandas(run, schema)
+                for start in range(0, len(queries), SCORED_QUERIES):
+                    some = queries[start:start + SCORED_QUERIES]
+                    scores = np.round(docs @ asked[start:start + SCORED_QUERIES].T, TIE_DECIMALS) + 0.0
+                    found = [best(scores[:, j], ids) for j in range(len(some))]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.repeat(some, [len(f[1]) for f in found])), pa.array(np.concatenate([f[1] for f in found])),
+                        pa.array(np.concatenate([f[0] for f in found]))], names=[query_id, doc_id, "_score"])
+
+    return pairs.select("d_ids", "d_vectors", "q_ids", "q_vectors").mapInArrow(run, schema)
 
 
 def cosine_top_k(documents: DataFrame, queries: DataFrame, keys: list[str], doc_id: str = "doc_id",
