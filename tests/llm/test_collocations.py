@@ -89,3 +89,18 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_merge_join_stays_inside_pieces():
     place, left, right = collocations.joined(np.array([0, 1, 3, 4, 5]), np.array([7, 8, 9, 7, 8]))
     assert list(zip(place, left, right)) == [(0, 7, 8), (3, 9, 7), (4, 7, 8)]
+
+
+def test_pairs_are_shuffled_in_a_row_per_task_and_bucket(spark):
+    rng = np.random.default_rng(3)
+    chunks = [(c, *(x.tolist() for x in (rng.permutation(4000) // 50 + (1 << 40), rng.permutation(4000), rng.integers(1, 9, 4000)))) for c in range(6)]
+    relation = spark.createDataFrame(chunks, "chunk bigint, left array<bigint>, right array<bigint>, counts array<bigint>").coalesce(2)
+    want = Counter()
+    for _, left, right, counts in chunks:
+        for a, b, n in zip(left, right, counts):
+            want[a, b] += n
+    shared = spark.sparkContext.broadcast(collocations.heavy_slots(relation, ["left", "right"], 8, 16))
+    assert collocations.packed_pairs(relation, 16, 64, shared).count() <= 2 * 64
+    frequent = collocations._grouped(relation, ["left", "right"], 8, 16, 24000)[1].collect()
+    assert {(r.left, r.right): r.a for r in frequent} == {k: n for k, n in want.items() if n >= 8} and len(frequent) > 64
+    assert len({r.id for r in frequent}) == len(frequent)

@@ -12,7 +12,8 @@ pieces lie one place apart, so adjacent places are of one piece. Each round
 
 A phrase that is frequent consists of frequent ones, so none is missed. The relation is cut into
 chunks of neighbouring pieces, each a row with sorted arrays, that never leave their place in
-the relation: only the distinct phrases of a chunk are shuffled, with how often they occur in it.
+the relation: only the distinct phrases of a chunk are shuffled, with how often they occur in it,
+those of two words or more packed by task and bucket of their hash.
 """
 
 from __future__ import annotations
@@ -42,10 +43,14 @@ CHUNK_WORDS, HELD_WORDS = 1 << 19, 3 << 19
 #: Phrases are counted by hash first, into as many slots as there are words for each, within these bits.
 SLOT_WORDS, LEAST_BITS, MOST_BITS = 4, 16, 26
 PAGE = 1 << 16
+#: Pairs of phrases are dealt into buckets of at most so many words, and a task packs so many at a time.
+BUCKET_WORDS, LEAST_BUCKETS, PACKED_PAIRS = 1 << 20, 64, 1 << 20
+#: The number of a longer phrase: its bucket, then its place there.
+BUCKET_BITS = 36
 TEXT_BYTES = 4 * 1024 * 1024
 #: Frequent phrases that are broadcast, with their keys; in a task they take a few times as much.
 KNOWN_BYTES = 16 * 1024 * 1024
-# Numbers of phrases: that of a chunk, then that of the phrase in it.
+# Numbers of words: that of a chunk, then that of the word in it.
 PHRASE_BITS, CHUNK_BITS = 24, 18
 #: Ends of pieces become a byte that no text holds.
 BREAK = b"\xff"
@@ -283,10 +288,9 @@ def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int) ->
     return heavy.ravel()
 
 
-def _candidates(relation: DataFrame, keys: list[str], least: int, bits: int) -> DataFrame:
+def _candidates(relation: DataFrame, keys: list[str], bits: int, shared) -> DataFrame:
     """chunk, at, the keys and count of the phrases of every chunk that lie in a heavy slot."""
     source, hashes = _hashes(relation, keys)
-    shared = relation.sparkSession.sparkContext.broadcast(heavy_slots(relation, keys, least, bits))
     words = keys == ["lang", "word"]
     schema = T.StructType([
         T.StructField("chunk", T.LongType()), T.StructField("at", T.IntegerType()),
@@ -307,11 +311,94 @@ def _candidates(relation: DataFrame, keys: list[str], least: int, bits: int) ->
     return source.mapInArrow(run, schema)
 
 
-def _grouped(relation: DataFrame, keys: list[str], least: int, bits: int) -> tuple[DataFrame, DataFrame]:
+def _summed(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with the sums of their counts."""
+    order = np.lexsort((right, left))
+    left, right, counts = left[order], right[order], counts[order]
+    first = np.flatnonzero(np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1])))
+    return left[first], right[first], np.add.reduceat(counts, first)
+
+
+def _squeezed(left: np.ndarray, right: np.ndarray, counts: np.ndarray) -> bytes:
+    """Pairs in order as bytes: equal bytes of the numbers side by side, which packs well."""
+    columns = np.stack([np.diff(left, prepend=0), right, counts]).astype("<i8")
+    return zlib.compress(columns.view(np.uint8).reshape(3, -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 8, -1)
+    columns = raw.transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+    columns[0] = np.cumsum(columns[0])
+    return columns
+
+
+def packed_pairs(relation: DataFrame, bits: int, buckets: int, shared) -> DataFrame:
+    """The pairs of a relation that lie in a heavy slot, with how often the chunks of a task hold them: a row
+    per task, bucket and about `PACKED_PAIRS` pairs."""
+    source, hashes = _hashes(relation, ["left", "right"])
+
+    def packed(held: list) -> Iterator[pa.RecordBatch]:
+        left, right, counts, bucket = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        for number, (start, end) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+            if end > start:
+                own = order[start:end]
+                data = _squeezed(*_summed(left[own], right[own], counts[own]))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([data])], names=["bucket", "pairs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                left, right, counts = (batch.column(i)[row] for i in (1, 2, 3))
+                hashed = hashes(left, right)
+                slots = (hashed >> np.uint64(64 - bits)).astype(np.int64)
+                at = np.flatnonzero((shared.value[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1)
+                bucket = ((hashed[at] >> np.uint64(8)) & np.uint64(buckets - 1)).astype(np.int32)
+                held.append((*(x.values.to_numpy()[at] for x in (left, right, counts)), bucket))
+                size += len(at)
+                if size >= PACKED_PAIRS:
+                    yield from packed(held)
+                    held, size = [], 0
+        if size:
+            yield from packed(held)
+
+    return source.mapInArrow(run, "bucket int, pairs binary")
+
+
+def _frequent_pairs(packed: DataFrame, least: int) -> DataFrame:
+    """left, right, a and id of the pairs that occur `least` times or more. A bucket is summed at once."""
+    def summed(bucket: int, held: list) -> pa.RecordBatch:
+        left, right, total = _summed(*np.concatenate(held, axis=1))
+        often = np.flatnonzero(total >= least)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (
+            left[often], right[often], total[often], (bucket << BUCKET_BITS) + np.arange(len(often)))], names=["left", "right", "a", "id"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, []
+        for batch in batches:
+            for bucket, pairs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and bucket != current:
+                    yield summed(current, held)
+                    held = []
+                current = bucket
+                held.append(_unsqueezed(pairs))
+        if held:
+            yield summed(current, held)
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "left bigint, right bigint, a bigint, id bigint")
+
+
+def _grouped(relation: DataFrame, keys: list[str], least: int, bits: int, n_words: int) -> tuple[DataFrame, DataFrame]:
     """The phrases of a relation that may be frequent, one row per chunk and phrase, and the frequent ones
-    among them with their counts and numbers. The number of a phrase is its place in the first
+    among them with their counts and numbers. The number of a word is its place in the first
     chunk that has it."""
-    rows = _candidates(relation, keys, least, bits)
+    shared = relation.sparkSession.sparkContext.broadcast(heavy_slots(relation, keys, least, bits))
+    rows = _candidates(relation, keys, bits, shared)
+    if keys == ["left", "right"]:
+        buckets = max(LEAST_BUCKETS, 1 << (n_words // BUCKET_WORDS).bit_length())
+        return rows, written(_frequent_pairs(packed_pairs(relation, bits, buckets, shared), least), "frequent")
     number = F.shiftleft(F.col("chunk"), PHRASE_BITS) + F.col("at")
     frequent = rows.groupBy(*keys).agg(F.sum("count").alias("a"), F.min(number).alias("id")).filter(F.col("a") >= least)
     return rows, written(frequent, "frequent")
@@ -325,7 +412,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
     n_words = relation.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (n_words // SLOT_WORDS).bit_length()))
     keys = ["lang", "word"]
-    rows, frequent = _grouped(relation, keys, least, bits)
+    rows, frequent = _grouped(relation, keys, least, bits, n_words)
     level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", F.lit(1).alias("size"))
     found = [level]
     for size in range(2, most_words + 1):
@@ -333,7 +420,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
             break
         relation = written(longer(relation, rows, frequent, keys), "phrases")
         keys = ["left", "right"]
-        rows, frequent = _grouped(relation, keys, least, bits)
+        rows, frequent = _grouped(relation, keys, least, bits, n_words)
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"))
         right = level.select(F.col("id").alias("right"), "last")
         level = written(frequent.join(left, "left").join(right, "right").select(
