@@ -52,3 +52,19 @@ def test_empty_table_and_null_or_repeated_ids(documents):
     got = sorted(read_tokens(docs.sparkSession, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 4, 4, 4]
     assert sorted(r.n_tokens for r in got) == [1, 2, 3, 3] and got[0].start == 0 and got[0].n_tokens == 3
+
+
+def test_a_word_has_one_entry_whatever_stands_beside_it():
+    encoder = ChunkEncoder(PATH)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
+    texts = [" ".join(w + mark for w in words) for mark in ("", ".", ",", "?!", "'s", "7")] + [" ".join(words).upper()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == library_ids(texts)
+    assert len(encoder.words) == len(words) + 5
+
+
+def test_endings_digits_and_latin_letters_part_as_in_the_library():
+    random.seed(8)
+    texts = ["".join(random.choices("aabcstmdrevl'''  \n\t.!0129ßÀÖØÞÿéÈ\x00\x7f\x0b\xa0×", k=random.randint(0, 40))) for _ in range(4000)]
+    encoder = ChunkEncoder(PATH)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == library_ids(texts)
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]

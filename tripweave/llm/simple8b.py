@@ -20,6 +20,7 @@ BLOCK = 1024
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
 ESCAPE_BITS = 60
+SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 MAGIC = b"S8B1"
 HEADER = "<4sIQIIII"
 
@@ -35,6 +36,8 @@ class Packed(NamedTuple):
 
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits of each number, zero for zero."""
+    if values.size and values.max() < len(SMALL_BITS):
+        return SMALL_BITS[values]
     if values.size and values.max() < 1 << 53:  # exact as floating point
         return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
     high, low = (values >> np.uint64(32)).astype(np.float64), (values & np.uint64(0xFFFFFFFF)).astype(np.float64)
@@ -52,10 +55,10 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
         wider = most[part].copy()
         wider[:, :part - count] = np.maximum(most[part][:, :part - count], most[part][:, count - part:])
         most[count] = wider
-    best = np.zeros((bits.shape[0], place), np.uint8)
-    for selector in range(len(COUNTS) - 1, 0, -1):
-        fits = most[int(COUNTS[selector])][:, :place] <= WIDTHS[selector]
-        best[fits] = selector
+    best = np.ones((bits.shape[0], place), np.uint8)
+    for selector in range(1, len(COUNTS)):  # where more numbers fit, fewer do too
+        best += most[int(COUNTS[selector])][:, :place] > WIDTHS[selector]
+    best[best == len(COUNTS)] = 0
     return best
 
 
@@ -80,14 +83,18 @@ def pack(values: np.ndarray) -> Packed:
         active = active[at[active] < ends[active]]
     block = np.concatenate(steps_block) if steps_block else np.zeros(0, np.int64)
     start = np.concatenate(steps_at) if steps_at else np.zeros(0, np.int64)
-    order = np.lexsort((start, block))
+    order = np.argsort(block.astype(np.uint16) if blocks < 1 << 16 else block, kind="stable")  # steps come in order
     block, start = block[order], start[order]
     selector = best[block, start]
     words = selector.astype(np.uint64) << np.uint64(60)
     for kind in range(1, len(COUNTS)):
         rows = np.flatnonzero(selector == kind)
+        if not len(rows):
+            continue
+        coded, first = words[rows], block[rows] * (BLOCK + room) + start[rows]
         for k in range(int(COUNTS[kind])):
-            words[rows] |= padded[block[rows], start[rows] + k] << np.uint64(k * int(WIDTHS[kind]))
+            coded |= padded.ravel()[first + k] << np.uint64(k * int(WIDTHS[kind]))
+        words[rows] = coded
     escaped = np.flatnonzero(selector == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     offsets = np.searchsorted(block, np.arange(blocks)).astype(np.uint32)
@@ -108,10 +115,13 @@ def unpack(packed: Packed) -> np.ndarray:
     limit = np.minimum((block + 1) * BLOCK, size)
     for kind in range(1, len(COUNTS)):
         rows = np.flatnonzero(selector == kind)
+        if not len(rows):
+            continue
+        first, room, coded = start[rows], limit[rows] - start[rows], words[rows]
         mask = np.uint64((1 << int(WIDTHS[kind])) - 1)
         for k in range(int(COUNTS[kind])):
-            held = rows[start[rows] + k < limit[rows]]
-            values[start[held] + k] = (words[held] >> np.uint64(k * int(WIDTHS[kind]))) & mask
+            held = room > k
+            values[first[held] + k] = (coded[held] >> np.uint64(k * int(WIDTHS[kind]))) & mask
     rows = np.flatnonzero(selector == 0)
     values[start[rows]] = escapes[(words[rows] & np.uint64((1 << ESCAPE_BITS) - 1)).astype(np.int64)]
     return values[:size]
