@@ -104,3 +104,14 @@ def test_pairs_are_shuffled_in_a_row_per_task_and_bucket(spark):
     frequent = collocations._grouped(relation, ["left", "right"], 8, 16, 24000)[1].collect()
     assert {(r.left, r.right): r.a for r in frequent} == {k: n for k, n in want.items() if n >= 8} and len(frequent) > 64
     assert len({r.id for r in frequent}) == len(frequent)
+
+
+def test_slots_are_summed_by_few_tasks_before_the_shuffle(spark, monkeypatch):
+    n = spark.sparkContext.defaultParallelism
+    chunks = [(c, [c], [c + 1], [5]) for c in range(6 * n)]
+    relation = spark.createDataFrame(chunks, "chunk bigint, left array<bigint>, right array<bigint>, counts array<bigint>").repartition(6 * n)
+    sums = collocations.slot_sums(relation, ["left", "right"], 8, 16)
+    assert 1 <= sums.count() <= n  # one page of slots
+    monkeypatch.setattr(collocations, "TASK_WORDS", 1)
+    assert collocations.slot_sums(relation, ["left", "right"], 8, 16, n_words=3 * n).count() > n
+    assert collocations.heavy_slots(relation, ["left", "right"], 5, 16, n_words=3 * n).any()

@@ -41,7 +41,9 @@ NO_LANGUAGE = "und"
 #: Words of a chunk, and of all chunks that a task is filling.
 CHUNK_WORDS, HELD_WORDS = 1 << 19, 3 << 19
 #: Phrases are counted by hash first, into as many slots as there are words for each, within these bits.
-SLOT_WORDS, LEAST_BITS, MOST_BITS = 4, 16, 26
+SLOT_WORDS, LEAST_BITS, MOST_BITS = 32, 16, 26
+#: What a task sends of its slots and words grows far less than the words it reads, so tasks read so many where all cores stay busy.
+TASK_WORDS = 1 << 25
 PAGE = 1 << 16
 #: Pairs of phrases are dealt into buckets of at most so many words, and a task packs so many at a time.
 BUCKET_WORDS, LEAST_BUCKETS, PACKED_PAIRS = 1 << 20, 64, 1 << 20
@@ -244,14 +246,19 @@ def _hashes(relation: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable]:
     return relation.select("chunk", "left", "right", "counts"), of_pairs
 
 
-def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int) -> np.ndarray:
-    """A bit for every slot of the hash: whether the phrases in it occur `least` times together.
+def _in_large_tasks(relation: DataFrame, n_words: int) -> DataFrame:
+    """The relation of so many words, read by few tasks."""
+    return relation.coalesce(max(relation.sparkSession.sparkContext.defaultParallelism, n_words // TASK_WORDS))
 
-    A frequent phrase lies in such a slot, whatever shares it. Tasks add up to at most `least` in each
-    slot, which is enough to tell; the sums have a fixed size.
-    """
-    source, hashes = _hashes(relation, keys)
-    kind = next(kind for kind in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(kind).max)
+
+def _slot_kind(least: int) -> type:
+    return next(kind for kind in (np.uint8, np.uint16, np.uint32) if least <= np.iinfo(kind).max)
+
+
+def slot_sums(relation: DataFrame, keys: list[str], least: int, bits: int, n_words: int = 0) -> DataFrame:
+    """How often the phrases of each slot come in the chunks of a task, up to `least`: a row per task and page of slots."""
+    source, hashes = _hashes(_in_large_tasks(relation, n_words), keys)
+    kind = _slot_kind(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -266,6 +273,17 @@ def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int) ->
             for page, values in enumerate(total.reshape(-1, PAGE)):
                 yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([zlib.compress(values.tobytes(), 1)])], names=["page", "sums"])
 
+    return source.mapInArrow(run, "page int, sums binary")
+
+
+def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int, n_words: int = 0) -> np.ndarray:
+    """A bit for every slot of the hash: whether the phrases in it occur `least` times together.
+
+    A frequent phrase lies in such a slot, whatever shares it. Tasks add up to at most `least` in each
+    slot, which is enough to tell; the sums have a fixed size.
+    """
+    kind = _slot_kind(least)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, total = None, None
         for batch in batches:
@@ -283,7 +301,7 @@ def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int) ->
 
     schema = "page int, sums binary"
     heavy = np.zeros(((1 << bits) // PAGE, PAGE // 8), np.uint8)
-    for row in source.mapInArrow(run, schema).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema).toLocalIterator():
+    for row in slot_sums(relation, keys, least, bits, n_words).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema).toLocalIterator():
         heavy[row.page] = np.frombuffer(row.sums, np.uint8)
     return heavy.ravel()
 
@@ -394,13 +412,13 @@ def _grouped(relation: DataFrame, keys: list[str], least: int, bits: int, n_word
     """The phrases of a relation that may be frequent, one row per chunk and phrase, and the frequent ones
     among them with their counts and numbers. The number of a word is its place in the first
     chunk that has it."""
-    shared = relation.sparkSession.sparkContext.broadcast(heavy_slots(relation, keys, least, bits))
+    shared = relation.sparkSession.sparkContext.broadcast(heavy_slots(relation, keys, least, bits, n_words))
     rows = _candidates(relation, keys, bits, shared)
     if keys == ["left", "right"]:
         buckets = max(LEAST_BUCKETS, 1 << (n_words // BUCKET_WORDS).bit_length())
         return rows, written(_frequent_pairs(packed_pairs(relation, bits, buckets, shared), least), "frequent")
     number = F.shiftleft(F.col("chunk"), PHRASE_BITS) + F.col("at")
-    frequent = rows.groupBy(*keys).agg(F.sum("count").alias("a"), F.min(number).alias("id")).filter(F.col("a") >= least)
+    frequent = _candidates(_in_large_tasks(relation, n_words), keys, bits, shared).groupBy(*keys).agg(F.sum("count").alias("a"), F.min(number).alias("id")).filter(F.col("a") >= least)
     return rows, written(frequent, "frequent")
 
 
