@@ -115,3 +115,22 @@ def test_slots_are_summed_by_few_tasks_before_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(collocations, "TASK_WORDS", 1)
     assert collocations.slot_sums(relation, ["left", "right"], 8, 16, n_words=3 * n).count() > n
     assert collocations.heavy_slots(relation, ["left", "right"], 5, 16, n_words=3 * n).any()
+
+
+def test_heavy_slots_come_by_one_job_whatever_the_partitions(spark):
+    """Partitions fetched one after the other took most of the time where there are many of them."""
+    relation = spark.createDataFrame([(c, [c], [c + 1], [5]) for c in range(8)],
+                                     "chunk bigint, left array<bigint>, right array<bigint>, counts array<bigint>")
+    settings = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    last_job = lambda: max(spark.sparkContext.statusTracker().getJobIdsForGroup(None), default=-1)
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        first = last_job()
+        heavy = collocations.heavy_slots(relation, ["left", "right"], 5, 18)
+        assert int(np.unpackbits(heavy).sum()) == 8
+        assert last_job() - first < 10
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -301,7 +301,8 @@ def heavy_slots(relation: DataFrame, keys: list[str], least: int, bits: int, n_w
 
     schema = "page int, sums binary"
     heavy = np.zeros(((1 << bits) // PAGE, PAGE // 8), np.uint8)
-    for row in slot_sums(relation, keys, least, bits, n_words).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema).toLocalIterator():
+    summed = slot_sums(relation, keys, least, bits, n_words).repartition("page").sortWithinPartitions("page").mapInArrow(add, schema)
+    for row in summed.collect():  # 8 MB at most, and one job whatever the partitions
         heavy[row.page] = np.frombuffer(row.sums, np.uint8)
     return heavy.ravel()
 
