@@ -238,3 +238,31 @@ def test_words_are_split_as_by_bytes():
     assert sizes.tolist() == [len(plain_tokens(t)) - 1 for t in texts]
     assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in plain_tokens(t)[:-1]]
     assert cm.split_words(cm.pa.array([], cm.pa.string()))[1].tolist() == []
+
+
+def test_counts_beyond_16_bits_are_whole(spark, monkeypatch):
+    """Both sides of a busy slot stopped at 65,535 before, so its odds were even and it counted as unknown."""
+    data = [(i, "ab " * 4000 + "ac " * 1000) for i in range(60)]
+    learning = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    code = cm.make_code(cm.histogram(learning))
+    counts = cm.count_slots(learning, code, cm.LEAST_BITS)
+    found = cm.decisions([(0, cm.PAD, cm.text_bytes(data[0][1]))], code, cm.LEAST_BITS)
+    for slots, at in zip(counts, found.slots):
+        want = np.zeros(slots.shape, np.int64)
+        np.add.at(want, (at, found.turn.astype(int)), 60)
+        assert (slots == want).all() and slots.max() > 65535
+    apart = [cm.odds_apart(c) for c in counts]
+    for slots, own in zip(counts, apart):
+        zeros, ones = slots.astype(np.int64).T
+        assert (own[::2] == cm.odds(np.maximum(zeros - 1, 0), ones)).all() and (own[1::2] == cm.odds(zeros, np.maximum(ones - 1, 0))).all()
+    monkeypatch.setattr(cm, "MOST_HELD", 200_000)  # pages in several goes
+    monkeypatch.setattr("tripweave.llm.common.SLICE_BYTES", 20_000)
+    assert all((a == b).all() for a, b in zip(counts, cm.count_slots(learning, code, cm.LEAST_BITS)))
+
+
+def test_all_bytes_before_the_last_block_teach(learned):
+    pack = [(0, cm.PAD, cm.text_bytes("the cat sat " * 600)), (1, cm.PAD, cm.text_bytes("a dog"))]
+    paths = cm.Paths(pack, learned[2].code)
+    teaches = paths.teaching(pack)
+    block = max(cm.BLOCK, -(-len(pack[0][2]) // cm.BLOCKS))
+    assert teaches.sum() == block * (int(paths.blocks[0]) - 1) and paths.blocks.tolist()[1] == 1
