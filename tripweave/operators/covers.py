@@ -11,10 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 COVER_WEIGHT = 0.1
+#: Results are in order of the relevance rounded to so many decimals.
+RANK_DECIMALS = 6
+#: Rows of a task that wait before they are cut to the best of each query.
+WAITING_ROWS = 1 << 16
 HIT_COLUMNS = ("grp", "item", "off", "words", "needed", "pos", "minus", "simple", "ranked")
 
 
@@ -72,6 +77,42 @@ def _order(values: list) -> np.ndarray:
     return np.array([place[value] for value in values], np.int64)
 
 
+def _rounded(relevance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The relevance as results are ordered by it, as whole numbers, and where it lies so near the middle of two that it may be either."""
+    scaled = relevance * 10.0 ** RANK_DECIMALS + 0.5
+    return np.floor(scaled), np.abs(scaled - np.rint(scaled)) < 1e-4
+
+
+def _best_of_all(scored: Iterator[pa.RecordBatch], doc_id: str, query_id: str, best: int, whole: set) -> Iterator[pa.RecordBatch]:
+    """The first rows of each query over all of a task's; all of those in `whole`, and those whose order isn't sure."""
+    held: list[pa.RecordBatch] = []
+    waiting, most = 0, WAITING_ROWS
+
+    def cut() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        order = pc.sort_indices(table.append_column("_order", pa.array(_rounded(table.column("relevance").to_numpy())[0])), [
+            (query_id, "ascending"), ("_order", "descending"), ("name", "ascending"), (doc_id, "ascending")], null_placement="at_start")
+        table = table.take(order)
+        query = table.column(query_id).combine_chunks().dictionary_encode().indices.to_numpy()
+        starts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query))))
+        return table.filter(pa.array(place < best)).combine_chunks().to_batches()[0]
+
+    for made in scored:
+        unsure = _rounded(made.column("relevance").to_numpy())[1]
+        apart = pa.array(unsure | np.array([known in whole for known in made.column(query_id).to_pylist()], bool))
+        yield made.filter(apart)
+        rest = made.filter(pc.invert(apart))
+        held.append(rest)
+        waiting += rest.num_rows
+        if waiting >= most:
+            held = [cut()]
+            waiting = held[0].num_rows
+            most = max(WAITING_ROWS, 2 * waiting)
+    if waiting:
+        yield cut()
+
+
 class Scored:
     """Scores of the documents of one piece of the hits, as arrays over (query, document)."""
 
@@ -154,11 +195,12 @@ class Scored:
         kept = np.arange(len(self.pair))
         if best is not None:
             names, ids = _order(self.names), _order(self.doc_ids)
-            order = np.lexsort((ids[doc], names[doc], -np.round(self.relevance, 9), ~self.matched, query))
+            relevance, unsure = _rounded(self.relevance)
+            order = np.lexsort((ids[doc], names[doc], -relevance, ~self.matched, query))
             first = np.append(True, query[order][1:] != query[order][:-1]) if len(order) else np.zeros(0, bool)
             starts = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
             all_of = np.array([known in whole for known in self.query_ids], bool)
-            kept = order[((np.arange(len(order)) - starts < best) & self.matched[order]) | all_of[query[order]]]
+            kept = order[(((np.arange(len(order)) - starts < best) | unsure[order]) & self.matched[order]) | all_of[query[order]]]
         return [[self.query_ids[q] for q in query[kept]], [self.doc_ids[d] for d in doc[kept]],
                 [self.names[d] for d in doc[kept]], self.matched[kept], self.relevance[kept]]
 
@@ -170,7 +212,7 @@ def score_hits(hits: DataFrame, doc_id: str, query_id: str, together: bool, anyw
     With `together` the hits of a document lie next to each other already, as where its text was
     split; else they are brought together by one shuffle. `anywhere` gives the groups of minus
     items alone by query; for them every document has a row without a query, which also carries the
-    document's name. With `best` only the first rows of each query leave a task.
+    document's name. With `best` only the first rows of each query leave a task, and few whose order rounding decides.
     """
     rows = hits.select(doc_id, query_id, "name", *HIT_COLUMNS)
     if not together:
@@ -181,6 +223,10 @@ def score_hits(hits: DataFrame, doc_id: str, query_id: str, together: bool, anyw
     anywhere, whole = anywhere or {}, whole or set()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = every(batches)
+        return made if best is None else _best_of_all(made, doc_id, query_id, best, whole)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scored(table: pa.Table) -> pa.RecordBatch:
             made = Scored(table, doc_id, query_id, anywhere).rows(best, whole)
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, arrow)], schema=arrow)
