@@ -134,3 +134,34 @@ def test_heavy_slots_come_by_one_job_whatever_the_partitions(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_a_task_holds_one_chunk_at_a_time(documents, monkeypatch):
+    """Parquet wrote a hundred chunks before it looked at their size, and a reader took all of a row group: gigabytes where splits are large."""
+    import pyarrow.parquet as pq
+    monkeypatch.setattr(collocations, "CHUNK_WORDS", 50)
+    monkeypatch.setattr(collocations, "HELD_WORDS", 100)
+    stored = []
+    write = collocations.written
+    monkeypatch.setattr(collocations, "written", lambda rows, kind, *held: stored.append((kind, write(rows, kind, *held))) or stored[-1][1])
+    collocations.frequent_phrases(documents(["a b c a b c d " * 40] * 12).coalesce(1), least=5, most_words=3)
+    kinds = {"words": 0, "phrases": 0}
+    for kind, table in stored:
+        if kind in kinds:
+            for file in table.inputFiles():
+                meta = pq.ParquetFile(file.removeprefix("file://")).metadata
+                assert all(meta.row_group(i).num_rows <= 1 for i in range(meta.num_row_groups))
+                kinds[kind] += meta.num_row_groups
+    assert min(kinds.values()) > 10
+
+
+def test_many_frequent_phrases_go_back_without_lists_in_memory(documents, monkeypatch):
+    """The places of 128 chunks and more were collected as objects before, some 40 MB each."""
+    docs = documents(["a b c a b c d " * 40] * 12)
+    relation = collocations.occurrences(docs)
+    rows, frequent = collocations._grouped(relation, ["lang", "word"], 5, 16, 3360)
+    monkeypatch.setattr(collocations, "is_small", lambda rows, most=0: False)
+    made = collocations.longer(relation, rows, frequent, ["lang", "word"])
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+    assert sum(sum(r.counts) for r in made.collect()) == 12 * (7 * 40 - 1)

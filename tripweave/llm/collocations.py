@@ -52,6 +52,8 @@ BUCKET_BITS = 36
 TEXT_BYTES = 4 * 1024 * 1024
 #: Frequent phrases that are broadcast, with their keys; in a task they take a few times as much.
 KNOWN_BYTES = 16 * 1024 * 1024
+#: Chunks that a task writes and reads at a time; each is a row of some 15 MB.
+HELD_CHUNKS = 1
 # Numbers of words: that of a chunk, then that of the word in it.
 PHRASE_BITS, CHUNK_BITS = 24, 18
 #: Ends of pieces become a byte that no text holds.
@@ -216,20 +218,40 @@ def longer(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list
         return relation.select("chunk", first, second, "places", "phrases").mapInArrow(look_up, LONGER)
 
     found = rows.select("chunk", "at", *keys).join(known, keys)
-    alive = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "id")).alias("alive"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            at, ids = (np.concatenate(x) for x in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([at.tobytes()]), pa.array([ids.tobytes()])], names=["chunk", "at", "ids"])
+
+        current, held = None, []
+        for batch in batches:
+            chunk, at, ids = (batch.column(i).to_numpy() for i in range(3))
+            cuts = np.append(np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1])), len(chunk)).tolist()
+            for start, stop in zip(cuts, cuts[1:]):
+                if held and chunk[start] != current:
+                    yield done()
+                    held = []
+                current = int(chunk[start])
+                held.append((at[start:stop].copy(), ids[start:stop].copy()))
+        if held:
+            yield done()
+
+    alive = found.select("chunk", "at", "id").repartition("chunk").sortWithinPartitions("chunk").mapInArrow(
+        packed, "chunk bigint, at binary, ids binary")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 chunk, places, phrases, size, at, ids = (batch.column(i)[row] for i in range(6))
                 number = np.full(size.as_py() + 1, -1, np.int64)
-                number[at.values.to_numpy()] = ids.values.to_numpy()
+                number[np.frombuffer(at.as_buffer(), np.int32)] = np.frombuffer(ids.as_buffer(), np.int64)
                 made = _extended(chunk.as_py(), *_arrays(places, phrases), number)
                 if made:
                     yield made
 
     joint = relation.select("chunk", "places", "phrases", "size").join(alive, "chunk")
-    return joint.select("chunk", "places", "phrases", "size", "alive.at", "alive.id").mapInArrow(extend, LONGER)
+    return joint.select("chunk", "places", "phrases", "size", "at", "ids").mapInArrow(extend, LONGER)
 
 
 def _hashes(relation: DataFrame, keys: list[str]) -> tuple[DataFrame, Callable]:
@@ -426,7 +448,7 @@ def _grouped(relation: DataFrame, keys: list[str], least: int, bits: int, n_word
 def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int = MOST_WORDS) -> tuple[DataFrame, DataFrame]:
     """lang, n: all words of each language; and lang, phrase, size, a: every phrase of up to
     `most_words` words that occurs `least` times or more, with its number of occurrences."""
-    relation = written(occurrences(docs), "words")
+    relation = written(occurrences(docs), "words", HELD_CHUNKS)
     totals = relation.groupBy("lang").agg(F.sum("n").alias("n"))
     n_words = relation.agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (n_words // SLOT_WORDS).bit_length()))
@@ -437,7 +459,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST_COUNT, most_words: int
     for size in range(2, most_words + 1):
         if frequent.isEmpty():
             break
-        relation = written(longer(relation, rows, frequent, keys), "phrases")
+        relation = written(longer(relation, rows, frequent, keys), "phrases", HELD_CHUNKS)
         keys = ["left", "right"]
         rows, frequent = _grouped(relation, keys, least, bits, n_words)
         left = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("start"))
